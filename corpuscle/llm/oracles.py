@@ -2,4 +2,24 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingle_sets(table: str, key: str) -> str:
+    """A query of (key, s): the distinct 5-word shingles, lower-cased; shorter texts whole."""
+    words = _WORDS.format(_LOWER.format("text"))
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
+              FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
+
+
+ORACLES: dict[str, str] = {
+    "op10_contained_items": f"""
+        WITH d AS ({_shingle_sets("documents", "doc_id")}),
+             b AS ({_shingle_sets("benchmark", "item_id")}),
+             n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
+             x AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM d JOIN b USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles / item_shingles AS containment
+        FROM x JOIN n USING (item_id) WHERE 5 * shared_shingles >= 4 * item_shingles""",
+}
