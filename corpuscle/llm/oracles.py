@@ -22,4 +22,12 @@ ORACLES: dict[str, str] = {
              x AS (SELECT doc_id, item_id, count(*) AS shared_shingles FROM d JOIN b USING (s) GROUP BY ALL)
         SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles / item_shingles AS containment
         FROM x JOIN n USING (item_id) WHERE 5 * shared_shingles >= 4 * item_shingles""",
+    "op9_near_duplicates": f"""
+        WITH RECURSIVE d AS ({_shingle_sets("documents", "doc_id")}),
+             n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+             x AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM d p JOIN d q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY ALL),
+             links AS (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+             reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+        FROM documents JOIN reach ON a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
 }

@@ -33,3 +33,10 @@ def op10_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contained_items
 
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
