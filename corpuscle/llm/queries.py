@@ -40,3 +40,18 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
