@@ -5,8 +5,10 @@ rates of least entropy cost that meet the source's token target: the convex dual
 has one multiplier for each source, and all are solved together by safeguarded
 Newton steps, each one aggregation over the corpus. Rates become whole copies:
 a document takes its rate's integer part, and one more where its hash, less the
-rate's fraction, lies below a cut that makes the source's tokens meet its target
-to within half a document. The cut is found digit by digit, by aggregations.
+rate's fraction, lies below a cut that keeps the source's tokens within its
+target. Cuts are found digit by digit, by aggregations; where one document ends
+a source more than a thousandth short, the next cuts are over documents that fit
+into the rest.
 """
 
 from __future__ import annotations
@@ -111,8 +113,45 @@ class Mix:
         """docs with rate, copies, source_size and target; any row count, no shuffle of docs where the sources are few."""
         x = docs.withColumn("_key", _key(source_col)).join(self.params.withColumnRenamed("key", "_key"), "_key", "left")
         x = x.withColumn("rate", _rate(size_col, self.cap))
-        extra = (F.col("rate") < self.cap) & (_place(id_col, F.col("rate")) < F.col("cut"))
-        return x.withColumn("copies", F.floor("rate") + F.when(extra, 1).otherwise(0)).drop("_key", "lam", "mean", "cut")
+        x = x.withColumn("place", _place(id_col, F.col("rate")))
+        inside = F.exists("taken", lambda t: (F.col("place") >= t.start) & (F.col("place") < t.cut) & (F.col(size_col) <= t.limit))
+        extra = (F.col("rate") < self.cap) & inside
+        return x.withColumn("copies", F.floor("rate") + F.when(extra, 1).otherwise(0)).drop("_key", "lam", "mean", "place", "taken")
+
+
+def _cuts(part: DataFrame, rest: dict[str, float], params, nearest: bool) -> tuple[dict[str, int], dict[str, float]]:
+    """The place below which each source's sizes sum to its rest at most, and what then is left of it.
+
+    Found a digit at a time, each by one aggregation. nearest: the document at
+    the cut is taken too where that comes nearer to the rest.
+    """
+    prefix, cut, rest = dict.fromkeys(rest, 0), {}, dict(rest)
+    shift = _BITS
+    while shift > 0:
+        width = min(_DIGIT, shift)
+        shift -= width
+        live = [k for k in rest if k not in cut]
+        here = part.join(params(prefix={k: prefix[k] if k in live else -1 for k in rest}, rest=rest), "key")
+        here = here.filter(F.shiftright("place", shift + width) == F.col("prefix"))
+        bins = here.groupBy("key", "rest", F.shiftright("place", shift).alias("bin")).agg(F.sum("size").alias("s"))
+        w = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = bins.withColumn("upto", F.sum("s").over(w))
+        edge = bins.groupBy("key").agg(F.max("upto").alias("whole"), F.min(F.when(F.col("upto") > F.col("rest"), F.struct("bin", "s", "upto"))).alias("at"))
+        found = {r.key: r for r in edge.collect()}
+        for k in live:
+            r = found.get(k)
+            if r is None or r["at"] is None:  # all of it is taken
+                cut[k] = (prefix[k] + 1) << (shift + width)
+                rest[k] -= r.whole if r else 0
+                continue
+            prefix[k] = r["at"].bin
+            before = r["at"].upto - r["at"].s
+            if shift == 0:
+                more = nearest and r["at"].upto - rest[k] < rest[k] - before
+                cut[k] = prefix[k] + more
+                before = r["at"].upto if more else before
+            rest[k] -= before
+    return cut, {k: max(0.0, v) for k, v in rest.items()}
 
 
 def solve(sized: DataFrame, scratch: Scratch, *, id_col: str, source_col: str, size_col: str, weights: tuple = WEIGHTS, cap: float = CAP) -> Mix:
@@ -132,7 +171,7 @@ def solve(sized: DataFrame, scratch: Scratch, *, id_col: str, source_col: str, s
 
     def params(**columns: dict) -> DataFrame:
         rows = [(k, *(c[k] for c in columns.values())) for k in sorted(total)]
-        kinds = {"lam": "double", "mean": "double", "cut": "long", "source_size": "long", "target": "double", "prefix": "long", "rest": "double"}
+        kinds = {"lam": "double", "mean": "double", "taken": "array<struct<start: long, cut: long, limit: long>>", "start": "long", "limit": "long", "source_size": "long", "target": "double", "prefix": "long", "rest": "double"}
         return spark.createDataFrame(rows, "key string, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
 
     lam: dict[str, float | None] = dict.fromkeys(total, 0.0)
@@ -175,28 +214,17 @@ def solve(sized: DataFrame, scratch: Scratch, *, id_col: str, source_col: str, s
     rated = rated.select("key", "size", "target", F.floor("rate").alias("whole"), F.when(F.col("rate") < cap, _place("id", F.col("rate"))).alias("place"))
     rated = scratch.keep(rated, "rated")
     rest = {r.key: max(0.0, want[r.key] - r.s) for r in rated.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("s")).collect()}
-    prefix: dict[str, int] = dict.fromkeys(total, 0)
-    cut: dict[str, int] = {}
-    shift = _BITS
-    while shift > 0:
-        width = min(_DIGIT, shift)
-        shift -= width
-        live = {k for k in total if k not in cut}
-        part = rated.filter("place is not null").join(params(prefix={k: prefix[k] if k in live else -1 for k in total}, rest=rest), "key")
-        part = part.filter(F.shiftright("place", shift + width) == F.col("prefix"))
-        bins = part.groupBy("key", "rest", F.shiftright("place", shift).alias("bin")).agg(F.sum("size").alias("s"))
-        w = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        edge = bins.withColumn("upto", F.sum("s").over(w)).filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("s") <= F.col("rest")))
-        at = {r.key: r for r in edge.collect()}
-        for k in live:
-            if k not in at:  # all that is left is taken
-                cut[k] = (prefix[k] + 1) << (shift + width)
-                continue
-            prefix[k], before = at[k].bin, at[k].upto - at[k].s
-            if shift == 0:
-                cut[k] = prefix[k] + (at[k].upto - rest[k] < rest[k] - before)
-            rest[k] -= before
-    out = scratch.keep(params(lam=lam, mean=mean, cut=cut, source_size=total, target=want), "params")
+    steps: list[tuple[dict, dict, dict]] = []
+    start, limit = dict.fromkeys(total, 0), dict.fromkeys(total, 1 << 62)
+    for last in (False, False, False, True):
+        part = rated.filter("place is not null").join(params(start=start, limit=limit), "key").filter("place >= start and size <= limit")
+        cut, rest = _cuts(part, rest, params, last)
+        steps.append((start, cut, limit))
+        start, limit = cut, {k: int(r) for k, r in rest.items()}
+        if all(rest[k] <= 1e-3 * want[k] for k in total):
+            break
+    taken = {k: [(a[k], b[k], c[k]) for a, b, c in steps] for k in total}
+    out = scratch.keep(params(lam=lam, mean=mean, taken=taken, source_size=total, target=want), "params")
     scratch.drop(base, counts, rated)
     return Mix(out, cap)
 
