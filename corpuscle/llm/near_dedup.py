@@ -246,3 +246,22 @@ def _placed(signed: DataFrame, classes: DataFrame, comp: DataFrame, scratch: Scr
     out = out.withColumn("comp", F.when(own, F.coalesce("to", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
+    """docs without all but one document of each group: the one with the smallest id, with all its columns.
+
+    Decided as in near_duplicates(). Of rows with equal id one stays; rows with
+    a null id and rows without words all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "first")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold)
+    found = scratch.keep(found.select(F.col(id_col).alias("_id"), "n_shingles", "kept"), "found")
+    gone = found.filter("not kept").select("_id")
+    out = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    again = found.filter("kept and n_shingles > 0 and _id is not null").groupBy("_id").count().filter("count > 1").select("_id")
+    again = scratch.keep(again, "again")
+    if again.isEmpty():
+        return out
+    once = out.join(again, out[id_col] == again["_id"], "left_semi").dropDuplicates([id_col])
+    return out.join(again, out[id_col] == again["_id"], "left_anti").unionByName(once)

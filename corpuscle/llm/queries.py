@@ -55,3 +55,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_documents
 
     return mix_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
