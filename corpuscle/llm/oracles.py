@@ -30,4 +30,17 @@ ORACLES: dict[str, str] = {
              reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
         SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
         FROM documents JOIN reach ON a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op1_line_dedup": r"""
+        WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+             l AS (SELECT doc_id, ln, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+                   FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS ln FROM a)),
+             c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY ln) AS upto FROM l WHERE w > 0),
+             d AS (SELECT doc_id, list(line ORDER BY ln) AS ls, list(ln ORDER BY ln) AS lns, list(w ORDER BY ln) AS ws, list(upto ORDER BY ln) AS us FROM c GROUP BY doc_id),
+             p AS (SELECT *, unnest(range(1, len(ls) + 1)) AS p FROM d),
+             e AS (SELECT *, len(list_filter(us, lambda u: u < us[p] - ws[p] + 50)) + 1 AS e FROM p),
+             r AS (SELECT doc_id, lns[p:e] AS gone, row_number() OVER (PARTITION BY ls[p:e] ORDER BY doc_id, p) AS k FROM e WHERE e <= len(ls)),
+             g AS (SELECT DISTINCT doc_id, unnest(gone) AS ln FROM r WHERE k > 1)
+        SELECT l.doc_id, CAST(count(*) FILTER (w > 0) AS BIGINT) AS n_lines, count(g.ln) AS n_deleted,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY l.ln) FILTER (g.ln IS NULL), '')) AS text_sha256
+        FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.ln = l.ln GROUP BY l.doc_id""",
 }

@@ -62,3 +62,13 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
