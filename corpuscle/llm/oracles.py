@@ -43,4 +43,21 @@ ORACLES: dict[str, str] = {
         SELECT l.doc_id, CAST(count(*) FILTER (w > 0) AS BIGINT) AS n_lines, count(g.ln) AS n_deleted,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY l.ln) FILTER (g.ln IS NULL), '')) AS text_sha256
         FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.ln = l.ln GROUP BY l.doc_id""",
+    "op8_quality": r"""
+        WITH a AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             t AS (SELECT doc_id, ws[i:i + 7] AS g, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM a)),
+             twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM t) WHERE c > 1),
+             r AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+             l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM a)
+                   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+             b AS (SELECT doc_id, text, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.c, 0) AS n_dup_lines, coalesce(r.c, 0) AS n_repeat_words,
+                          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS letters,
+                          length(regexp_replace(text, '[^!]', '', 'g')) AS marks
+                   FROM a LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+             f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 2 * letters < word_chars
+               OR (letters > 40 AND 2 * upper > letters) OR 2 * marks > n_words) AS kept
+        FROM f""",
 }

@@ -72,3 +72,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_verdicts
+
+    return quality_verdicts(table(spark, sf_dir, "documents"))
