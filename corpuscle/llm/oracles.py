@@ -60,4 +60,10 @@ ORACLES: dict[str, str] = {
                NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 2 * letters < word_chars
                OR (letters > 40 AND 2 * upper > letters) OR 2 * marks > n_words) AS kept
         FROM f""",
+    "op2_warc_round_trip": """
+        WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
 }

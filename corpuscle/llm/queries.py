@@ -79,3 +79,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_verdicts
 
     return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
