@@ -8,12 +8,14 @@
 3. Within a bucket (an equal band key) members pair with two centres, the
    smallest id and a random one: as many pairs as members. Pairs whose sizes or
    sketches rule the similarity out go; the rest are confirmed on full sets.
-4. Buckets that the confirmed links leave in several components get all pairs
-   across components, so that no link is lost to the choice of centres.
+4. In buckets that the confirmed links leave in several components, pairs across
+   components are confirmed too, so that no link is lost to the choice of
+   centres. Shingles that no other document there has rule most of them out: an
+   intersection holds none of them.
 5. Components come from alternating large-star and small-star joins.
 
 At a similarity of 0.85 a link shares no band with probability (1 - 0.85**4)**24,
-2e-8. The sketch filter keeps estimates of 0.55 and more, over seven deviations.
+2e-8. The sketch filter keeps estimates of 0.65 and more, over five deviations.
 """
 
 from __future__ import annotations
@@ -137,7 +139,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scr
     x = pairs.join(near.toDF("a", "na", "sa"), "a").join(near.toDF("b", "nb", "sb"), "b")
     x = x.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    kept = scratch.keep(x.filter(differ <= _most_bits(0.55)).select("a", "b"), f"{name}-pairs")
+    kept = scratch.keep(x.filter(differ <= _most_bits(0.65)).select("a", "b"), f"{name}-pairs")
     ids = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
     held = scratch.keep(texts.join(ids, "id", "left_semi"), f"{name}-texts")
     both = kept.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -202,16 +204,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = usable.join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"])
     same = classes.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     repeated = scratch.keep(usable.groupBy("id").count().filter("count > 1").select("id"), "repeated")
-    if not repeated.isEmpty():
+    unique_ids = repeated.isEmpty()
+    if not unique_ids:
         reps = reps.dropDuplicates(["k1", "k2", "id"])
         texts = texts.dropDuplicates(["id", "text"])
         several = usable.select("id", "k1", "k2").join(repeated, "id", "left_semi").distinct()
         same = several.join(classes, ["k1", "k2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     reps = scratch.keep(reps.select("id", "n", "bands", "sketch"), "reps")
-    return _placed(signed, classes, _linked(texts, reps, same, scratch, threshold), scratch, id_col)
+    return _placed(signed, classes, _linked(texts, reps, same, scratch, threshold, unique_ids), scratch, id_col)
 
 
-def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch, threshold: int, unique_ids: bool) -> DataFrame:
     """(id, comp) of the representatives that have a link."""
     member = reps.select("id", F.explode("bands").alias("key"))
     order = F.xxhash64("id", F.lit(3))
@@ -224,19 +227,47 @@ def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch
     comp = scratch.keep(components(found, scratch), "comp")
     # what the centres left apart
     placed = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    apart = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"))
-    apart = apart.filter("c > 2 and c0 < c1").select("key")
-    rest = scratch.keep(spread_join(placed, apart, "key"), "rest")
-    p = rest.filter("id <> low and id <> any")
-    cross = p.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")).join(p.select("key", F.col("id").alias("b"), F.col("comp").alias("cb")), "key")
-    more = cross.filter("a < b and ca <> cb").select("a", "b").distinct()
-    more = scratch.keep(more, "cross")
+    apart = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"), F.min(F.struct("id", "comp"))["comp"].alias("home"))
+    apart = apart.filter("c > 2 and c0 < c1").select("key", "home")
+    rest = spread_join(placed, apart, "key").filter("id <> low and id <> any").select("key", "home", "id", "comp")
+    rest = scratch.keep(rest, "rest")
+    if rest.isEmpty():
+        return comp
+    rest = scratch.keep(_linkable(rest, texts, reps, scratch, threshold, unique_ids), "linkable")
+    moving = rest.filter("comp <> home").select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "comp", "n", "shared")))
+    both = F.least("shared", "shared_")
+    cross = moving.join(rest, (moving["key"] == rest["key"]) & (F.col("comp") != F.col("comp_")) & (100 * both >= threshold * (F.col("n") + F.col("n_") - both)))
+    more = scratch.keep(cross.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "cross")
     if more.isEmpty():
         return comp
     found = found.union(_confirmed(more, reps, texts, scratch, threshold, "cross"))
     return scratch.keep(components(found, scratch), "comp")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, j, h, o, _ in words(b.column(1)):
+            s, so = _unique_sets(*shingles(h, o))
+            at = pa.array(np.repeat(np.arange(i, j), np.diff(so)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(s.view(np.int64))], names=["id", "s"])
+
+
+def _linkable(rest: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scratch, threshold: int, unique_ids: bool) -> DataFrame:
+    """rest with n and shared, the shingles that another document of rest has too.
+
+    A document's intersection with any other there is shared at most, so one of
+    which too few are shared has no link and goes. Where ids repeat, with several
+    texts each, nothing is ruled out.
+    """
+    own = scratch.keep(texts.join(rest.select("id").distinct(), "id", "left_semi"), "rest-texts")
+    kind = own.schema["id"].dataType.simpleString()
+    sets = own.mapInArrow(_sets, f"id {kind}, s long").groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.max("id").alias("last"))
+    alone = sets.filter("id = last").groupBy("id").agg(F.sum("c").alias("alone"))
+    x = rest.join(reps.select("id", "n"), "id").join(alone, "id", "left")
+    x = x.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)) if unique_ids else F.col("n"))
+    return x.filter(100 * F.col("shared") >= threshold * F.col("n")).drop("alone")
+
+
 def _placed(signed: DataFrame, classes: DataFrame, comp: DataFrame, scratch: Scratch, id_col: str) -> DataFrame:
     moved = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").filter("rows > 1 or comp is not null")
     moved = scratch.keep(moved.select("k1", "k2", F.least(F.coalesce("comp", "rep"), "rep").alias("to")), "moved")
