@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textcore import U, odd_numbers, shingles, words
 
 PERMUTATIONS = 96
@@ -144,6 +145,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, item_shingles long, shared_shingles long"
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sc, found = docs.sparkSession.sparkContext, None
     for ids, texts in _blocks(benchmark, item_col, item_text_col):
@@ -194,6 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """
     item_col, item_text_col = how.get("item_col", "item_id"), how.get("item_text_col", "text")
     threshold, width = how.get("threshold", 0.8), how.get("width", 5)
+    small_batches(docs.sparkSession)
     out = docs
     at = docs.columns.index(text_col)
     for ids, texts in _blocks(benchmark, item_col, item_text_col):

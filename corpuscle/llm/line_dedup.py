@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, small_batches
 from .textcore import _VALUE, U, _pow, buffers, chunks, mix
 
 MIN_WORDS = 50
@@ -153,6 +153,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     equal id and text are one document and share a result. An empty table gives
     an empty one; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_runs(docs, scratch, id_col=id_col, text_col=text_col, min_words=min_words)
     gone = scratch.keep(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "lines"), "deleted")

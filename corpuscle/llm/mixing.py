@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, small_batches
 from .textcore import _SPACE, buffers, chunks
 
 WEIGHTS = (5, 2, 1)
@@ -238,6 +238,7 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     chance is the id's hash. A source without words has target 0 and its rows
     are copied once. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mix")
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     sized = scratch.keep(with_size(narrow, "text", "size", keep_text=False), "sized")
@@ -248,6 +249,7 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def take_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
     """The mixed corpus: each row of docs as often as mix_documents() says, all columns kept."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mix")
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # whatever docs calls its columns, none clashes
     sized = with_size(docs.toDF(*names.values()), names[text_col], "size")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, small_batches
 from .textcore import U, mix, odd_numbers, shingles, words
 
 BANDS, ROWS = 24, 4
@@ -133,6 +133,26 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner")
     return left.join(right, [key, "_k2"], how).drop("_k2")
 
 
+_FILTER_BITS = 1 << 26
+_FILTER_PART = 1 << 15  # bits in one of Spark's bitmaps
+
+
+def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (id, text) whose id is among ids (id, distinct).
+
+    A bitmap of hashed ids, of _FILTER_BITS / 8 bytes (8 MB) at most, goes to all
+    tasks and drops most other rows before the join deals out what is left.
+    Beyond tens of millions of ids it lets more pass; the join is exact always.
+    """
+    bit = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(_FILTER_BITS))
+    marks = ids.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    near = rows.withColumn("_h", bit).join(F.broadcast(marks), F.bitmap_bucket_number("_h") == F.col("_part"))
+    at = F.bitmap_bit_position("_h")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = near.withColumn("_byte", byte).filter("shiftright(_byte, cast(bitmap_bit_position(_h) % 8 as int)) % 2 = 1")
+    return near.select(*rows.columns).join(ids, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow and full sets confirm."""
     near = reps.select("id", "n", "sketch")
@@ -141,7 +161,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scr
     differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     kept = scratch.keep(x.filter(differ <= _most_bits(0.65)).select("a", "b"), f"{name}-pairs")
     ids = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
-    held = scratch.keep(texts.join(ids, "id", "left_semi"), f"{name}-texts")
+    held = scratch.keep(only_ids(texts, ids), f"{name}-texts")
     both = kept.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     links = scratch.keep(both.mapInArrow(_confirm(threshold), kept.schema), f"{name}-links")
     scratch.drop(held)
@@ -193,6 +213,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_id and kept. An empty table gives an empty one; other columns are
     not read.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -259,7 +280,7 @@ def _linkable(rest: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scrat
     which too few are shared has no link and goes. Where ids repeat, with several
     texts each, nothing is ruled out.
     """
-    own = scratch.keep(texts.join(rest.select("id").distinct(), "id", "left_semi"), "rest-texts")
+    own = scratch.keep(only_ids(texts, rest.select("id").distinct()), "rest-texts")
     kind = own.schema["id"].dataType.simpleString()
     sets = own.mapInArrow(_sets, f"id {kind}, s long").groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.max("id").alias("last"))
     alone = sets.filter("id = last").groupBy("id").agg(F.sum("c").alias("alone"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import line_hashes
+from .storage import small_batches
 from .textcore import _SPACE, U, buffers, chunks, mix, odd_numbers, words
 
 _SYMBOL = np.zeros(256, bool)
@@ -189,6 +190,7 @@ def quality_verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     have zeros, fail the base rules and are not kept. Repeated rows are each
     judged; an empty table gives an empty one; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     ordered = order_rules(docs, text_col=text_col, rules=rules)
     kind = docs.schema[id_col].dataType.simpleString()
 

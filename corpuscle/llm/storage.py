@@ -58,3 +58,15 @@ class Scratch:
             if at:
                 p = jvm.org.apache.hadoop.fs.Path(at)
                 p.getFileSystem(conf).delete(p, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Bound the Arrow batches that tasks hand to Python workers, for this session.
+
+    Whole texts travel in them; Spark's defaults of 10,000 rows and 64 MB cost
+    each worker several times that. Smaller settings of the session's stay.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

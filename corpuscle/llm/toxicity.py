@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textcore import U, words
 
 WORD_BITS, HEAD_BITS, HEAD_BYTES = 15, 13, 4
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     labels: null ones are left out, of several for one id the larger counts.
     Without both labels the scores are constant.
     """
+    small_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     marked = marked.filter(~held_out("id")).groupBy("id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
     picked = None
@@ -247,6 +249,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
     the language's threshold (0.5 for a null or unknown language). Repeated rows
     are each scored; an empty table gives an empty one; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     held = sc.broadcast(model)  # of a fixed size, about 3 MB
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
@@ -266,6 +269,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that their language's threshold does not flag, with all their columns."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     lang_at = docs.columns.index(lang_col) if lang_col in docs.columns else None

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, small_batches
 
 SEGMENT = 1 << 16
 HTTP_CHUNK = 1 << 13
@@ -217,6 +217,7 @@ def archive_round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: st
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
     scratch = Scratch(spark, "archive")
+    small_batches(spark)
     at = scratch.path("warc")
     write_archives(pages, at, id_col=id_col, url_col=url_col, html_col=html_col, segment=segment)
     read = read_archives(spark, at)
