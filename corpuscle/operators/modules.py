@@ -124,3 +124,8 @@ def project_type(files: DataFrame, max_dependencies: int = 15) -> DataFrame:
 
 def is_test_project(content):
     return content.rlike(r'(?i)<PackageReference[^>]*Include="[^"]*(xunit|nunit|mstest|fluentassertions)')
+
+
+def snapshot_id(files: DataFrame) -> DataFrame:
+    """One row: a signature of all paths and times, equal where nothing changed; a key for cached results."""
+    return files.agg(F.coalesce(F.sum(F.xxhash64("path", "mtime").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("snapshot"))

@@ -170,3 +170,55 @@ def tests_for(lines: DataFrame, cases: DataFrame, symbols: DataFrame, name: str,
     per = top.groupBy("path").agg(F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("line", "name", "score"))).alias("cases"))
     x = n.join(per, "path", "left").withColumn("score", F.least(F.lit(30), 8 * F.col("n")) + F.least(F.lit(35), F.coalesce("best", F.lit(0)))).filter("score > 0")
     return x.select("path", F.col("score").cast("int").alias("score"), confidence(F.col("score")).alias("confidence"), "cases").orderBy(F.col("score").desc(), "path").limit(limit)
+
+
+def references_by_file(refs: DataFrame, shown: int = 12) -> DataFrame:
+    """(path, n, lines, more): references grouped by file, the first `shown` line numbers of each."""
+    per = refs.groupBy("path").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("line_no")).alias("all"))
+    return per.select("path", "n", F.slice("all", 1, shown).alias("lines"), F.greatest(F.col("n") - shown, F.lit(0)).alias("more")).orderBy(F.lower("path"), "path")
+
+
+def edge_summary(graph: DataFrame) -> DataFrame:
+    """One row: edges, and how many are unresolved, ambiguous, recursive or lead back."""
+    n = lambda label: F.count_if(F.col("label") == label).alias(label)
+    return graph.agg(F.count("*").alias("edges"), n("unresolved"), n("ambiguous"), n("recursive"), n("cycle"))
+
+
+def render_tree(graph: DataFrame, root: str) -> str:
+    """An indented text of a call graph; the graph has a few hundred edges at most (see call_graph)."""
+    children: dict[str, list] = {}
+    for r in graph.collect():
+        children.setdefault(r.src, []).append(r)
+    out, seen = [root], {root}
+
+    def add(name: str, depth: int) -> None:
+        for r in children.get(name, []):
+            out.append("  " * depth + f"{r.dst} (line {r.line})" + (f" [{r.label}]" if r.label else ""))
+            if r.dst not in seen:
+                seen.add(r.dst)
+                add(r.dst, depth + 1)
+
+    add(root, 1)
+    return "\n".join(out)
+
+
+def expand_context(lines: DataFrame, symbols: DataFrame, names: list[str], *, most: int = 2, edges: int = 10, refs: int = 8) -> DataFrame:
+    """(name, relation, path, line, text) around up to `most` names that resolve: definition, callees, callers, references."""
+    out, used = None, 0
+    for name in names:
+        best = find_definitions(symbols, name, limit=1)
+        if used >= most or best.isEmpty():
+            continue
+        used += 1
+        row = lambda df, relation, path, line, text: df.select(F.lit(name).alias("name"), F.lit(relation).alias("relation"), path.alias("path"), line.cast("int").alias("line"), text.alias("text"))  # noqa: E731, B023
+        parts = [
+            row(best, "definition", F.col("path"), F.col("start_line"), F.col("signature")),
+            row(call_graph(lines, symbols, name, depth=1, limit=edges), "callee", F.col("path"), F.col("line"), F.col("dst")),
+            row(call_graph(lines, symbols, name, depth=1, direction="upstream", limit=edges), "caller", F.col("path"), F.col("line"), F.col("src")),
+            row(find_references(lines, symbols, name, limit=refs), "reference", F.col("path"), F.col("line_no"), F.col("text")),
+        ]
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+    if out is None:
+        return symbols.sparkSession.createDataFrame([], "name string, relation string, path string, line int, text string")
+    return out

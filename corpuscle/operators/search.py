@@ -62,3 +62,40 @@ def mentions(lines: DataFrame, names: DataFrame, *, keys: tuple[str, ...]) -> Da
     words = lines.select(*keys, "line_no", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
     words = words.groupBy(*keys, "line_no", "name").agg(F.count("*").alias("n"))
     return words.join(names.select("name").distinct(), "name")
+
+
+# What a definition of a name looks like, by language family; {} is the name.
+DEFINITION_FORMS = {
+    "csharp": [r"\b(class|interface|struct|enum|record|delegate|namespace)\s+{}\b", r"[\w<>\[\],?]+\s+{}\s*[({{=;]"],
+    "javascript": [r"\b(function|class|interface|type|enum|const|let|var)\s+{}\b", r"\b{}\s*[:=]\s*(async\s+)?(function|\()"],
+    "python": [r"\b(def|class)\s+{}\b", r"^\s*{}\s*="],
+    "java": [r"\b(class|interface|enum|record)\s+{}\b", r"[\w<>\[\],?]+\s+{}\s*\("],
+    "go": [r"\bfunc\s+(\([^)]*\)\s*)?{}\b", r"\b(type|var|const)\s+{}\b"],
+}
+
+
+def definition_search(lines: DataFrame, name: str, *, extension: str | None = None, limit: int = 20) -> DataFrame:
+    """Lines that look like a definition of the name in any family, or in that of the extension (as in '*.py')."""
+    import re
+
+    families = list(DEFINITION_FORMS)
+    if extension:
+        lang = T.fixed.LANGUAGE_BY_EXTENSION.get("." + extension.rsplit(".", 1)[-1].lower())
+        lang = "javascript" if lang == "typescript" else lang
+        families = [lang] if lang in DEFINITION_FORMS else families
+        lines = lines.filter(F.lower("path").endswith("." + extension.rsplit(".", 1)[-1].lower()))
+    forms = "|".join(f.format(re.escape(name)) for k in families for f in DEFINITION_FORMS[k])
+    hits = lines.filter(F.col("text").rlike(f"(?i){forms}"))
+    return hits.select("path", "line_no", F.left(F.trim("text"), F.lit(200)).alias("text")).orderBy(F.lower("path"), "path", "line_no").limit(limit)
+
+
+def explore(lines: DataFrame, words: list[str], *, per_word: int = 30, limit: int = 50) -> DataFrame:
+    """Hits of up to ten words, per_word files each, merged, a line once: newest first where times are known."""
+    words = words[:10]
+    if not words:
+        return lines.limit(0)
+    x = lines.withColumn("word", F.explode(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(F.col("text")), F.lower(w)))))
+    newest = [F.col("mtime").desc()] * ("mtime" in lines.columns)
+    w = Window.partitionBy("word").orderBy(*newest, F.lower("path"), "path")
+    x = x.withColumn("k", F.dense_rank().over(w)).filter(F.col("k") <= per_word)
+    return x.drop("word", "k").dropDuplicates(["path", "line_no"]).orderBy(*newest, F.lower("path"), "path", "line_no").limit(limit)

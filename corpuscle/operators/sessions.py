@@ -68,3 +68,26 @@ def activity_sessions(events: DataFrame, by: str, ts: str, gap_seconds: int) ->
     x = events.withColumn("_new", F.when(us - F.lag(us).over(w) < gap_seconds * 1_000_000, 0).otherwise(1))
     x = x.withColumn("_s", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return x.groupBy(by, "_s").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n")).drop("_s")
+
+
+def appended(turns: DataFrame, new: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
+    """turns and the new ones, numbered on from each session's last."""
+    last = turns.groupBy(session).agg(F.max(seq).alias("_last"))
+    w = Window.partitionBy(session).orderBy(seq)
+    n = new.withColumn(seq, F.row_number().over(w).cast("long")).join(last, session, "left").withColumn(seq, F.col(seq) + F.coalesce("_last", F.lit(0))).drop("_last")
+    return turns.unionByName(n.select(*turns.columns))
+
+
+def replaced(turns: DataFrame, new: DataFrame, session: str = "session_id") -> DataFrame:
+    """turns with the sessions of new taken from new alone."""
+    return turns.join(new.select(session).distinct(), session, "left_anti").select(*turns.columns).unionByName(new.select(*turns.columns))
+
+
+def cleared(turns: DataFrame, session_id: str, session: str = "session_id") -> DataFrame:
+    return turns.filter(~F.col(session).eqNullSafe(F.lit(session_id)))
+
+
+def files_touched(calls: DataFrame, path: str = "file_path") -> DataFrame:
+    """(run_id, files): the distinct files that a run's tool calls name in their arguments."""
+    p = F.try_variant_get(F.try_parse_json("arguments"), f"$.{path}", "string")
+    return calls.groupBy("run_id").agg(F.array_sort(F.collect_set(p)).alias("files"))

@@ -351,3 +351,23 @@ def parse_tool_calls(spark, sf_dir):
     text = 'x <tool_call>{"name": "read_file", "arguments": {"path": "a"}}</tool_call> <tool_call>{bad</tool_call> <tool_call>{"name":"grep"}</tool_call>'
     turns = spark.createDataFrame([("s", 1, text)], "session_id string, seq int, content string")
     return sessions.tool_calls(turns).select("call_idx", "tool_name", "arguments")
+
+
+@query(_values([("app.py", 1, 0), ("tests/test_app.py", 2, 0)], "path, n, more"))
+def refs_by_file(spark, sf_dir):
+    return references.references_by_file(call("find_references", _mini(spark), symbol="load")).select("path", "n", F.col("more").cast("int").alias("more"))
+
+
+@query(_values([(6, 1, 0, 0, 1)], "edges, unresolved, ambiguous, recursive, cycle"))
+def graph_summary(spark, sf_dir):
+    return references.edge_summary(call("call_graph", _mini(spark), symbol="main"))
+
+
+@query(_values([("app.py", 9, "def load(s):")], "path, line_no, text"))
+def definition_lines(spark, sf_dir):
+    return call("definition_search", _mini(spark), symbol="load", include="*.py")
+
+
+@query(_values([("save", "definition", "app.py", 13), ("save", "callee", "app.py", 14), ("save", "caller", "app.py", 7), ("save", "caller", "app.py", 11), ("save", "reference", "app.py", 7), ("save", "reference", "app.py", 11)], "name, relation, path, line"))
+def symbol_context(spark, sf_dir):
+    return call("expand_context", _mini(spark), symbols=["nothing", "save"]).drop("text")

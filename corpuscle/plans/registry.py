@@ -151,3 +151,13 @@ def config_lookup(c: Corpus, key: str) -> DataFrame:
 @tool("common_root")
 def common_root(c: Corpus) -> DataFrame:
     return accounting.common_root(c.files)
+
+
+@tool("definition_search")
+def definition_search(c: Corpus, symbol: str, include: str | None = None) -> DataFrame:
+    return search.definition_search(c.lines, symbol, extension=include)
+
+
+@tool("expand_context")
+def expand_context(c: Corpus, symbols: list[str]) -> DataFrame:
+    return references.expand_context(c.lines, c.symbols, symbols)
