@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch, small_batches
@@ -137,20 +137,27 @@ _FILTER_BITS = 1 << 26
 _FILTER_PART = 1 << 15  # bits in one of Spark's bitmaps
 
 
-def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows (id, text) whose id is among ids (id, distinct).
+def _bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(11)), F.lit(_FILTER_BITS))
+
+
+def _maybe(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """rows with `_in`: false where the id is surely not among ids (id); null ids are not.
 
     A bitmap of hashed ids, of _FILTER_BITS / 8 bytes (8 MB) at most, goes to all
-    tasks and drops most other rows before the join deals out what is left.
-    Beyond tens of millions of ids it lets more pass; the join is exact always.
+    tasks. Beyond tens of millions of ids it rules out less, and nothing wrongly.
     """
-    bit = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(_FILTER_BITS))
-    marks = ids.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
-    near = rows.withColumn("_h", bit).join(F.broadcast(marks), F.bitmap_bucket_number("_h") == F.col("_part"))
-    at = F.bitmap_bit_position("_h")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = near.withColumn("_byte", byte).filter("shiftright(_byte, cast(bitmap_bit_position(_h) % 8 as int)) % 2 = 1")
-    return near.select(*rows.columns).join(ids, "id", "left_semi")
+    marks = ids.select(_bit("id").alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    x = rows.withColumn("_h", F.when(F.col(column).isNotNull(), _bit(column)))
+    x = x.join(F.broadcast(marks), F.bitmap_bucket_number("_h") == F.col("_part"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.bitmap_bit_position("_h") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    x = x.withColumn("_byte", byte).withColumn("_in", F.expr("coalesce(shiftright(_byte, cast(bitmap_bit_position(_h) % 8 as int)) % 2 = 1, false)"))
+    return x.drop("_h", "_part", "_bits", "_byte")
+
+
+def near_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (id, text) whose id is among ids (id, distinct), and few others: a cut of the scan, without a shuffle."""
+    return _maybe(rows, ids, "id").filter("_in").drop("_in")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
@@ -158,16 +165,20 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scr
     near = reps.select("id", "n", "sketch")
     x = pairs.join(near.toDF("a", "na", "sa"), "a").join(near.toDF("b", "nb", "sb"), "b")
     x = x.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    kept = scratch.keep(x.filter(differ <= _most_bits(0.65)).select("a", "b"), f"{name}-pairs")
+    kept = scratch.keep(x.filter(_differing("sa", "sb") <= _most_bits(0.65)).select("a", "b"), f"{name}-pairs")
     ids = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
-    held = scratch.keep(only_ids(texts, ids), f"{name}-texts")
+    held = scratch.keep(near_ids(texts, ids), f"{name}-texts")
     both = kept.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     links = scratch.keep(both.mapInArrow(_confirm(threshold), kept.schema), f"{name}-links")
     scratch.drop(held)
     return links
 
 
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+
+
 def _most_bits(similarity: float) -> int:
     """Sketch bits that differ, at most, where the estimate is at least similarity."""
     # estimate: similarity = 1 + bits / (4 * samples) * ln(1 - 2 * differing / bits)
@@ -255,9 +266,18 @@ def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch
     if rest.isEmpty():
         return comp
     rest = scratch.keep(_linkable(rest, texts, reps, scratch, threshold, unique_ids), "linkable")
-    moving = rest.filter("comp <> home").select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "comp", "n", "shared")))
+    moving = rest.filter("comp <> home").select(*(F.col(c).alias(f"{c}_") for c in rest.columns if c != "home"))
     both = F.least("shared", "shared_")
-    cross = moving.join(rest, (moving["key"] == rest["key"]) & (F.col("comp") != F.col("comp_")) & (100 * both >= threshold * (F.col("n") + F.col("n_") - both)))
+    # a pair is taken in one bucket only, that of its smallest common key: if it is a centre's
+    # there, or the bucket is whole by now, it has been confirmed or is linked already
+    cross = moving.join(
+        rest,
+        (F.col("key_") == F.col("key"))
+        & (F.col("comp") != F.col("comp_"))
+        & (100 * both >= threshold * (F.col("n") + F.col("n_") - both))
+        & (_differing("sketch", "sketch_") <= _most_bits(0.65))
+        & (F.array_min(F.array_intersect("bands", "bands_")) == F.col("key")),
+    )
     more = scratch.keep(cross.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "cross")
     if more.isEmpty():
         return comp
@@ -276,15 +296,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linkable(rest: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scratch, threshold: int, unique_ids: bool) -> DataFrame:
     """rest with n and shared, the shingles that another document of rest has too.
 
-    A document's intersection with any other there is shared at most, so one of
-    which too few are shared has no link and goes. Where ids repeat, with several
+    A document's intersection with any other there is shared at most (a few other
+    documents may count too, which only adds to it), so one of which too few are shared has no link and goes. Where ids repeat, with several
     texts each, nothing is ruled out.
     """
-    own = scratch.keep(only_ids(texts, rest.select("id").distinct()), "rest-texts")
+    own = scratch.keep(near_ids(texts, rest.select("id").distinct()), "rest-texts")
     kind = own.schema["id"].dataType.simpleString()
     sets = own.mapInArrow(_sets, f"id {kind}, s long").groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.max("id").alias("last"))
     alone = sets.filter("id = last").groupBy("id").agg(F.sum("c").alias("alone"))
-    x = rest.join(reps.select("id", "n"), "id").join(alone, "id", "left")
+    x = rest.join(reps.select("id", "n", "bands", "sketch"), "id").join(alone, "id", "left")
     x = x.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)) if unique_ids else F.col("n"))
     return x.filter(100 * F.col("shared") >= threshold * F.col("n")).drop("alone")
 
@@ -309,8 +329,11 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(docs.sparkSession, "first")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     found = scratch.keep(found.select(F.col(id_col).alias("_id"), "n_shingles", "kept"), "found")
-    gone = found.filter("not kept").select("_id")
-    out = docs.join(gone, docs[id_col] == gone["_id"], "left_anti")
+    gone = scratch.keep(found.filter("not kept").select(F.col("_id").alias("id")).distinct(), "gone")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever docs calls its columns, none clashes
+    own = names[docs.columns.index(id_col)]
+    x = _maybe(docs.toDF(*names), gone, own)
+    out = x.filter("not _in").drop("_in").unionByName(x.filter("_in").drop("_in").join(gone, F.col(own) == gone["id"], "left_anti")).toDF(*docs.columns)
     again = found.filter("kept and n_shingles > 0 and _id is not null").groupBy("_id").count().filter("count > 1").select("_id")
     again = scratch.keep(again, "again")
     if again.isEmpty():
