@@ -50,7 +50,7 @@ ORACLES: dict[str, str] = {
              r AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
              l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM a)
                    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-             b AS (SELECT doc_id, text, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             b AS (SELECT doc_id, text, len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) AS again, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
                           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.c, 0) AS n_dup_lines, coalesce(r.c, 0) AS n_repeat_words,
                           length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS letters,
                           length(regexp_replace(text, '[^!]', '', 'g')) AS marks
@@ -58,7 +58,7 @@ ORACLES: dict[str, str] = {
              f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND NOT (10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 2 * letters < word_chars
-               OR (letters > 40 AND 2 * upper > letters) OR 2 * marks > n_words) AS kept
+               OR (letters > 40 AND 2 * upper > letters) OR 2 * marks > n_words OR 10 * again > 3 * n_words) AS kept
         FROM f""",
     "op2_warc_round_trip": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),

@@ -128,6 +128,16 @@ def _exclaiming(texts: pa.Array, b: Base) -> np.ndarray:
     return 2 * marks > b.n_words
 
 
+def _stutter(texts: pa.Array, b: Base) -> np.ndarray:
+    again = np.zeros(len(texts), np.int64)
+    for i, j, h, o, _ in words(texts, lower=False):
+        same = np.concatenate([[0], h[1:] == h[:-1]])[: len(h)]
+        starts = o[:-1]
+        same[starts[starts < len(h)]] = 0  # a row's first word follows none
+        again[i:j] = np.diff(np.concatenate([[0], np.cumsum(same)])[o])
+    return 10 * again > 3 * b.n_words
+
+
 #: Thresholds that running prose stays well clear of.
 RULES = (
     Rule("symbols", lambda t, b: 10 * b.n_symbols > b.n_words),
@@ -135,6 +145,7 @@ RULES = (
     Rule("no_letters", _no_letters),
     Rule("shouting", _shouting),
     Rule("exclaiming", _exclaiming),
+    Rule("stutter", _stutter),
 )
 
 
