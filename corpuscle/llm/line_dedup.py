@@ -108,7 +108,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     # k2, a hash of the key, makes the join deal out both sides anew, so that a common line's rows can be split
     dup = lines.withColumn("k2", F.crc32(F.col("lid").cast("string").cast("binary"))).join(twice, ["lid", "k2"]).drop("k2")
     by_doc = Window.partitionBy("id", "th").orderBy("seq")
-    dup = dup.dropDuplicates(["id", "th", "seq"]).withColumn("seg", F.col("seq") - F.row_number().over(by_doc))
+    dup = dup.repartition("id", "th").dropDuplicates(["id", "th", "seq"]).withColumn("seg", F.col("seq") - F.row_number().over(by_doc))
     seg = Window.partitionBy("id", "th", "seg").orderBy("seq")
     dup = dup.withColumn("upto", F.sum("words").over(seg)).withColumn("all", F.max("upto").over(seg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     # m: lines of the shortest run of min_words from here on, found among the next min_words lines
@@ -156,9 +156,12 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_runs(docs, scratch, id_col=id_col, text_col=text_col, min_words=min_words)
-    gone = scratch.keep(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "lines"), "deleted")
+    gone = gone.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "lines")
+    deleted = scratch.keep(gone, "deleted")
     x = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    x = x.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    # the deletions, where their files' size allows, go to the texts; else the texts are dealt out to them
+    near = F.broadcast(deleted) if scratch.small(deleted) else deleted
+    x = x.join(near, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
     part = F.split("text", "\n")
     kept = F.array_join(F.filter(part, lambda v, k: ~F.array_contains("lines", k.cast("long"))), "\n")
     n_lines = F.coalesce(F.size(F.filter(part, lambda v: v.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))

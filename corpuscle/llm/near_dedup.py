@@ -332,8 +332,12 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     gone = scratch.keep(found.filter("not kept").select(F.col("_id").alias("id")).distinct(), "gone")
     names = [f"c{k}" for k in range(len(docs.columns))]  # whatever docs calls its columns, none clashes
     own = names[docs.columns.index(id_col)]
-    x = _maybe(docs.toDF(*names), gone, own)
-    out = x.filter("not _in").drop("_in").unionByName(x.filter("_in").drop("_in").join(gone, F.col(own) == gone["id"], "left_anti")).toDF(*docs.columns)
+    x = docs.toDF(*names)
+    if scratch.small(gone):
+        out = x.join(F.broadcast(gone), F.col(own) == gone["id"], "left_anti").toDF(*docs.columns)
+    else:  # only rows that the bitmap does not clear are dealt out for the join
+        x = _maybe(x, gone, own)
+        out = x.filter("not _in").drop("_in").unionByName(x.filter("_in").drop("_in").join(gone, F.col(own) == gone["id"], "left_anti")).toDF(*docs.columns)
     again = found.filter("kept and n_shingles > 0 and _id is not null").groupBy("_id").count().filter("count > 1").select("_id")
     again = scratch.keep(again, "again")
     if again.isEmpty():

@@ -49,6 +49,12 @@ class Scratch:
         out._corpuscle_path = at
         return out
 
+    def small(self, table: DataFrame, limit: int = 4 << 20) -> bool:
+        """Whether a kept table's files hold at most `limit` bytes, so that it may go to all tasks."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(table._corpuscle_path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength() <= limit
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
