@@ -168,7 +168,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scr
     kept = scratch.keep(x.filter(_differing("sa", "sb") <= _most_bits(0.65)).select("a", "b"), f"{name}-pairs")
     ids = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
     held = scratch.keep(near_ids(texts, ids), f"{name}-texts")
-    both = kept.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    near = F.broadcast(kept) if scratch.small(kept) else kept
+    both = near.join(held.toDF("a", "ta"), "a").join(held.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     links = scratch.keep(both.mapInArrow(_confirm(threshold), kept.schema), f"{name}-links")
     scratch.drop(held)
     return links
