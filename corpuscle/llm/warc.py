@@ -134,6 +134,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     # the second key makes the join deal out both sides anew, so that a hot payload's rows can be split
     first = long.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(F.crc32(F.col("digest").cast("binary"))).alias("k2"))
     first = scratch.keep(first.filter("n > 1").select("digest", "first", "k2"), "first")
+    first = F.broadcast(first) if scratch.small(first) else first
     rows = rows.withColumn("k2", F.crc32(F.col("digest").cast("binary"))).join(first, ["digest", "k2"], "left")
     again = scratch.keep(pages.groupBy(F.col(id_col).cast("string").alias("page")).count().filter("count > 1 and page is not null").select("page", F.lit(True).alias("again")), "again")
     rows = rows.withColumn("again", F.col("page").isNull()) if again.isEmpty() else rows.join(again, "page", "left").withColumn("again", F.coalesce("again", F.col("page").isNull()))
