@@ -160,12 +160,16 @@ def near_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return _maybe(rows, ids, "id").filter("_in").drop("_in")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow and full sets confirm."""
+def _allowed(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
     near = reps.select("id", "n", "sketch")
     x = pairs.join(near.toDF("a", "na", "sa"), "a").join(near.toDF("b", "nb", "sb"), "b")
     x = x.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    kept = scratch.keep(x.filter(_differing("sa", "sb") <= _most_bits(0.65)).select("a", "b"), f"{name}-pairs")
+    return x.filter(_differing("sa", "sb") <= _most_bits(0.65)).select("a", "b")
+
+
+def _confirmed(kept: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
+    """The pairs (a, b) of a kept table that full sets confirm."""
     ids = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
     held = scratch.keep(near_ids(texts, ids), f"{name}-texts")
     near = F.broadcast(kept) if scratch.small(kept) else kept
@@ -256,7 +260,8 @@ def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch
     member = scratch.keep(spread_join(member, shared, "key"), "members")
     centres = member.select(F.explode(F.array("low", "any")).alias("x"), "id")
     pairs = centres.filter("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    found = _confirmed(pairs, reps, texts, scratch, threshold, "star").union(same)
+    star = scratch.keep(_allowed(pairs, reps, threshold), "star")
+    found = _confirmed(star, texts, scratch, threshold, "star").union(same)
     comp = scratch.keep(components(found, scratch), "comp")
     # what the centres left apart
     placed = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -282,7 +287,7 @@ def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch
     more = scratch.keep(cross.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "cross")
     if more.isEmpty():
         return comp
-    found = found.union(_confirmed(more, reps, texts, scratch, threshold, "cross"))
+    found = found.union(_confirmed(more, texts, scratch, threshold, "cross"))
     return scratch.keep(components(found, scratch), "comp")
 
 
