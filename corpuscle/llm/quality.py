@@ -175,7 +175,12 @@ def order_rules(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, .
     The rows with the smallest text hashes are timed in one task, each rule over
     all of them. Ties, and an empty sample, keep the given order.
     """
-    rows = docs.select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(sample).coalesce(1)
+    texts = docs.select(F.col(text_col).alias("text"))
+    # the hashes alone are sorted: the texts of a sample from each partition would not fit one task
+    cut = texts.select(F.xxhash64("text").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if cut is None:
+        return rules
+    rows = texts.filter(F.xxhash64("text") <= cut).limit(sample).coalesce(1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, hits = [0.0] * len(rules), [0] * len(rules)
