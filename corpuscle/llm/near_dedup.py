@@ -14,8 +14,10 @@
    intersection holds none of them.
 5. Components come from alternating large-star and small-star joins.
 
-At a similarity of 0.85 a link shares no band with probability (1 - 0.85**4)**24,
-2e-8. The sketch filter keeps estimates of 0.65 and more, over five deviations.
+A link shares no band with probability (1 - similarity**4)**24: 2e-8 at 0.85, 3e-6
+at 0.80. The sketch filter keeps estimates down to 5.5 deviations of the samples
+below the threshold (0.65 at 0.85, 0.575 at 0.80), and loses a link at the
+threshold with probability 1e-6 at 0.85 and 2e-6 at 0.80.
 """
 
 from __future__ import annotations
@@ -165,7 +167,7 @@ def _allowed(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     near = reps.select("id", "n", "sketch")
     x = pairs.join(near.toDF("a", "na", "sa"), "a").join(near.toDF("b", "nb", "sb"), "b")
     x = x.filter(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    return x.filter(_differing("sa", "sb") <= _most_bits(0.65)).select("a", "b")
+    return x.filter(_differing("sa", "sb") <= _most_bits(_least_estimate(threshold))).select("a", "b")
 
 
 def _confirmed(kept: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
@@ -184,6 +186,12 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
+def _least_estimate(threshold: int) -> float:
+    """The lowest estimate that a link of the threshold's similarity is given up at: 5.5 deviations below it."""
+    t = threshold / 100
+    return t - 5.5 * np.sqrt(t * (1 - t) / SAMPLES)
+
+
 def _most_bits(similarity: float) -> int:
     """Sketch bits that differ, at most, where the estimate is at least similarity."""
     # estimate: similarity = 1 + bits / (4 * samples) * ln(1 - 2 * differing / bits)
@@ -281,7 +289,7 @@ def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch
         (F.col("key_") == F.col("key"))
         & (F.col("comp") != F.col("comp_"))
         & (100 * both >= threshold * (F.col("n") + F.col("n_") - both))
-        & (_differing("sketch", "sketch_") <= _most_bits(0.65))
+        & (_differing("sketch", "sketch_") <= _most_bits(_least_estimate(threshold)))
         & (F.array_min(F.array_intersect("bands", "bands_")) == F.col("key")),
     )
     more = scratch.keep(cross.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "cross")
