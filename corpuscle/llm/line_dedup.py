@@ -6,12 +6,15 @@ so the array holds suffixes that begin at such lines, cut at the first line that
 occurs once. Prefix doubling ranks them: in each round the pair (rank, rank
 2**k lines on) is replaced by its place in the sorted order of all pairs.
 
-A run counts from `min_words` words on. The shortest run of that size at a
-position, of m lines, names an LCP interval: the suffixes whose ranks at the two
-powers of two that cover m agree. Its first member, by id and line, stays; the
-lines of all later members go, so a maximal repeated run goes as a whole. As a
-line has a word at least, m is min_words at most, and so are the doublings
-bounded: log2(min_words) rounds, however long the repeats.
+A run counts from `min_words` words on. The shortest runs of that size, those
+that start at each line and those that end at each line, name LCP intervals: a
+run of m lines the suffixes whose ranks at the two powers of two that cover m
+agree. An interval's first member, by id and line, stays; the lines of all later
+members go. A maximal repeated run goes as a whole: with first line i and last
+line j, the shortest runs from its lines cover it from i on, up to the last that
+ends by j, and any line after that ends a shortest run that begins at i or
+later. As a line has a word at least, m is min_words at most, and so are the
+doublings bounded: log2(min_words) rounds, however long the repeats.
 """
 
 from __future__ import annotations
@@ -111,20 +114,24 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     dup = dup.repartition("id", "th").dropDuplicates(["id", "th", "seq"]).withColumn("seg", F.col("seq") - F.row_number().over(by_doc))
     seg = Window.partitionBy("id", "th", "seg").orderBy("seq")
     dup = dup.withColumn("upto", F.sum("words").over(seg)).withColumn("all", F.max("upto").over(seg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    # m: lines of the shortest run of min_words from here on, found among the next min_words lines
+    # m: lines of the shortest run of min_words from here on; the runs of m to `to` lines, if m is not the
+    # only one, are those that are the shortest to end at their last line. All lie in the next min_words lines
     ahead = F.collect_list(F.col("upto")).over(seg.rowsBetween(0, min_words - 1))
     need = F.col("upto") - F.col("words") + min_words
-    dup = dup.filter(F.col("all") >= min_words).withColumn("m", F.size(F.filter(ahead, lambda u: u < need)) + 1)
+    dup = dup.withColumn("ahead", ahead).filter(F.col("all") >= min_words).withColumn("m", F.size(F.filter("ahead", lambda u: u < need)) + 1)
     dup = dup.withColumn("m", F.when(F.col("all") - F.col("upto") + F.col("words") >= min_words, F.col("m")))
-    now = scratch.keep(dup.select("id", "th", "seg", "seq", "line", "m", F.col("lid").alias("r")), "suffixes-0")
-    most = now.agg(F.max("m")).first()[0] or 0
+    dup = dup.withColumn("to", F.when(F.col("m").isNotNull(), F.greatest("m", F.size(F.filter("ahead", lambda u: u < F.col("upto") + min_words)))))
+    now = scratch.keep(dup.select("id", "th", "seg", "seq", "line", "m", "to", F.col("lid").alias("r")), "suffixes-0")
+    most = now.agg(F.max("to")).first()[0] or 0
     hit, k, done = None, 0, now
     while (1 << k) <= most:
         # runs of 2**k to 2**(k + 1) - 1 lines: two overlapping powers of two cover them
         step = 1 << k
         nexts = F.collect_list("r").over(seg.rowsBetween(0, step))
         x = now.withColumn("nexts", nexts)
-        runs = x.filter(F.col("m").between(step, 2 * step - 1)).select("id", "th", "seq", "line", "m", "r", F.element_at("nexts", (F.col("m") - step + 1).cast("int")).alias("r2"))
+        runs = x.filter((F.col("m") < 2 * step) & (F.col("to") >= step))
+        runs = runs.withColumn("m", F.explode(F.sequence(F.greatest("m", F.lit(step)), F.least("to", F.lit(2 * step - 1)))))
+        runs = runs.select("id", "th", "seq", "line", "m", "r", F.element_at("nexts", (F.col("m") - step + 1).cast("int")).alias("r2"))
         runs = scratch.keep(runs, f"runs-{k}")
         first = runs.groupBy("m", "r", "r2").agg(F.min(F.struct("id", "th", "seq")).alias("first"), F.count("*").alias("n"), F.max(F.crc32(F.col("r").cast("string").cast("binary"))).alias("k2")).filter("n > 1")
         later = runs.withColumn("k2", F.crc32(F.col("r").cast("string").cast("binary"))).join(first, ["m", "r", "r2", "k2"])
@@ -136,7 +143,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
         pairs = scratch.keep(pairs, f"pairs-{k}")
         rank = _ranked(pairs, scratch, f"rank-{k}").withColumn("k2", F.crc32(F.col("r").cast("string").cast("binary")))
         now = pairs.withColumn("k2", F.crc32(F.col("r").cast("string").cast("binary"))).join(rank, ["r", "r2", "k2"])
-        now = scratch.keep(now.select("id", "th", "seg", "seq", "line", "m", F.col("rank").alias("r")), f"suffixes-{k + 1}")
+        now = scratch.keep(now.select("id", "th", "seg", "seq", "line", "m", "to", F.col("rank").alias("r")), f"suffixes-{k + 1}")
         k += 1
     if hit is None:
         return done.limit(0).select("id", "th", F.array("line").alias("lines"))

@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 import corpus_pipeline
 import numpy as np
 
-from corpuscle.llm import near_dedup
+from corpuscle.llm import line_dedup, near_dedup
 
 
 def test_near_dedup_stage_links_at_080(spark):
@@ -20,3 +22,32 @@ def test_sketch_margin_follows_the_threshold():
     for t in (80, 85):
         below = t / 100 - near_dedup._least_estimate(t)
         assert below >= 5 * np.sqrt(t * (100 - t) / 1e4 / near_dedup.SAMPLES)
+
+
+def repeated_lines(texts, min_words=50):
+    """By the definition: lines of runs of min_words words that an earlier place has too."""
+    seen, gone = set(), {k: set() for k in texts}
+    for k in sorted(texts):
+        lines = texts[k].split("\n")
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if sum(len(x.split()) for x in lines[i : j + 1]) >= min_words:
+                    run = tuple(lines[i : j + 1])
+                    if run in seen:
+                        gone[k] |= set(range(i, j + 1))
+                    seen.add(run)
+    return {k: len(v) for k, v in gone.items()}
+
+
+def test_the_end_of_a_repeated_run_goes_too(spark):
+    """A shared line of 60 words, then a shared one of 10; and random runs against the definition."""
+    r = random.Random(11)
+    pool = [" ".join(f"p{k}w{j}" for j in range(n)) for k, n in enumerate([60, 10, 3, 25, 30, 48, 1, 1, 70, 5])]
+    texts = {1: f"a\n{pool[0]}\n{pool[1]}\nb", 2: f"c\n{pool[0]}\n{pool[1]}\nd"}
+    for k in range(3, 120):
+        at = r.randrange(len(pool))
+        run = [(pool * 2)[at + j] for j in range(r.randrange(1, 9))]
+        texts[k] = "\n".join([f"own{k}", *run, *r.choices(pool, k=2), f"end{k}"])
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.n_deleted for x in line_dedup.dedup_lines(df).collect()}
+    assert got[2] == 2 and got == repeated_lines(texts)
