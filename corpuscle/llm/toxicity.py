@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .near_dedup import near_ids
 from .storage import small_batches
 from .textcore import U, words
 
@@ -24,6 +25,7 @@ WORD_BITS, HEAD_BITS, HEAD_BYTES = 15, 13, 4
 DIM, FILTERS, WIDTHS = 16, 12, (1, 2, 3)
 _PAD = max(WIDTHS) - 1
 _SLICE = 1 << 14
+_BINS = 64  # bins of logits a unit, in which calibration counts
 
 
 def _encode(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,19 +172,26 @@ def train(w: list[np.ndarray], head: list[np.ndarray], y: np.ndarray, *, steps:
     return m
 
 
-def _best_cut(score: np.ndarray, y: np.ndarray, fallback: float) -> float:
-    """The middle of the widest gap among cuts with the fewest errors."""
-    if len(np.unique(y)) < 2 or min((y == 1).sum(), (y == 0).sum()) < 10:
+def _best_cut(score: np.ndarray, clean: np.ndarray, toxic: np.ndarray, fallback: float) -> float:
+    """The middle of the widest gap among cuts with the fewest errors; score: ascending, clean and toxic: rows at each."""
+    if min(clean.sum(), toxic.sum()) < 10:
         return fallback
-    order = np.argsort(score, kind="stable")
-    s, t = score[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(t == 1)]) + (t == 0).sum() - np.concatenate([[0], np.cumsum(t == 0)])
-    edges = np.concatenate([[0.0], s, [1.0]])
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + clean.sum() - np.concatenate([[0], np.cumsum(clean)])
+    edges = np.concatenate([[0.0], score, [1.0]])
     cuts, gaps = (edges[:-1] + edges[1:]) / 2, np.diff(edges)
     best = np.flatnonzero(errors == errors.min())
     return float(cuts[best[np.argmax(gaps[best])]])
 
 
+def _counts(rows: list[tuple[int, int, int]], shift: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, ascending, of the bins in rows (bin, label, rows), and their clean and toxic rows; logits moved by shift."""
+    bins = np.array(sorted({r[0] for r in rows}))
+    n = np.zeros((2, len(bins)))
+    for b, y, c in rows:
+        n[y, np.searchsorted(bins, b)] += c
+    return 1 / (1 + np.exp(-np.clip((bins + 0.5) / _BINS + shift, -30, 30))), n[0], n[1]
+
+
 def held_out(id_col: str) -> Column:
     """Whether crc32 of the id as text leaves 0 modulo 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -192,18 +201,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Train on a bounded sample of labelled rows outside the held-out fifth.
 
     sample: labelled rows at most, half of each label, the first by hash of the
-    id; max_words: longer texts are not sampled. Both bound what the driver
-    holds. A quarter of the sample calibrates: the score's 0.5 globally, the
-    threshold of each language that has ten rows of each label. Null or repeated
-    labels: null ones are left out, of several for one id the larger counts.
-    Without both labels the scores are constant.
+    id, of three quarters by another hash; max_words: longer texts are not
+    fitted. Both bound what the driver holds. All labelled rows that neither the
+    fit nor the held-out fifth has calibrate, whole and at their own mix of
+    labels: the score's 0.5 globally, the threshold of each language that has
+    ten of them of each label. They are scored in one scan and counted in bins;
+    rows of repeated ids each count. Null or repeated labels: null ones are left
+    out, of several for one id the larger counts. Without both labels the scores
+    are constant.
     """
     small_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
     marked = marked.filter(~held_out("id")).groupBy("id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
     picked = None
     for y in (0, 1):
-        part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2)
+        part = marked.filter((F.col("y") == y) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) != 3)).orderBy(F.xxhash64("id"), "id").limit(sample // 2)
         picked = part if picked is None else picked.unionByName(part)
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
@@ -226,21 +238,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return m
     w = [x.values.to_numpy() for x in got["w"]]
     head = [x.values.to_numpy() for x in got["h"]]
-    tune = np.arange(len(y)) % 4 == 3
-    fitted, tuned = np.flatnonzero(~tune), np.flatnonzero(tune)
-    m = train([w[k] for k in fitted], [head[k] for k in fitted], y[fitted])
-    logit = np.array([m.logits(w[k], head[k], np.array([0, len(w[k])]))[0] for k in tuned])
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-    cut = np.clip(_best_cut(sig(logit), y[tuned], 0.5), 0.02, 0.98)
-    m.bias -= float(np.log(cut / (1 - cut)))
-    score = sig(logit - np.log(cut / (1 - cut)))
-    langs = np.array([x or "" for x in got["lang"].to_pylist()])[tuned]
-    for name in sorted(set(langs) - {""}):
-        mine = langs == name
-        m.thresholds[str(name)] = float(np.clip(_best_cut(score[mine], y[tuned][mine], 0.5), 0.2, 0.8))
+    m = train(w, head, y)
+    fitted = docs.sparkSession.createDataFrame([(k,) for k in got["id"].to_pylist()], f"id {kind}")
+    other = marked.join(F.broadcast(fitted), "id", "left_anti")  # fitted: at most `sample` ids
+    found = _binned(near_ids(texts, other.select("id")), m, kind).join(other, "id")
+    # bins and languages bound what the driver gets
+    counted = [(r.lang or "", r.bin, r.y, r.n) for r in found.groupBy("lang", "bin", "y").agg(F.count("*").alias("n")).collect()]
+    cut = np.clip(_best_cut(*_counts([r[1:] for r in counted]), 0.5), 0.02, 0.98)
+    shift = -float(np.log(cut / (1 - cut)))
+    m.bias += shift
+    for name in sorted({r[0] for r in counted} - {""}):
+        m.thresholds[name] = float(np.clip(_best_cut(*_counts([r[1:] for r in counted if r[0] == name], shift), 0.5), 0.2, 0.8))
     return m
 
 
+def _binned(texts: DataFrame, model: ToxicityModel, kind: str) -> DataFrame:
+    """(id, lang, bin): the bin of each text's logit, in a scan of whole texts."""
+    held = texts.sparkSession.sparkContext.broadcast(model)  # about 3 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            out = np.zeros(b.num_rows, np.int64)
+            for i, j, w, head, off in _encode(b.column(2)):
+                out[i:j] = np.floor(np.clip(m.logits(w, head, off), -30, 30) * _BINS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["id", "lang", "bin"])
+
+    return texts.select("id", "lang", "text").mapInArrow(run, f"id {kind}, lang string, bin long")
+
+
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id_col, held_out, score, predicted (score >= 0.5), threshold, flagged.
 

@@ -1,11 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import zlib
 
 import corpus_pipeline
 import numpy as np
 
-from corpuscle.llm import line_dedup, near_dedup
+from corpuscle.llm import line_dedup, near_dedup, toxicity
 
 
 def test_near_dedup_stage_links_at_080(spark):
@@ -51,3 +52,21 @@ def test_the_end_of_a_repeated_run_goes_too(spark):
     df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     got = {x.doc_id: x.n_deleted for x in line_dedup.dedup_lines(df).collect()}
     assert got[2] == 2 and got == repeated_lines(texts)
+
+
+def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
+    """A sample of 60 rows only: every other labelled row outside the held-out fifth is counted, in each language."""
+    r, rows, labels = random.Random(9), [], []
+    for k in range(900):
+        y = int(r.random() < 0.2)
+        w = [f"w{r.randrange(200)}" for _ in range(40)] + ["vile"] * y
+        rows.append((k, " ".join(w), "es" if k % 3 == 0 else "en"))
+        labels.append((k, y))
+    seen, plain = [], toxicity._best_cut
+    monkeypatch.setattr(toxicity, "_best_cut", lambda s, c, t, f: seen.append((c.sum(), t.sum())) or plain(s, c, t, f))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), sample=60)
+    used = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    assert seen[0] == (sum(not y for _, y in used) - 30, sum(y for _, y in used) - 30)
+    assert seen[1][0] + seen[2][0] == seen[0][0] and seen[1][1] + seen[2][1] == seen[0][1]
+    assert sorted(m.thresholds) == ["en", "es"] and seen[2][1] >= 10
