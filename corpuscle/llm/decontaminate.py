@@ -9,7 +9,9 @@ the whole document then decides.
 
 With containment c >= 0.8 the windows of a document share with the item at least
 PERMUTATIONS * 0.8 / 4.2 expected minima, so a miss has probability under
-exp(-18); where the item's words stand in the document does not matter.
+exp(-18); where the item's words stand in the document does not matter. The
+smallest class's windows are too wide for that where items have under 8 shingles:
+these are looked up by all their shingles, and none is missed.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ PERMUTATIONS = 96
 #: Items whose texts go to the executors at once; a larger benchmark goes in blocks.
 BLOCK_BYTES = 8 << 20
 _BASE = 16  # shingles of the smallest class
+_FEW = 8  # items of fewer shingles are looked up by each of them
 
 
 class ItemIndex:
@@ -44,24 +47,28 @@ class ItemIndex:
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
         for k, s in enumerate(sets):
-            if len(s):
+            if len(s) >= _FEW:
                 by.setdefault(max(0, int(np.ceil(np.log2(len(s) / _BASE)))), []).append(k)
         for c, items in by.items():
             minima = np.stack([(sets[k][:, None] * self.mult[None, :]).min(axis=0) for k in items])
             flat, owner = minima.ravel(), np.repeat(np.array(items), PERMUTATIONS)
             order = np.argsort(flat, kind="stable")
             self.classes[c] = (flat[order], owner[order])
+        few = [k for k, s in enumerate(sets) if 0 < len(s) < _FEW]
+        flat = np.concatenate([np.zeros(0, U), *(sets[k] for k in few)])
+        owner, order = np.repeat(np.array(few, np.int64), [len(sets[k]) for k in few]), np.argsort(flat, kind="stable")
+        self.few = (flat[order], owner[order])
         self.filter = np.zeros(1 << 22, bool)
-        for keys, _ in self.classes.values():
+        for keys, _ in [self.few, *self.classes.values()]:
             self.filter[(keys >> U(42)).astype(np.int64)] = True
 
-    def _hits(self, minima: np.ndarray, rows: np.ndarray, c: int) -> Iterator[tuple[int, int]]:
-        """(row, item) of windows, one permutation's minima, that equal an item's."""
-        maybe = np.flatnonzero(self.filter[(minima >> U(42)).astype(np.int64)])
+    def _hits(self, values: np.ndarray, rows: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int]]:
+        """(row, item) of the values, one permutation's minima or shingles, that equal an item's."""
+        maybe = np.flatnonzero(self.filter[(values >> U(42)).astype(np.int64)])
         if len(maybe):
-            keys, owner = self.classes[c]
-            lo = np.searchsorted(keys, minima[maybe], "left")
-            hi = np.searchsorted(keys, minima[maybe], "right")
+            keys, owner = table
+            lo = np.searchsorted(keys, values[maybe], "left")
+            hi = np.searchsorted(keys, values[maybe], "right")
             for m, a, b in zip(maybe[hi > lo], lo[hi > lo], hi[hi > lo]):
                 for k in owner[a:b]:
                     yield int(rows[m]), int(k)
@@ -69,9 +76,13 @@ class ItemIndex:
     def candidates(self, h: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) pairs to verify, of rows with shingle hashes h."""
         out: set[tuple[int, int]] = set()
-        if not self.classes or len(h) == 0:
+        if len(h) == 0:
             return out
         counts = np.diff(offsets)
+        if len(self.few[0]):
+            out.update(self._hits(h, np.repeat(np.arange(len(counts)), counts), self.few))
+        if not self.classes:
+            return out
         n_blocks = -(-counts // _BASE)
         rows = np.repeat(np.arange(len(counts)), n_blocks)
         first = np.cumsum(n_blocks) - n_blocks
@@ -85,7 +96,7 @@ class ItemIndex:
                     block = np.where(has, np.minimum(block[idx], block[np.minimum(idx + 1, len(block) - 1)]), block[idx])
                 if c in self.classes:
                     row, pair = levels[c][:2]
-                    out.update(self._hits(np.minimum(block, block[pair]), row, c))
+                    out.update(self._hits(np.minimum(block, block[pair]), row, self.classes[c]))
         return out
 
     def _levels(self, n_blocks: np.ndarray) -> list[tuple]:

@@ -5,8 +5,9 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
-from corpuscle.llm import line_dedup, near_dedup, toxicity
+from corpuscle.llm import decontaminate, line_dedup, near_dedup, toxicity
 
 
 def test_near_dedup_stage_links_at_080(spark):
@@ -70,3 +71,13 @@ def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
     assert seen[0] == (sum(not y for _, y in used) - 30, sum(y for _, y in used) - 30)
     assert seen[1][0] + seen[2][0] == seen[0][0] and seen[1][1] + seen[2][1] == seen[0][1]
     assert sorted(m.thresholds) == ["en", "es"] and seen[2][1] >= 10
+
+
+def test_short_items_are_never_missed():
+    """Items of five to eleven words, each in one of 3,000 texts among the first 16 shingles."""
+    r = random.Random(10)
+    items = [" ".join(f"i{k}w{j}" for j in range(5 + k % 7)) for k in range(3000)]
+    texts = [" ".join([f"a{k}b{j}" for j in range(r.randrange(10))] + [x] + [f"c{k}d{j}" for j in range(60)]) for k, x in enumerate(items)]
+    index = decontaminate.ItemIndex(list(range(3000)), items, 0.8, 5)
+    got = sorted((i, k) for i, k, _ in index.matches(pa.array(texts, pa.large_string())))
+    assert got == [(k, k) for k in range(3000)]
