@@ -29,41 +29,69 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_open: list["Scratch"] = []
+
+
 class Scratch:
-    """Tables of one operator call, each written once and read back."""
+    """Tables of one operator call, each written once and read back.
+
+    They stay until close(), or release() for all, as the DataFrames that the
+    operators return read them lazily.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._made = 0
+        _open.append(self)
 
     def path(self, name: str) -> str:
         self._made += 1
         return f"{self.root}/{self._made:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df to the shared folder and return it read back, free of its lineage."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write df to the shared folder, in a folder for each value of by, and return it read back, free of its lineage."""
         at = self.path(name)
-        df.write.parquet(at)
+        (df.write.partitionBy(by) if by else df.write).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._corpuscle_path = at
         return out
 
     def small(self, table: DataFrame, limit: int = 4 << 20) -> bool:
-        """Whether a kept table's files hold at most `limit` bytes, so that it may go to all tasks."""
+        """Whether a kept table's files hold at most `limit` bytes, so that it may go to all tasks.
+
+        The answer picks a join's strategy (broadcast or shuffled), never its rows.
+        """
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(table._corpuscle_path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength() <= limit
 
+    def _delete(self, at: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            at = getattr(t, "_corpuscle_path", None)
-            if at:
-                p = jvm.org.apache.hadoop.fs.Path(at)
-                p.getFileSystem(conf).delete(p, True)
+            if at := getattr(t, "_corpuscle_path", None):
+                self._delete(at)
+
+    def close(self) -> None:
+        """Delete all tables of the call; what it returned cannot be read after this."""
+        self._delete(self.root)
+        if self in _open:
+            _open.remove(self)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables of all operator calls of this process on the session; how many calls that were.
+
+    To be called when the returned DataFrames have been written or are not needed.
+    """
+    mine = [s for s in _open if s.spark is spark or s.spark.sparkContext is spark.sparkContext]
+    for s in mine:
+        s.close()
+    return len(mine)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
