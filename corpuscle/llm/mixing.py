@@ -4,11 +4,18 @@ Each source's documents get rates min(cap, exp(lambda * size / mean size)), the
 rates of least entropy cost that meet the source's token target: the convex dual
 has one multiplier for each source, and all are solved together by safeguarded
 Newton steps, each one aggregation over the corpus. Rates become whole copies:
-a document takes its rate's integer part, and one more where its hash, less the
-rate's fraction, lies below a cut that keeps the source's tokens within its
-target. Cuts are found digit by digit, by aggregations; where one document ends
-a source more than a thousandth short, the next cuts are over documents that fit
-into the rest.
+a document takes its rate's integer part, and one more where its place, the hash
+of its content less the rate's fraction, lies below a cut that keeps the source's
+tokens within its target. Cuts are found digit by digit, by aggregations; where
+one document ends a source more than a thousandth short, the next cuts are over
+documents that fit into the rest, until none does; then a second and third extra
+copy may fill it, within the cap. A last document is taken where that comes nearer
+to the target.
+
+Sources: the driver holds some hundred bytes for each, whatever their documents.
+Up to SOURCES of them (about 5 MB) the solved numbers go to all tasks; beyond
+that they are joined by source and a key that depends on it, which lets adaptive
+execution split a hot source.
 """
 
 from __future__ import annotations
@@ -21,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .near_dedup import spread_join
 from .storage import Scratch, small_batches
 from .textcore import _SPACE, buffers, chunks
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
+#: Sources whose parameters go to all tasks.
+SOURCES = 50_000
+NEWTON_STEPS, CUTS, NEAR = 200, 200, 1e-3
 _BITS, _DIGIT = 53, 12
 
 
@@ -97,41 +108,75 @@ def _rate(size: str, cap: float) -> Column:
     return F.coalesce(F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col(size) / F.col("mean"))), F.lit(float(cap)))
 
 
-def _place(id_col: str, rate: Column) -> Column:
-    """Order of taking the extra copy: the id's hash less the rate's fraction, 0 to 2**53."""
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(6)), 11) / F.lit(float(1 << 53))
+def _place(rate: Column) -> Column:
+    """Order of taking the extra copy: the hash of h and k less the rate's fraction, 0 to 2**53."""
+    u = F.shiftrightunsigned(F.xxhash64("h", "k", F.lit(6)), 11) / F.lit(float(1 << 53))
     return ((u - (rate - F.floor(rate)) + 1) * float(1 << (_BITS - 1))).cast("long")
 
 
+def _content(*columns: str) -> Column:
+    """A hash of the columns, nulls told from values."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with k: 0, or for rows of equal h their running number from 1.
+
+    Rows of equal h are alike, so any order among them gives the same mix. Only
+    they are dealt out, in 1,024 parts for each h, with the parts' offsets added.
+    """
+    again = scratch.keep(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.lit(True).alias("_again")), "again")
+    if again.isEmpty():
+        return rows.withColumn("k", F.lit(0).cast("long"))
+    x = rows.join(F.broadcast(again), "h", "left") if scratch.small(again) else spread_join(rows, again, "h", "left")
+    once = x.filter("_again is null").drop("_again").withColumn("k", F.lit(0).cast("long"))
+    same = scratch.keep(x.filter("_again").drop("_again").withColumn("_part", F.monotonically_increasing_id() % 1024), "same")
+    parts = same.groupBy("h", "_part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("h", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    same = same.withColumn("_at", F.row_number().over(Window.partitionBy("h", "_part").orderBy("h")))
+    same = same.join(parts, ["h", "_part"]).withColumn("k", (F.col("_before") + F.col("_at")).cast("long"))
+    return once.unionByName(same.select(*once.columns))
+
+
+def _takes(step: Column, size: str) -> Column:
+    """Whether a step (start, cut, limit, level) gives a row its level-th extra copy."""
+    return (F.col("place") >= step.start) & (F.col("place") < step.cut) & (F.col(size) <= step.limit)
+
+
+def _by_source(rows: DataFrame, params: DataFrame, sources: int) -> DataFrame:
+    """rows joined with the parameters (key, ...), one row a source; sources: how many there are."""
+    return rows.join(F.broadcast(params), "key") if sources <= SOURCES else spread_join(rows, params, "key")
+
+
 class Mix:
     """A solved mix: one row of parameters for each source."""
 
-    def __init__(self, params: DataFrame, cap: float):
-        self.params, self.cap = params, cap
+    def __init__(self, params: DataFrame, sources: int, cap: float):
+        self.params, self.sources, self.cap = params, sources, cap
 
-    def copies(self, docs: DataFrame, id_col: str, source_col: str, size_col: str) -> DataFrame:
-        """docs with rate, copies, source_size and target; any row count, no shuffle of docs where the sources are few."""
-        x = docs.withColumn("_key", _key(source_col)).join(self.params.withColumnRenamed("key", "_key"), "_key", "left")
-        x = x.withColumn("rate", _rate(size_col, self.cap))
-        x = x.withColumn("place", _place(id_col, F.col("rate")))
-        inside = F.exists("taken", lambda t: (F.col("place") >= t.start) & (F.col("place") < t.cut) & (F.col(size_col) <= t.limit))
-        extra = (F.col("rate") < self.cap) & inside
-        return x.withColumn("copies", F.floor("rate") + F.when(extra, 1).otherwise(0)).drop("_key", "lam", "mean", "place", "taken")
+    def copies(self, docs: DataFrame, source_col: str, size_col: str) -> DataFrame:
+        """docs (with h and k) with rate, copies, source_size and target."""
+        x = _by_source(docs.withColumn("key", _key(source_col)), self.params, self.sources)
+        x = x.withColumn("rate", _rate(size_col, self.cap)).withColumn("place", _place(F.col("rate")))
+        whole = F.floor("rate")
+        extra = F.size(F.filter("taken", lambda t: _takes(t, size_col) & (whole + t.level <= int(self.cap))))
+        return x.withColumn("copies", whole + F.when(F.col("rate") < self.cap, extra).otherwise(0)).drop("key", "lam", "mean", "place", "taken")
 
 
-def _cuts(part: DataFrame, rest: dict[str, float], params, nearest: bool) -> tuple[dict[str, int], dict[str, float]]:
+def _cuts(part: DataFrame, rest: dict[str, float], known) -> tuple[dict[str, int], dict[str, float]]:
     """The place below which each source's sizes sum to its rest at most, and what then is left of it.
 
-    Found a digit at a time, each by one aggregation. nearest: the document at
-    the cut is taken too where that comes nearer to the rest.
+    Found a digit at a time, each by one aggregation over part (key, place,
+    size), whose window sees at most 2**_DIGIT rows a source.
     """
     prefix, cut, rest = dict.fromkeys(rest, 0), {}, dict(rest)
     shift = _BITS
-    while shift > 0:
+    while shift > 0 and len(cut) < len(rest):
         width = min(_DIGIT, shift)
         shift -= width
         live = [k for k in rest if k not in cut]
-        here = part.join(params(prefix={k: prefix[k] if k in live else -1 for k in rest}, rest=rest), "key")
+        here = known(part, prefix={k: prefix[k] for k in live}, rest={k: rest[k] for k in live})
         here = here.filter(F.shiftright("place", shift + width) == F.col("prefix"))
         bins = here.groupBy("key", "rest", F.shiftright("place", shift).alias("bin")).agg(F.sum("size").alias("s"))
         w = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -145,22 +190,20 @@ def _cuts(part: DataFrame, rest: dict[str, float], params, nearest: bool) -> tup
                 rest[k] -= r.whole if r else 0
                 continue
             prefix[k] = r["at"].bin
-            before = r["at"].upto - r["at"].s
+            rest[k] -= r["at"].upto - r["at"].s
             if shift == 0:
-                more = nearest and r["at"].upto - rest[k] < rest[k] - before
-                cut[k] = prefix[k] + more
-                before = r["at"].upto if more else before
-            rest[k] -= before
+                cut[k] = prefix[k]
     return cut, {k: max(0.0, v) for k, v in rest.items()}
 
 
-def solve(sized: DataFrame, scratch: Scratch, *, id_col: str, source_col: str, size_col: str, weights: tuple = WEIGHTS, cap: float = CAP) -> Mix:
-    """Fit rates and cuts to documents with known sizes.
+def solve(sized: DataFrame, scratch: Scratch, *, source_col: str, size_col: str, weights: tuple = WEIGHTS, cap: float = CAP) -> Mix:
+    """Fit rates and cuts to documents with known sizes, h and k (see _numbered()).
 
-    The driver holds a few numbers for each source, the names included.
+    RuntimeError if the Newton steps or the cuts have not ended after NEWTON_STEPS
+    and CUTS of them.
     """
     spark = sized.sparkSession
-    base = scratch.keep(sized.select(F.col(id_col).alias("id"), _key(source_col).alias("key"), F.col(size_col).alias("size")), "sizes")
+    base = scratch.keep(sized.select(_key(source_col).alias("key"), F.col(size_col).alias("size"), "h", "k"), "sizes")
     # equal sizes have equal rates: the Newton steps need no more than their counts
     counts = scratch.keep(base.groupBy("key", "size").agg(F.count("*").alias("n")), "counts")
     found = {r.key: (int(r.n), int(r.s)) for r in counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("s")).collect()}
@@ -170,10 +213,14 @@ def solve(sized: DataFrame, scratch: Scratch, *, id_col: str, source_col: str, s
     mean = {k: max(s / n, 1e-9) for k, (n, s) in found.items()}
 
     def params(**columns: dict) -> DataFrame:
-        rows = [(k, *(c[k] for c in columns.values())) for k in sorted(total)]
-        kinds = {"lam": "double", "mean": "double", "taken": "array<struct<start: long, cut: long, limit: long>>", "start": "long", "limit": "long", "source_size": "long", "target": "double", "prefix": "long", "rest": "double"}
+        """One row for each source that the first column has."""
+        rows = [(k, *(c[k] for c in columns.values())) for k in sorted(next(iter(columns.values())))]
+        kinds = {"lam": "double", "mean": "double", "taken": "array<struct<start: long, cut: long, limit: long, level: int>>", "source_size": "long", "target": "double", "prefix": "long", "rest": "double"}
         return spark.createDataFrame(rows, "key string, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
 
+    def known(rows: DataFrame, **columns: dict) -> DataFrame:
+        return _by_source(rows, params(**columns), len(total))
+
     lam: dict[str, float | None] = dict.fromkeys(total, 0.0)
     low, high, open_ = dict.fromkeys(total, -math.inf), dict.fromkeys(total, math.inf), set()
     for k, s in total.items():
@@ -182,17 +229,15 @@ def solve(sized: DataFrame, scratch: Scratch, *, id_col: str, source_col: str, s
         elif s and abs(want[k] - s) > 1e-9 * s:
             open_.add(k)
     x = F.col("size") / F.col("mean")
-    for _ in range(80):
+    for _ in range(NEWTON_STEPS):
         if not open_:
             break
         rate = F.exp(F.col("lam") * x)
         mass = F.col("n") * F.col("size")
-        step = counts.join(params(lam=lam, mean=mean), "key").filter("lam is not null")
+        step = known(counts, lam={k: lam[k] for k in open_}, mean=mean)
         step = step.groupBy("key").agg(F.sum(mass * F.least(rate, F.lit(float(cap)))).alias("f"), F.sum(F.when(rate < cap, mass * x * rate).otherwise(0.0)).alias("g"))
         for r in step.collect():
             k = r.key
-            if k not in open_:
-                continue
             gap = r.f - want[k]
             if abs(gap) <= 1e-9 * want[k]:
                 open_.discard(k)
@@ -207,53 +252,88 @@ def solve(sized: DataFrame, scratch: Scratch, *, id_col: str, source_col: str, s
             if abs(new - lam[k]) < 1e-14 * max(1.0, abs(new)):
                 open_.discard(k)
             lam[k] = new
+    if open_:
+        raise RuntimeError(f"no rates after {NEWTON_STEPS} steps for sources {sorted(open_)[:5]}")
     lam = {k: v if v is None else float(f"{v:.11e}") for k, v in lam.items()}
 
-    solved = params(lam=lam, mean=mean, target=want)
-    rated = base.join(solved, "key").withColumn("rate", _rate("size", cap))
-    rated = rated.select("key", "size", "target", F.floor("rate").alias("whole"), F.when(F.col("rate") < cap, _place("id", F.col("rate"))).alias("place"))
+    rated = known(base, lam=lam, mean=mean).withColumn("rate", _rate("size", cap))
+    rated = rated.select("key", "size", F.floor("rate").alias("whole"), F.when(F.col("rate") < cap, _place(F.col("rate"))).alias("place"))
     rated = scratch.keep(rated, "rated")
     rest = {r.key: max(0.0, want[r.key] - r.s) for r in rated.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("s")).collect()}
-    steps: list[tuple[dict, dict, dict]] = []
-    start, limit = dict.fromkeys(total, 0), dict.fromkeys(total, 1 << 62)
-    for last in (False, False, False, True):
-        part = rated.filter("place is not null").join(params(start=start, limit=limit), "key").filter("place >= start and size <= limit")
-        cut, rest = _cuts(part, rest, params, last)
-        steps.append((start, cut, limit))
-        start, limit = cut, {k: int(r) for k, r in rest.items()}
-        if all(rest[k] <= 1e-3 * want[k] for k in total):
-            break
-    taken = {k: [(a[k], b[k], c[k]) for a, b, c in steps] for k in total}
+    taken: dict[str, list[tuple[int, int, int, int]]] = {k: [] for k in total}
+    limit = dict.fromkeys(total, 1 << 62)
+    for level in range(1, int(cap) + 1):
+        start = dict.fromkeys(total, 0)
+        more = rated.filter("place is not null").filter(F.col("whole") + level <= int(cap))
+
+        def beyond(keys, more=more, start=start) -> DataFrame:
+            """The rows that no cut of the level has reached yet and that fit into their source's rest."""
+            rows = known(more, prefix={k: start[k] for k in keys}, rest={k: float(limit[k]) for k in keys})
+            return rows.filter("place >= prefix and size <= rest").drop("prefix", "rest")
+
+        live = {k for k in total if rest[k] > NEAR * want[k]}
+        for _ in range(CUTS):
+            if live:
+                live = {r.key for r in beyond(live).filter("size > 0").select("key").distinct().collect()}
+            if not live:
+                break
+            cut, left = _cuts(beyond(live), {k: rest[k] for k in live}, known)
+            for k in live:
+                taken[k].append((start[k], cut[k], limit[k], level))
+            rest |= left
+            start |= cut
+            limit |= {k: int(rest[k]) for k in live}
+            live = {k for k in live if rest[k] > NEAR * want[k]}
+        if live:
+            raise RuntimeError(f"no end of documents that fit after {CUTS} cuts for sources {sorted(live)[:5]}")
+    # nothing fits any more: the smallest document left is taken where that comes nearer to the target
+    short = {k for k in total if rest[k] > NEAR * want[k]}
+    if short:
+        last = known(rated.filter("place is not null"), taken={k: taken[k] for k in short}, rest=rest)
+        last = last.filter(F.col("size") < 2 * F.col("rest")).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(int(cap)))))
+        last = last.filter(F.col("whole") + F.col("level") <= int(cap))
+        last = last.filter(~F.exists("taken", lambda t: _takes(t, "size") & (t.level == F.col("level"))))
+        for r in last.groupBy("key").agg(F.min(F.struct("size", "level", "place")).alias("b")).collect():
+            taken[r.key].append((r.b.place, r.b.place + 1, r.b.size, r.b.level))
     out = scratch.keep(params(lam=lam, mean=mean, taken=taken, source_size=total, target=want), "params")
     scratch.drop(base, counts, rated)
-    return Mix(out, cap)
+    return Mix(out, len(total), cap)
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
     """Per row: id_col, size, source_size, target, taken, copies, rate.
 
     size is the words of the whole text (null and blank: 0); taken is copies *
-    size, at most cap times the size. A null source is a source. Rows of equal
-    id take equal copies where their sizes agree; reruns agree, as the only
-    chance is the id's hash. A source without words has target 0 and its rows
-    are copied once. An empty table gives an empty one.
+    size, at most cap times the size. A null source is a source, a null id an id.
+    Chance comes from the hash of a row's id, source and text, and of its number
+    among rows equal in these, so reruns agree and neither equal ids nor equal
+    rows move as one. A source's taken words miss its target by a thousandth or
+    half its smallest document below the cap at most. A source without
+    words has target 0 and its rows are copied once. An empty table gives an
+    empty one; other columns are not read.
     """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mix")
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    narrow = narrow.withColumn("h", _content("id", "source", "text"))
     sized = scratch.keep(with_size(narrow, "text", "size", keep_text=False), "sized")
-    mix = solve(sized, scratch, id_col="id", source_col="source", size_col="size", weights=weights, cap=cap)
-    out = mix.copies(sized, "id", "source", "size")
+    sized = _numbered(sized, scratch)
+    out = solve(sized, scratch, source_col="source", size_col="size", weights=weights, cap=cap).copies(sized, "source", "size")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def take_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The mixed corpus: each row of docs as often as mix_documents() says, all columns kept."""
+    """The mixed corpus: each row of docs as often as mix_documents() says, all columns kept.
+
+    Nulls, empty texts and empty tables as there. Of rows equal in id, source and
+    text any may be the one with an extra copy; other columns may have any name
+    and type and are passed on.
+    """
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mix")
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # whatever docs calls its columns, none clashes
-    sized = with_size(docs.toDF(*names.values()), names[text_col], "size")
-    mix = solve(sized, scratch, id_col=names[id_col], source_col=names[source_col], size_col="size", weights=weights, cap=cap)
-    out = mix.copies(sized, names[id_col], names[source_col], "size")
+    x = docs.toDF(*names.values()).withColumn("h", _content(names[id_col], names[source_col], names[text_col]))
+    sized = _numbered(with_size(x, names[text_col], "size"), scratch)
+    out = solve(sized, scratch, source_col=names[source_col], size_col="size", weights=weights, cap=cap).copies(sized, names[source_col], "size")
     out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return out.select(*(F.col(c).alias(name) for name, c in names.items()))
