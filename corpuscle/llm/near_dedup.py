@@ -10,8 +10,10 @@
    sketches rule the similarity out go; the rest are confirmed on full sets.
 4. In buckets that the confirmed links leave in several components, pairs across
    components are confirmed too, so that no link is lost to the choice of
-   centres. Shingles that no other document there has rule most of them out: an
-   intersection holds none of them.
+   centres. They are found by prefix filtering, which is exact: of two linked
+   sets, the rarest n - ceil(threshold * n) + 1 shingles of each have one in
+   common. Pages of one template, whose own words are the rare ones, share none,
+   so their pairs are never made, however large the bucket.
 5. Components come from alternating large-star and small-star joins.
 
 A link shares no band with probability (1 - similarity**4)**24: 2e-8 at 0.85, 3e-6
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch, small_batches
@@ -35,6 +37,7 @@ from .textcore import U, mix, odd_numbers, shingles, words
 BANDS, ROWS = 24, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
+ROUNDS = 100
 _LONGS = SKETCH_BITS // 64
 _SLICE = 1 << 15  # shingles permuted at a time, to stay in cache
 
@@ -204,9 +207,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     links has columns a and b. Alternating large-star and small-star joins; each
     round's edges are written to the shared folder. Empty links give no rows.
+    RuntimeError where ROUNDS rounds, far beyond the logarithm of any graph's
+    size, do not settle it.
     """
     edges, before, seen = links.select("a", "b").filter("a <> b").distinct(), None, None
-    for k in range(100):
+    for k in range(ROUNDS):
         # large star: every larger neighbour of u moves to u's smallest neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -222,10 +227,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if tuple(state) == seen:
             break
         edges, before, seen = small, small, tuple(state)
+    else:
+        raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     return small.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
     """Per row: id_col, n_shingles, component_id, kept.
 
     Rows are linked where 100 * intersection >= threshold * union of their sets;
@@ -249,17 +256,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = usable.join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"])
     same = classes.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     repeated = scratch.keep(usable.groupBy("id").count().filter("count > 1").select("id"), "repeated")
-    unique_ids = repeated.isEmpty()
-    if not unique_ids:
+    if not repeated.isEmpty():
         reps = reps.dropDuplicates(["k1", "k2", "id"])
         texts = texts.dropDuplicates(["id", "text"])
         several = usable.select("id", "k1", "k2").join(repeated, "id", "left_semi").distinct()
         same = several.join(classes, ["k1", "k2"]).select(F.col("rep").alias("a"), F.col("id").alias("b"))
     reps = scratch.keep(reps.select("id", "n", "bands", "sketch"), "reps")
-    return _placed(signed, classes, _linked(texts, reps, same, scratch, threshold, unique_ids), scratch, id_col)
+    return _placed(signed, classes, _linked(texts, reps, same, scratch, threshold), scratch, id_col)
 
 
-def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch, threshold: int, unique_ids: bool) -> DataFrame:
+def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
     """(id, comp) of the representatives that have a link."""
     member = reps.select("id", F.explode("bands").alias("key"))
     order = F.xxhash64("id", F.lit(3))
@@ -275,24 +281,11 @@ def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch
     placed = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     apart = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("c"), F.min(F.struct("id", "comp"))["comp"].alias("home"))
     apart = apart.filter("c > 2 and c0 < c1").select("key", "home")
-    rest = spread_join(placed, apart, "key").filter("id <> low and id <> any").select("key", "home", "id", "comp")
+    rest = spread_join(placed, apart, "key").filter("id <> low and id <> any").select("id", "comp").distinct()
     rest = scratch.keep(rest, "rest")
     if rest.isEmpty():
         return comp
-    rest = scratch.keep(_linkable(rest, texts, reps, scratch, threshold, unique_ids), "linkable")
-    moving = rest.filter("comp <> home").select(*(F.col(c).alias(f"{c}_") for c in rest.columns if c != "home"))
-    both = F.least("shared", "shared_")
-    # a pair is taken in one bucket only, that of its smallest common key: if it is a centre's
-    # there, or the bucket is whole by now, it has been confirmed or is linked already
-    cross = moving.join(
-        rest,
-        (F.col("key_") == F.col("key"))
-        & (F.col("comp") != F.col("comp_"))
-        & (100 * both >= threshold * (F.col("n") + F.col("n_") - both))
-        & (_differing("sketch", "sketch_") <= _most_bits(_least_estimate(threshold)))
-        & (F.array_min(F.array_intersect("bands", "bands_")) == F.col("key")),
-    )
-    more = scratch.keep(cross.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct(), "cross")
+    more = scratch.keep(_across(rest, texts, scratch, threshold), "cross")
     if more.isEmpty():
         return comp
     found = found.union(_confirmed(more, texts, scratch, threshold, "cross"))
@@ -301,26 +294,47 @@ def _linked(texts: DataFrame, reps: DataFrame, same: DataFrame, scratch: Scratch
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, j, h, o, _ in words(b.column(1)):
+        for i, j, h, o, _ in words(b.column(2)):
             s, so = _unique_sets(*shingles(h, o))
-            at = pa.array(np.repeat(np.arange(i, j), np.diff(so)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(s.view(np.int64))], names=["id", "s"])
+            part = b.slice(i, j - i)
+            lists = pa.LargeListArray.from_arrays(pa.array(so), pa.array(s.view(np.int64))).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(so)), lists, _lists(odd_sketch(minhash(s, so)))], names=["id", "th", "n", "s", "sketch"])
 
 
-def _linkable(rest: DataFrame, texts: DataFrame, reps: DataFrame, scratch: Scratch, threshold: int, unique_ids: bool) -> DataFrame:
-    """rest with n and shared, the shingles that another document of rest has too.
+def _across(rest: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
+    """(a, b): the pairs of rest (id, comp), of different components, that prefixes, sizes and sketches leave.
 
-    A document's intersection with any other there is shared at most (a few other
-    documents may count too, which only adds to it), so one of which too few are shared has no link and goes. Where ids repeat, with several
-    texts each, nothing is ruled out.
+    A set is told by its id and its text's hash, as an id may have several.
     """
-    own = scratch.keep(near_ids(texts, rest.select("id").distinct()), "rest-texts")
-    kind = own.schema["id"].dataType.simpleString()
-    sets = own.mapInArrow(_sets, f"id {kind}, s long").groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id"), F.max("id").alias("last"))
-    alone = sets.filter("id = last").groupBy("id").agg(F.sum("c").alias("alone"))
-    x = rest.join(reps.select("id", "n", "bands", "sketch"), "id").join(alone, "id", "left")
-    x = x.withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)) if unique_ids else F.col("n"))
-    return x.filter(100 * F.col("shared") >= threshold * F.col("n")).drop("alone")
+    kind = texts.schema["id"].dataType.simpleString()
+    own = near_ids(texts, rest.select("id")).select("id", F.xxhash64("text").alias("th"), "text")
+    sets = own.mapInArrow(_sets, f"id {kind}, th long, n long, s array<long>, sketch array<long>").filter("n > 0")
+    sets = scratch.keep(sets.join(rest, "id"), "rest-sets")
+    # shingles that one id alone has are in no intersection; an id with too many of them has no link
+    per = sets.select("id", F.explode("s").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    alone = per.filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    left = sets.join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    left = scratch.keep(left.filter(100 * (F.col("n") - F.col("alone")) >= threshold * F.col("n")).drop("alone"), "linkable")
+    scratch.drop(sets)
+    each = left.select("id", "th", "n", "comp", F.explode("s").alias("s"))
+    counts = each.groupBy("s").agg(F.count("*").alias("c"))
+    each = spread_join(each, counts, "s")
+    w = Window.partitionBy("id", "th").orderBy("c", "s")
+    prefix = F.col("n") - F.floor((threshold * F.col("n") + 99) / 100) + 1
+    each = each.withColumn("_at", F.row_number().over(w)).filter((F.col("_at") <= prefix) & (F.col("c") > 1)).select("s", "id", "th", "n", "comp")
+    each = scratch.keep(each, "prefixes")
+    mixed = each.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp"))["comp"].alias("home"))
+    each = spread_join(each, mixed.filter("c0 < c1").select("s", "home"), "s")
+    each = scratch.keep(each.join(left.select("id", "th", "sketch"), ["id", "th"]), "meeting")
+    moving = each.filter("comp <> home").select(*(F.col(c).alias(f"{c}_") for c in each.columns if c != "home"))
+    cross = moving.join(
+        each,
+        (F.col("s_") == F.col("s"))
+        & (F.col("comp") != F.col("comp_"))
+        & (100 * F.least("n", "n_") >= threshold * F.greatest("n", "n_"))
+        & (_differing("sketch", "sketch_") <= _most_bits(_least_estimate(threshold))),
+    )
+    return cross.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
 def _placed(signed: DataFrame, classes: DataFrame, comp: DataFrame, scratch: Scratch, id_col: str) -> DataFrame:
@@ -333,12 +347,12 @@ def _placed(signed: DataFrame, classes: DataFrame, comp: DataFrame, scratch: Scr
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
-
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80) -> DataFrame:
     """docs without all but one document of each group: the one with the smallest id, with all its columns.
 
-    Decided as in near_duplicates(). Of rows with equal id one stays; rows with
-    a null id and rows without words all stay.
+    Decided as in near_duplicates(), with its results for nulls, empty texts and
+    empty tables. Of rows with equal id one stays; rows with a null id and rows
+    without words all stay. Other columns may have any name and are passed on.
     """
     scratch = Scratch(docs.sparkSession, "first")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold)

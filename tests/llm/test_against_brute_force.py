@@ -51,7 +51,7 @@ def test_near_duplicates_of_one_large_loose_group(spark):
         texts[i * 3 + r.randrange(3)] = " ".join(w)
     texts |= {1000 + k: " ".join(f"c{k}-{j}" for j in range(40)) for k in range(20)}
     df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df).collect()}
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df, threshold=85).collect()}
     assert got == components(texts)
 
 
