@@ -1,7 +1,7 @@
 """Deletion of repeated line runs, by a suffix array over line-ID sequences.
 
-A document is the sequence of its lines that have a word; a line's ID is its
-64-bit hash. Only lines that occur twice or more can belong to a repeated run,
+A document is the sequence of its lines that have a word; a line's ID is the
+rank of its 128-bit hash among the repeated ones. Only lines that occur twice or more can belong to a repeated run,
 so the array holds suffixes that begin at such lines, cut at the first line that
 occurs once. Prefix doubling ranks them: in each round the pair (rank, rank
 2**k lines on) is replaced by its place in the sorted order of all pairs.
@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch, small_batches
-from .textcore import _VALUE, U, _pow, buffers, chunks, mix
+from .textcore import _VALUE, U, _pow, buffers, chunks, mix, odd_numbers
 
 MIN_WORDS = 50
+_TWIN = odd_numbers(256, 78)
 
 
-def line_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def line_hashes(column: pa.Array, value: np.ndarray = _VALUE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, hash, words, line number, row offsets) of the lines that have a word.
 
-    Lines end at a newline; a row longer than a chunk is hashed alone.
+    Lines end at a newline; a row longer than a chunk is hashed alone. Other
+    values of the bytes give hashes that are independent.
     """
     from .textcore import _SPACE
 
@@ -54,7 +56,7 @@ def line_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         pw, inv = _pow(n + 1)
         run = np.empty(n + 1, U)
         run[0] = 0
-        np.cumsum(_VALUE[part] * pw[:n], dtype=U, out=run[1:])
+        np.cumsum(value[part] * pw[:n], dtype=U, out=run[1:])
         word = ~_SPACE[part]
         first = word.copy()
         first[1:] &= ~word[:-1]
@@ -70,19 +72,18 @@ def line_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, j, h, words, line, off in line_hashes(b.column(2)):
+        for (i, j, h, words, line, off), twin in zip(line_hashes(b.column(2)), line_hashes(b.column(2), _TWIN)):
             at = pa.array(np.repeat(np.arange(i, j), np.diff(off)))
             seq = np.arange(len(h)) - np.repeat(off[:-1], np.diff(off))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(seq), pa.array(line), pa.array(h.view(np.int64)), pa.array(words)], names=["id", "th", "seq", "line", "lid", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(seq), pa.array(line), pa.array(h.view(np.int64)), pa.array(twin[2].view(np.int64)), pa.array(words)], names=["id", "th", "seq", "line", "lid", "lid2", "words"])
 
 
-def _ranked(pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(r, r2, rank): the place of each distinct pair in their sorted order, ties counted.
+def _ranked(counts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(r, r2, rank): the place of each pair in the sorted order of counts (r, r2, n: how many there are of a pair).
 
     Sorted by range over all tasks; each range's first place comes from the
     ranges' sizes, one number for each range.
     """
-    counts = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"))
     parts = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = counts.repartitionByRange(parts, "r", "r2").sortWithinPartitions("r", "r2")
     ranged = scratch.keep(ranged.withColumn("part", F.spark_partition_id()), f"{name}-sorted")
@@ -105,11 +106,13 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
-    lines = keyed.mapInArrow(_explode, f"id {kind}, th long, seq long, line long, lid long, words long")
+    lines = keyed.mapInArrow(_explode, f"id {kind}, th long, seq long, line long, lid long, lid2 long, words long")
     lines = scratch.keep(lines, "lines")
-    twice = lines.groupBy("lid").agg(F.count("*").alias("n"), F.max(F.crc32(F.col("lid").cast("string").cast("binary"))).alias("k2")).filter("n > 1").drop("n")
+    # the repeated lines' ranks are their IDs: two lines share one only where both hashes agree
+    twice = scratch.keep(lines.groupBy(F.col("lid").alias("r"), F.col("lid2").alias("r2")).agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    twice = _ranked(twice, scratch, "twice").select(F.col("r").alias("lid"), F.col("r2").alias("lid2"), F.col("rank").alias("own"), F.crc32(F.col("r").cast("string").cast("binary")).alias("k2"))
     # k2, a hash of the key, makes the join deal out both sides anew, so that a common line's rows can be split
-    dup = lines.withColumn("k2", F.crc32(F.col("lid").cast("string").cast("binary"))).join(twice, ["lid", "k2"]).drop("k2")
+    dup = lines.withColumn("k2", F.crc32(F.col("lid").cast("string").cast("binary"))).join(twice, ["lid", "lid2", "k2"]).drop("k2", "lid", "lid2")
     by_doc = Window.partitionBy("id", "th").orderBy("seq")
     dup = dup.repartition("id", "th").dropDuplicates(["id", "th", "seq"]).withColumn("seg", F.col("seq") - F.row_number().over(by_doc))
     seg = Window.partitionBy("id", "th", "seg").orderBy("seq")
@@ -121,7 +124,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     dup = dup.withColumn("ahead", ahead).filter(F.col("all") >= min_words).withColumn("m", F.size(F.filter("ahead", lambda u: u < need)) + 1)
     dup = dup.withColumn("m", F.when(F.col("all") - F.col("upto") + F.col("words") >= min_words, F.col("m")))
     dup = dup.withColumn("to", F.when(F.col("m").isNotNull(), F.greatest("m", F.size(F.filter("ahead", lambda u: u < F.col("upto") + min_words)))))
-    now = scratch.keep(dup.select("id", "th", "seg", "seq", "line", "m", "to", F.col("lid").alias("r")), "suffixes-0")
+    now = scratch.keep(dup.select("id", "th", "seg", "seq", "line", "m", "to", F.col("own").alias("r")), "suffixes-0")
     most = now.agg(F.max("to")).first()[0] or 0
     hit, k, done = None, 0, now
     while (1 << k) <= most:
@@ -141,7 +144,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
             break
         pairs = x.withColumn("r2", F.coalesce(F.try_element_at("nexts", F.lit(step + 1)), F.lit(0))).drop("nexts")
         pairs = scratch.keep(pairs, f"pairs-{k}")
-        rank = _ranked(pairs, scratch, f"rank-{k}").withColumn("k2", F.crc32(F.col("r").cast("string").cast("binary")))
+        rank = _ranked(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")), scratch, f"rank-{k}").withColumn("k2", F.crc32(F.col("r").cast("string").cast("binary")))
         now = pairs.withColumn("k2", F.crc32(F.col("r").cast("string").cast("binary"))).join(rank, ["r", "r2", "k2"])
         now = scratch.keep(now.select("id", "th", "seg", "seq", "line", "m", "to", F.col("rank").alias("r")), f"suffixes-{k + 1}")
         k += 1

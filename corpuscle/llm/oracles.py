@@ -37,8 +37,11 @@ ORACLES: dict[str, str] = {
              c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY ln) AS upto FROM l WHERE w > 0),
              d AS (SELECT doc_id, list(line ORDER BY ln) AS ls, list(ln ORDER BY ln) AS lns, list(w ORDER BY ln) AS ws, list(upto ORDER BY ln) AS us FROM c GROUP BY doc_id),
              p AS (SELECT *, unnest(range(1, len(ls) + 1)) AS p FROM d),
-             e AS (SELECT *, len(list_filter(us, lambda u: u < us[p] - ws[p] + 50)) + 1 AS e FROM p),
-             r AS (SELECT doc_id, lns[p:e] AS gone, row_number() OVER (PARTITION BY ls[p:e] ORDER BY doc_id, p) AS k FROM e WHERE e <= len(ls)),
+             e AS (SELECT *, p AS s, len(list_filter(us, lambda u: u < us[p] - ws[p] + 50)) + 1 AS e FROM p),
+             -- every run of 50 words or more is covered by the shortest ones from its lines on and the shortest ones up to them
+             f AS (SELECT *, len(list_filter(us, lambda u: u <= us[p] - 50)) + 1 AS s, p AS e FROM p WHERE us[p] >= 50),
+             x AS (SELECT DISTINCT doc_id, s, ls[s:e] AS run, lns[s:e] AS gone FROM (SELECT doc_id, s, e, ls, lns FROM e WHERE e <= len(ls) UNION ALL SELECT doc_id, s, e, ls, lns FROM f)),
+             r AS (SELECT doc_id, gone, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM x),
              g AS (SELECT DISTINCT doc_id, unnest(gone) AS ln FROM r WHERE k > 1)
         SELECT l.doc_id, CAST(count(*) FILTER (w > 0) AS BIGINT) AS n_lines, count(g.ln) AS n_deleted,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY l.ln) FILTER (g.ln IS NULL), '')) AS text_sha256
