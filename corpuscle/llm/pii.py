@@ -1,16 +1,20 @@
 """Personal data: overlapping candidates, boosted trees, calibrated redactions.
 
-High-recall generators propose spans: the base pattern of each kind, and looser
-ones beside it. A span becomes a vector of binned format and context features.
-The vectors of all documents are counted by DataFrame aggregation; base spans
-that pass their check are positive, those that fail it negative. Gradient-
-boosted trees are fitted to the counted vectors, half of the documents; the other
-half gives each kind the lowest threshold that keeps the wanted precision.
-Proposals beyond the base are redacted where the trees, compiled to a column
-expression, score them above it. Base spans always stay.
-
-All of it is DataFrame functions; the driver sees vectors and counts, whose
-number the bins bound, and no text.
+High-recall generators propose spans: the base pattern of each kind, and loose
+ones beside it, which also fit words and numbers that are no personal data. Two
+views of a span are kept apart. Its content, written in the kind's plain form, is
+checked (a host with a top-level name, octets, length and Luhn, a number of the
+length and area code of a telephone): passing or failing labels it. Its format
+and context (runs, separators, neighbours, key words before it) are its features,
+of which none is that check's outcome. Gradient-boosted trees learn from half of
+the documents how often spans of a format and context pass; the other half gives
+each kind the lowest score that keeps the wanted precision. A proposal beyond the
+base is redacted where its content passes and the trees, compiled to a column
+expression, score spans like it above that. So a number that happens to pass, in
+a format whose numbers mostly fail, stays; base spans are always redacted.
+
+All of it is DataFrame functions. Spans are counted by feature vector, and the
+driver sees these counts alone: VECTORS of a kind at most, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -34,12 +38,18 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser proposals of each kind.
+_AT = r"(?:[ ]?[\[({<][ ]?(?:at|AT|At|@)[ ]?[\])}>][ ]?|[ ]@[ ]?|@[ ])"
+_DOT = r"(?:[ ]?[\[({<][ ]?(?:dot|DOT|Dot|\.)[ ]?[\])}>][ ]?|[ ](?:dot|DOT|\.)[ ]|\.)"
+_SPOKEN_AT, _SPOKEN_DOT = r"[ ](?:at|AT)[ ]", r"[ ](?:dot|DOT)[ ]"
+_HOST = "[A-Za-z0-9-]++"
+_IP_SEP = r"(?:[ ]?[\[({<][ ]?(?:\.|dot)[ ]?[\])}>][ ]?|[ ]dot[ ]|[ ]\.[ ])"
+_CARD_SEP = r"(?:[._/,: ‐-―]|[ ][./‐-―-][ ]|[ ]{2}|[-]{2})"
+#: Loose proposals of each kind: written around, spaced out, or with other separators.
 LOOSE = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++[ ]?(?:\[at\]|\(at\)|\{{at\}}|\[@\]|\(@\))[ ]?[A-Za-z0-9-]++(?:[ ]?(?:\.|\[dot\]|\(dot\)|\{{dot\}})[ ]?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9+.)-])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "email": rf"(?<!{_LOCAL}){_LOCAL}++(?:{_AT}{_HOST}(?:{_DOT}{_HOST})*+|{_SPOKEN_AT}{_HOST}(?:{_SPOKEN_DOT}{_HOST})*+)",
+    "ip": rf"(?<![0-9.])[0-9]{{1,4}}+({_IP_SEP})[0-9]{{1,4}}+\1[0-9]{{1,4}}+\1[0-9]{{1,4}}+(?![0-9])",
+    "card": rf"(?<![0-9])[0-9]{{2,6}}+({_CARD_SEP})[0-9]{{2,7}}+(?:\1[0-9]{{1,7}}+){{1,5}}+(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+.,:/_-])(?:\([0-9]{2,5}\)[ ]?|[0-9]{2,5}+[ ./-]{1,2}+)[0-9]{2,5}+(?:[ ./-]{1,2}+[0-9]{2,5}+){0,4}+(?![0-9A-Za-z])",
 }
 #: A cheap test that every text with a proposal passes.
 _QUICK = {
@@ -47,15 +57,23 @@ _QUICK = {
     ("ip", True): lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
     ("card", True): lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"),
     ("phone", True): lambda t: t.contains("+"),
-    ("email", False): lambda t: t.rlike(r"[\[({](?:at|@)[\])}]"),
-    ("ip", False): lambda t: t.rlike(r"[0-9][\[(]\.[\])][0-9]"),
-    ("card", False): lambda t: t.rlike(r"[0-9]{4}[._/][0-9]{4}"),
-    ("phone", False): lambda t: t.rlike(r"[0-9]{3}[.-][0-9]{4}"),
+    ("email", False): lambda t: t.rlike(r"@|\b(?:at|AT|At)\b"),
+    ("ip", False): lambda t: t.rlike(rf"[0-9]{_IP_SEP}[0-9]"),
+    ("card", False): lambda t: t.rlike(rf"[0-9]{_CARD_SEP}[0-9]"),
+    ("phone", False): lambda t: t.rlike(r"[0-9]\)?[ ./-]{1,2}[0-9]"),
 }
-_CONTEXT = r"(?i)(?:mail|tel|phone|call|fax|card|visa|pay|ip|host|server|address|contact)[^\p{L}]*$"
-#: Bins of each feature; a vector is one number in base _BINS.
-FEATURES = ("digits", "luhn", "groups", "before", "after", "context", "octets", "labels", "distinct", "length")
-_BINS = 32
+#: Key words of each kind, of which the last 24 characters before a span may hold one.
+KEYS = {
+    "email": r"mail|contact|write|reach|correo|adresse|courriel",
+    "ip": r"\bip\b|host|server|address|node|gateway|login",
+    "card": r"card|visa|master|amex|pay|karte|carte|tarjeta",
+    "phone": r"phone|\btel|call|fax|mobile|cell|ruf|appel|llam",
+}
+_NEAR = 24
+#: The features of a vector, and how many values each has.
+FEATURES = {"before": 3, "after": 3, "key": 3, "separator": 7, "mixed": 2, "runs": 6, "first": 6, "last": 6, "letters": 3}
+#: Vectors of a kind, at most.
+VECTORS = 3 * 3 * 3 * 7 * 2 * 6 * 6 * 6 * 3
 
 
 def _digits(m: Column) -> Column:
@@ -86,39 +104,57 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _plain(kind: str, m: Column) -> Column:
+    """Whether a loose proposal's content, in the kind's plain form, is one of the kind."""
+    d = _digits(m)
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(m, rf"^({_LOCAL}++)(?:{_AT}|{_SPOKEN_AT})", "$1@"), rf"(?<=[A-Za-z0-9-]){_DOT}(?=[A-Za-z0-9-])", ".")
+        return plain.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+    if kind == "ip":
+        return F.regexp_replace(m, "[^0-9]+", ".").rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!$)|$)){4}$")
+    if kind == "card":
+        return _valid(kind, m)
+    return d.rlike("^(?:1?[2-9][0-9]{2}[2-9][0-9]{6}|00[1-9][0-9]{8,12}|0[1-9][0-9]{7,9})$")
+
+
 def _class(c: Column) -> Column:
-    return F.when((c == "") | c.rlike(r"\s"), 0).when(c.rlike("[0-9]"), 3).when(c.rlike(r"\p{L}"), 2).otherwise(1)
+    return F.when(c.rlike("[0-9]"), 2).when(c.rlike(r"\p{L}"), 1).otherwise(0)
 
 
-def _vector(m: Column, before: Column, after: Column) -> Column:
-    """The features of a match between the text before and after it, packed into a long."""
-    d = _digits(m)
-    n = F.length(d)
-    short = F.when(n <= 24, d).otherwise(F.substring(d, 1, 24))
+def _vector(kind: str, m: Column, before: Column, after: Column) -> Column:
+    """The features of a match between the text before and after it, as one number.
+
+    before and after end at the neighbouring matches of the same generator.
+    """
+    runs = F.regexp_extract_all(m, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    seps = F.regexp_replace(m, "[A-Za-z0-9]+", "")
+    near = F.lower(F.right(before, F.lit(_NEAR)))
+    others = "|".join(v for k, v in KEYS.items() if k != kind)
+    one = F.left(seps, F.lit(1))
     bins = [
-        F.least(n, F.lit(24)),
-        F.when(n.between(8, 24), _luhn(short).cast("int")).otherwise(0),
-        F.least(F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), F.lit(8)),
         _class(F.right(before, F.lit(1))),
-        _class(F.substring(after, 1, 1)),
-        F.right(before, F.lit(24)).rlike(_CONTEXT).cast("int"),
-        F.regexp_replace(m, r"[\[\]()]", "").rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$").cast("int"),
-        F.least(F.size(F.regexp_extract_all(m, F.lit(r"(?:\.|dot)[^.]"), F.lit(0))), F.lit(8)),
-        F.length(F.array_join(F.array_distinct(F.split(short, "")), "")),
-        F.least(F.floor(F.length(m) / 4).cast("int"), F.lit(16)),
+        _class(F.left(after, F.lit(1))),
+        F.when(near.rlike(KEYS[kind]), 2).when(near.rlike(others), 1).otherwise(0),
+        F.when(one == "", 0).when(seps.rlike(r"[\[({<]"), 4).when(one == " ", 1).when(one == "-", 2).when(one == ".", 3).when(one.isin("@", "+"), 5).otherwise(6),
+        (F.length(F.replace(seps, one, F.lit(""))) > 0).cast("int"),
+        F.least(F.size(runs), F.lit(5)),
+        F.least(F.length(F.try_element_at(runs, F.lit(1))), F.lit(5)),
+        F.least(F.length(F.try_element_at(runs, F.lit(-1))), F.lit(5)),
+        F.when(~m.rlike("[A-Za-z]"), 0).when(~m.rlike("[0-9]"), 1).otherwise(2),
     ]
     out = F.lit(0).cast("long")
-    for b in reversed(bins):
-        out = out * _BINS + F.coalesce(b, F.lit(0)).cast("long")
+    for b, size in zip(bins, FEATURES.values()):
+        out = out * size + F.coalesce(b, F.lit(0)).cast("long")
     return out
 
 
 def _spans(df: DataFrame, kind: str, base: bool) -> DataFrame:
     """df with one more column: the proposals (start, kind, end, status, vector) of one pattern.
 
-    status 2: a base span, 1: a loose proposal, 0: a base match that fails its
-    check. Starts and ends are in code points. The matches and the pieces between
-    them lie in turn, so their lengths' running sum is the position.
+    status: 2 for a base span and 0 for a base match that fails its check, 3 and 1
+    for loose proposals whose content passes and fails. Starts and ends are in code
+    points. The matches and the pieces between them lie in turn, so their lengths'
+    running sum is the position.
     """
     pattern, k = (BASE if base else LOOSE)[kind], KINDS.index(kind)
     hit = _QUICK[kind, base](F.col("text"))
@@ -136,11 +172,13 @@ def _spans(df: DataFrame, kind: str, base: bool) -> DataFrame:
     zipped = F.arrays_zip(F.col("m"), F.slice("p", 1, F.size("m")).alias("g"), after.alias("h"), F.col("e"))
 
     def one(v: Column) -> Column:
-        status = F.when(_valid(kind, v.m), 2).otherwise(0) if base else F.lit(1)
-        return F.struct((v.e - F.length(v.m)).alias("s"), F.lit(k).alias("k"), v.e.alias("e"), status.alias("t"), _vector(v.m, v.g, v.h).alias("v"))
+        status = F.when(_valid(kind, v.m), 2).otherwise(0) if base else F.when(_plain(kind, v.m), 3).otherwise(1)
+        return F.struct((v.e - F.length(v.m)).alias("s"), F.lit(k).alias("k"), v.e.alias("e"), status.alias("t"), _vector(kind, v.m, v.g, v.h).alias("v"))
+
+    return df.withColumn(f"x{k}{int(base)}", F.when(F.size("m") > 0, F.transform(zipped, one)).otherwise(F.array().cast(_PROPOSALS))).drop("m", "p", "e")
 
-    empty = F.array().cast("array<struct<s:int,k:int,e:int,t:int,v:bigint>>")
-    return df.withColumn(f"x{k}{int(base)}", F.when(F.size("m") > 0, F.transform(zipped, one)).otherwise(empty)).drop("m", "p", "e")
+
+_PROPOSALS = "array<struct<s:int,k:int,e:int,t:int,v:bigint>>"
 
 
 class Trees:
@@ -155,7 +193,11 @@ class Trees:
 
     @staticmethod
     def bins(vector: int) -> tuple[int, ...]:
-        return tuple((vector // _BINS**k) % _BINS for k in range(len(FEATURES)))
+        out = []
+        for size in reversed(FEATURES.values()):
+            vector, b = divmod(vector, size)
+            out.append(b)
+        return tuple(reversed(out))
 
     def fit(self, counted: dict[int, tuple[int, int]]) -> "Trees":
         """counted: vector -> (spans, positive spans)."""
@@ -208,7 +250,8 @@ class Trees:
 
     def column(self, vector: Column) -> Column:
         """The trees' margin as an expression."""
-        cell = [F.pmod(F.floor(vector / F.lit(_BINS**k)), F.lit(_BINS)) for k in range(len(FEATURES))]
+        sizes = list(FEATURES.values())
+        cell = [F.pmod(F.floor(vector / F.lit(math.prod(sizes[k + 1 :]))), F.lit(sizes[k])) for k in range(len(sizes))]
 
         def one(tree) -> Column:
             if not isinstance(tree, tuple):
@@ -223,18 +266,22 @@ class Trees:
 
 
 def calibrate(trees: Trees, counted: dict[int, tuple[int, int]], precision: float) -> float:
-    """The lowest threshold at which the spans above it reach the precision; above 1 without evidence."""
+    """The lowest score, of a half or more, from which on the counted loose spans keep the precision.
+
+    1 where there are some and no score keeps it. Where there are none, a half: the
+    trees' judgement of base spans and failed matches decides then.
+    """
     by: dict[float, list[int]] = defaultdict(lambda: [0, 0])
     for v, (n, p) in counted.items():
         cell = by[round(trees.score(v), 9)]
         cell[0] += n
         cell[1] += p
-    best, n, p = 2.0, 0, 0
+    best, n, p = 0.5 if not by else 1.0, 0, 0
     for s in sorted(by, reverse=True):
         n, p = n + by[s][0], p + by[s][1]
-        if p >= 20 and p >= precision * n:
+        if p >= precision * n:
             best = s
-    return max(best, 0.5) if any(n > p for n, p in counted.values()) else 2.0
+    return max(best, 0.5)
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98) -> DataFrame:
@@ -242,49 +289,72 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     The counts and base_sha256 are of the base spans; spans holds these and the
     added ones, as kind:start:end in code points, end exclusive, by start, then
-    kind. Whole texts; null and empty ones have no spans. Repeated rows are each
-    searched; an empty table gives an empty one; other columns are not read. No
-    step shuffles texts or spans.
+    kind. An added span overlaps no base span, and of added ones that overlap
+    each other the leftmost stays. precision: the share of loose proposals, among
+    those of the calibrating half that score as high, whose content passes. Whole texts;
+    null and empty ones have no spans. Repeated rows are each searched; an empty
+    table gives an empty one; other columns are not read. No step shuffles texts
+    or spans.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for kind in KINDS:
-        for base in (True, False):
-            x = _spans(x, kind, base)
-    parts = [f"x{k}{b}" for k in range(len(KINDS)) for b in (1, 0)]
-    # half of the documents fit, half calibrate: by the text, so that copies fall together
-    x = x.select("id", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).alias("half"), F.concat(*parts).alias("x"))
-    found = scratch.keep(x, "proposals")
-    known = found.select("half", F.explode(F.filter("x", lambda v: v.t != 1)).alias("v")).groupBy(F.col("v.k").alias("k"), "half", F.col("v.v").alias("v"))
-    known = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("v.t") == 2, 1).otherwise(0)).alias("p")).collect()  # one row a vector: bounded by the bins
-    counted: dict[tuple[int, int], dict[int, tuple[int, int]]] = defaultdict(dict)
-    for r in known:
-        counted[r.k, r.half][r.v] = (r.n, r.p)
-    chosen = F.lit(False)
+    found = scratch.keep(proposals(docs, id_col=id_col, text_col=text_col), "proposals")
+    picks = fitted(found, precision)
     v = lambda c: c["v"]
-    picks = []
-    for k in range(len(KINDS)):
-        trees = Trees().fit(counted[k, 0])
-        cut = calibrate(trees, counted[k, 1], precision)
-        if cut < 1:
-            picks.append((k, trees, math.log(cut / (1 - cut))))
 
     def redact(c: Column) -> Column:
-        out = chosen
-        for k, trees, margin in picks:
+        out = F.lit(False)
+        for k, (trees, margin) in picks.items():
             out = out | ((c["k"] == k) & (trees.column(v(c)) >= margin))
         return out
 
-    base = F.array_sort(F.filter("x", lambda c: c.t == 2))
-    found = found.withColumn("base", F.transform(base, lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e"))))
-    clear = lambda c: ~F.exists("base", lambda b: (b.s < c.e) & (c.s < b.e))
-    more = F.array_sort(F.filter("x", lambda c: (c.t == 1) & clear(c) & redact(c)))
-    found = found.withColumn("more", F.when(F.exists("x", lambda c: c.t == 1), F.transform(more, lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e")))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")))
+    spans = "array<struct<s:int,k:int,e:int>>"
+    more = F.array_sort(F.transform(F.filter("loose", lambda c: (c.t == 3) & redact(c)), lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e"))))
+    found = found.withColumn("more", F.when(F.exists("loose", lambda c: c.t == 3), more).otherwise(F.array().cast(spans)))
     # of proposals that overlap each other the leftmost stays
-    apart = F.aggregate("more", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out")), lambda a, c: F.when(c.s >= a.at, F.struct(c.e.alias("at"), F.concat(a.out, F.array(c)).alias("out"))).otherwise(a), lambda a: a.out)
+    apart = F.aggregate("more", F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), lambda a, c: F.when(c.s >= a.at, F.struct(c.e.alias("at"), F.concat(a.out, F.array(c)).alias("out"))).otherwise(a), lambda a: a.out)
     found = found.withColumn("more", F.when(F.size("more") > 0, apart).otherwise(F.col("more")))
     name = F.array(*[F.lit(k) for k in KINDS])
     text = lambda spans: F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.element_at(name, c.k + 1), c.s.cast("string"), c.e.cast("string"))), ",")
     of_kind = lambda k: F.size(F.filter("base", lambda c: c.k == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select(F.col("id").alias(id_col), *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.array_sort(F.concat("base", "more"))).alias("spans"), F.size("more").cast("long").alias("n_added"))
+
+
+def proposals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, half, base, failed, loose): the base spans, the base matches that fail, and the loose proposals clear of base spans.
+
+    half: by the text, so that copies of one fall together.
+    """
+    x = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    for kind in KINDS:
+        for base in (True, False):
+            x = _spans(x, kind, base)
+    of = lambda base: F.concat(*[f"x{k}{base}" for k in range(len(KINDS))])
+    x = x.select("id", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).alias("half"), of(1).alias("strict"), of(0).alias("loose"))
+    x = x.withColumn("base", F.array_sort(F.filter("strict", lambda c: c.t == 2))).withColumn("failed", F.filter("strict", lambda c: c.t == 0)).drop("strict")
+    clear = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b.s < c.e) & (c.s < b.e)))
+    x = x.withColumn("loose", F.when(F.size("base") > 0, clear).otherwise(F.col("loose")))
+    known = F.transform("base", lambda c: F.struct(c.k.alias("k"), c.t.alias("t"), c.v.alias("v")))
+    return x.withColumn("known", F.concat(known, *[F.transform(c, lambda c: F.struct(c.k.alias("k"), c.t.alias("t"), c.v.alias("v"))) for c in ("failed", "loose")])).select(
+        "id", "half", F.transform("base", lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e"))).alias("base"), "loose", "known"
+    )
+
+
+def fitted(found: DataFrame, precision: float) -> dict[int, tuple[Trees, float]]:
+    """By kind: the trees of the first half, and the margin that the second half asks for."""
+    known = found.select("half", F.explode("known").alias("c")).groupBy(F.col("c.k").alias("k"), "half", F.col("c.v").alias("v"))
+    loose, passes = F.col("c.t").isin(1, 3), F.col("c.t") >= 2
+    known = known.agg(F.count("*").alias("n"), F.count_if(passes).alias("p"), F.count_if(loose).alias("ln"), F.count_if(loose & passes).alias("lp")).collect()  # VECTORS a kind and half at most
+    fit: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
+    rest: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
+    for r in known:
+        if r.half == 0:
+            fit[r.k][r.v] = (r.n, r.p)
+        elif r.ln:
+            rest[r.k][r.v] = (r.ln, r.lp)
+    out = {}
+    for k in range(len(KINDS)):
+        trees = Trees().fit(fit[k])
+        cut = calibrate(trees, rest[k], precision)
+        out[k] = (trees, math.log(cut / (1 - cut)) if cut < 1 else math.inf)
+    return {k: (t, m) for k, (t, m) in out.items() if math.isfinite(m)}
