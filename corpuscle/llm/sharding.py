@@ -1,8 +1,10 @@
 """Sharding by balanced label propagation, in DataFrame operations throughout.
 
 Documents of equal text are linked. Each starts on a shard by hash; in each
-round, joins tell the shards where a group's bytes lie, and its documents
-elsewhere move there while the shard's quota lasts. A group larger than a
+round (ROUNDS at most, fewer once no part wants to move; what still does is
+logged), joins tell the shards where a group's bytes lie, and its documents
+elsewhere move to the fullest of them that has room for the rest, while that
+shard's quota lasts. A group larger than a
 quota keeps as many of its fullest shards as it needs. Documents of one
 group are moved in up to ATOMS parts, so that a group of any size is spread
 over tasks. At last the documents without links fill every shard up to the same
@@ -16,6 +18,7 @@ and running sums are over hash buckets with the buckets' offsets added.
 from __future__ import annotations
 
 import heapq
+import logging
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch
 
+log = logging.getLogger(__name__)
 ATOMS = 1024
-ROUNDS = 4
+ROUNDS = 8
 #: A filler above 1 / (shards * FINE) of all bytes is placed one by one, on the driver: shards * FINE of them at most.
+#: Every row is placed either way; FINE decides only how evenly large ones lie.
 FINE = 256
 _GROUP = ["th", "crc", "size"]
 
@@ -40,19 +45,22 @@ def _upto(table: DataFrame, by: str, bucket: str, value: str) -> DataFrame:
     return table.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def propagate(rows: DataFrame, scratch: Scratch, n_shards: int, capacity: float) -> DataFrame:
+def propagate(rows: DataFrame, scratch: Scratch, n_shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
     """(th, crc, size, atom, label) of the linked documents' parts; a null label: its shard is full.
 
-    rows: id, th, crc, size of the documents in groups of two or more.
+    rows: id, th, crc, size of the documents in groups of two or more. A part that
+    still wants to move after the last round stays where it is: its links are cut,
+    and its bytes are logged.
     """
     atoms = rows.groupBy(*_GROUP, _bucket(ATOMS, 1, "id").alias("atom")).agg(F.count("*").alias("n"))
     atoms = atoms.withColumn("bytes", F.col("n") * F.col("size"))
     now = scratch.keep(atoms.withColumn("label", _bucket(n_shards, 2, "th", "atom").cast("int")), "labels-0")
-    order = [F.col("had").desc(), F.col("label")]
-    for k in range(1, ROUNDS + 1):
+    for k in range(1, rounds + 1):
         load = {r.label: int(r.b) for r in now.groupBy("label").agg(F.sum("bytes").alias("b")).collect()}
         quota = F.create_map(*[F.lit(x) for s in range(n_shards) for x in (s, max(0, int(capacity) - load.get(s, 0)))])
-        # where each group's bytes lie: at most a row for each group and shard
+        # where each group's bytes lie: at most a row for each group and shard; a shard with room for the
+        # rest of the group comes before those without, so that groups turn away from full shards
+        order = [(quota[F.col("label")] >= F.col("all") - F.col("had")).desc(), F.col("had").desc(), F.col("label")]
         held = now.groupBy(*_GROUP, "label").agg(F.sum("bytes").alias("had"))
         held = held.withColumn("all", F.sum("had").over(Window.partitionBy(*_GROUP)))
         held = held.withColumn("rank", F.row_number().over(Window.partitionBy(*_GROUP).orderBy(*order)))
@@ -72,6 +80,8 @@ def propagate(rows: DataFrame, scratch: Scratch, n_shards: int, capacity: float)
         x = placed.withColumn("slice", F.col("gb") * 16 + F.col("ab")).join(F.broadcast(room), (F.col("to") == F.col("to_")) & (F.col("slice") == F.col("slice_")), "left")
         x = x.withColumn("label", F.when(F.col("to_").isNotNull(), F.col("to")).otherwise(F.col("label")))
         after = scratch.keep(x.select(*_GROUP, "atom", "n", "bytes", "label"), f"labels-{k}")
+        if k == rounds:
+            log.info("%s bytes of linked documents still want to move after %s rounds", x.filter("to <> label").agg(F.sum("bytes")).first()[0] or 0, rounds)
         scratch.drop(now, placed)
         now = after
     # what exceeds a shard's share even so is dealt out with the fillers
@@ -111,16 +121,17 @@ def _fill(fillers: DataFrame, scratch: Scratch, n_shards: int, load: dict[int, i
     ends = list(accumulate(max(0.0, level - load[s]) for s in range(n_shards)))
     starts = dict(zip(sorted(sums), accumulate([0, *(sums[b] for b in sorted(sums))])))
     spark = fillers.sparkSession
+    # one row a bucket: 65,536 at most
     offset = spark.createDataFrame([(int(b), int(v)) for b, v in starts.items()] or [(-1, 0)], "fb long, start long")
     w = Window.partitionBy("fb").orderBy("fid").rowsBetween(Window.unboundedPreceding, 0)
-    rest = rest.join(offset, "fb").withColumn("mid", F.col("start") + F.sum("bytes").over(w) - F.col("bytes") / 2)
+    rest = rest.join(F.broadcast(offset), "fb").withColumn("mid", F.col("start") + F.sum("bytes").over(w) - F.col("bytes") / 2)
     bounds = F.array(*[F.lit(float(e)) for e in ends[:-1]])
     rest = rest.withColumn("shard", F.size(F.filter(bounds, lambda e: e <= F.col("mid"))).cast("int")).drop("fb", "start", "mid")
     chosen = spark.createDataFrame(own or [("", 0)], "fid string, shard int")
     return rest.unionByName(fillers.filter(F.col("bytes") > limit).join(F.broadcast(chosen), "fid"))
 
 
-def shard_documents(docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Per row: id_col, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     size is the text's UTF-8 bytes plus 16; shards come out near equal in bytes.
@@ -139,7 +150,7 @@ def shard_documents(docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_i
     groups = scratch.keep(groups.withColumn("linked", F.lit(True)), "groups")
     rows = rows.withColumn("k2", F.crc32(F.col("th").cast("string").cast("binary"))).join(groups, [*_GROUP, "k2"], "left").drop("k2")
     rows = scratch.keep(rows.withColumn("atom", F.when(F.col("linked"), _bucket(ATOMS, 1, "id"))), "marked")
-    labels = propagate(rows.filter("linked").drop("linked", "atom"), scratch, n_shards, capacity)
+    labels = propagate(rows.filter("linked").drop("linked", "atom"), scratch, n_shards, capacity, rounds)
     x = rows.filter("linked").drop("linked").join(labels, [*_GROUP, "atom"])
     linked = scratch.keep(x.drop("atom").withColumn("th", F.col("th")), "linked")
     held = linked.filter("label is not null").withColumn("shard", F.col("label")).drop("label")
@@ -158,7 +169,12 @@ def shard_documents(docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_i
 
 
 def cut_links(sharded: DataFrame) -> DataFrame:
-    """One row: linked pairs of documents, and those whose two shards differ, of a table with th and shard."""
-    per = sharded.groupBy("th", "shard").agg(F.count("*").alias("n"))
-    per = per.groupBy("th").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    return per.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("links"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("cut"))
+    """One row: links, the pairs of documents of equal text, and cut, those whose two shards differ.
+
+    sharded is a result of shard_documents(); texts are told apart by size and
+    CRC-32, which is enough for a measure.
+    """
+    per = sharded.groupBy("size", "text_crc32", "shard").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    per = per.groupBy("size", "text_crc32").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    pairs = lambda c: F.coalesce(F.sum(c / 2), F.lit(0)).cast("long")
+    return per.agg(pairs(F.col("n") * (F.col("n") - 1)).alias("links"), pairs(F.col("n") * F.col("n") - F.col("sq")).alias("cut"))
