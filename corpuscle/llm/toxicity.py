@@ -206,9 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     fit nor the held-out fifth has calibrate, whole and at their own mix of
     labels: the score's 0.5 globally, the threshold of each language that has
     ten of them of each label. They are scored in one scan and counted in bins;
-    rows of repeated ids each count. Null or repeated labels: null ones are left
-    out, of several for one id the larger counts. Without both labels the scores
-    are constant.
+    rows of repeated ids each count; of several texts of one id the first by hash
+    is fitted. Null or repeated labels: null ones are left out, of several for one
+    id the larger counts. Without both labels the scores are constant.
     """
     small_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y is not null")
@@ -220,6 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(picked), "id")  # at most `sample` rows of two numbers
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text", "lang")).alias("t"), F.max("y").alias("y")).select("id", "t.lang", "t.text", "y")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.ListArray.from_arrays(o, pa.array(w)), pa.ListArray.from_arrays(o, pa.array(head))], names=["id", "lang", "y", "w", "h"]).filter(short)
 
     kind = texts.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(encode, f"id {kind}, lang string, y int, w array<int>, h array<int>").dropDuplicates(["id"]).toArrow().sort_by("id")
+    got = rows.mapInArrow(encode, f"id {kind}, lang string, y int, w array<int>, h array<int>").toArrow().sort_by("id")
     y = np.array(got["y"].to_pylist(), np.float32)
     if len(np.unique(y)) < 2:
         m = ToxicityModel.fresh()
@@ -294,7 +295,13 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that their language's threshold does not flag, with all their columns."""
+    """The rows that their language's threshold does not flag, with all their columns.
+
+    Judged row by row in the scan, as in toxicity_scores(): null and empty texts
+    by the score of a text without words, repeated rows each, null languages by a
+    threshold of 0.5; an empty table gives an empty one; other columns may have
+    any name and are passed on.
+    """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
