@@ -321,17 +321,19 @@ def _across(rest: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int)
     each = spread_join(each, counts, "s")
     w = Window.partitionBy("id", "th").orderBy("c", "s")
     prefix = F.col("n") - F.floor((threshold * F.col("n") + 99) / 100) + 1
-    each = each.withColumn("_at", F.row_number().over(w)).filter((F.col("_at") <= prefix) & (F.col("c") > 1)).select("s", "id", "th", "n", "comp")
+    each = each.withColumn("at", F.row_number().over(w)).filter((F.col("at") <= prefix) & (F.col("c") > 1)).select("s", "id", "th", "n", "comp", "at")
     each = scratch.keep(each, "prefixes")
     mixed = each.groupBy("s").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct("id", "comp"))["comp"].alias("home"))
     each = spread_join(each, mixed.filter("c0 < c1").select("s", "home"), "s")
     each = scratch.keep(each.join(left.select("id", "th", "sketch"), ["id", "th"]), "meeting")
     moving = each.filter("comp <> home").select(*(F.col(c).alias(f"{c}_") for c in each.columns if c != "home"))
+    # what two sets may share at most, if this is the first shingle they share: it and the fewer of those after it
+    most = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) + 1
     cross = moving.join(
         each,
         (F.col("s_") == F.col("s"))
         & (F.col("comp") != F.col("comp_"))
-        & (100 * F.least("n", "n_") >= threshold * F.greatest("n", "n_"))
+        & ((100 + threshold) * most >= threshold * (F.col("n") + F.col("n_")))
         & (_differing("sketch", "sketch_") <= _most_bits(_least_estimate(threshold))),
     )
     return cross.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
