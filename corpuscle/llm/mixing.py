@@ -7,10 +7,9 @@ Newton steps, each one aggregation over the corpus. Rates become whole copies:
 a document takes its rate's integer part, and one more where its place, the hash
 of its content less the rate's fraction, lies below a cut that keeps the source's
 tokens within its target. Cuts are found digit by digit, by aggregations; where
-one document ends a source more than a thousandth short, the next cuts are over
-documents that fit into the rest, until none does; then a second and third extra
-copy may fill it, within the cap. A last document is taken where that comes nearer
-to the target.
+the next document ends a source more than a thousandth short, the largest that fit
+into the rest fill it, until none fits, by a second and third extra copy too, within
+the cap. A last document is taken where that comes nearer to the target.
 
 Sources: the driver holds some hundred bytes for each, whatever their documents.
 Up to SOURCES of them (about 5 MB) the solved numbers go to all tasks; beyond
@@ -36,7 +35,9 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Sources whose parameters go to all tasks.
 SOURCES = 50_000
-NEWTON_STEPS, CUTS, NEAR = 200, 200, 1e-3
+NEWTON_STEPS, FILLS, NEAR = 200, 200, 1e-3
+#: Documents of a source that one round of filling brings to the driver.
+_FIRST = 16
 _BITS, _DIGIT = 53, 12
 
 
@@ -199,8 +200,8 @@ def _cuts(part: DataFrame, rest: dict[str, float], known) -> tuple[dict[str, int
 def solve(sized: DataFrame, scratch: Scratch, *, source_col: str, size_col: str, weights: tuple = WEIGHTS, cap: float = CAP) -> Mix:
     """Fit rates and cuts to documents with known sizes, h and k (see _numbered()).
 
-    RuntimeError if the Newton steps or the cuts have not ended after NEWTON_STEPS
-    and CUTS of them.
+    RuntimeError if the Newton steps or the rounds of filling have not ended after
+    NEWTON_STEPS and FILLS of them.
     """
     spark = sized.sparkSession
     base = scratch.keep(sized.select(_key(source_col).alias("key"), F.col(size_col).alias("size"), "h", "k"), "sizes")
@@ -260,41 +261,37 @@ def solve(sized: DataFrame, scratch: Scratch, *, source_col: str, size_col: str,
     rated = rated.select("key", "size", F.floor("rate").alias("whole"), F.when(F.col("rate") < cap, _place(F.col("rate"))).alias("place"))
     rated = scratch.keep(rated, "rated")
     rest = {r.key: max(0.0, want[r.key] - r.s) for r in rated.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("s")).collect()}
-    taken: dict[str, list[tuple[int, int, int, int]]] = {k: [] for k in total}
-    limit = dict.fromkeys(total, 1 << 62)
-    for level in range(1, int(cap) + 1):
-        start = dict.fromkeys(total, 0)
-        more = rated.filter("place is not null").filter(F.col("whole") + level <= int(cap))
-
-        def beyond(keys, more=more, start=start) -> DataFrame:
-            """The rows that no cut of the level has reached yet and that fit into their source's rest."""
-            rows = known(more, prefix={k: start[k] for k in keys}, rest={k: float(limit[k]) for k in keys})
-            return rows.filter("place >= prefix and size <= rest").drop("prefix", "rest")
-
-        live = {k for k in total if rest[k] > NEAR * want[k]}
-        for _ in range(CUTS):
-            if live:
-                live = {r.key for r in beyond(live).filter("size > 0").select("key").distinct().collect()}
-            if not live:
-                break
-            cut, left = _cuts(beyond(live), {k: rest[k] for k in live}, known)
-            for k in live:
-                taken[k].append((start[k], cut[k], limit[k], level))
-            rest |= left
-            start |= cut
-            limit |= {k: int(rest[k]) for k in live}
-            live = {k for k in live if rest[k] > NEAR * want[k]}
-        if live:
-            raise RuntimeError(f"no end of documents that fit after {CUTS} cuts for sources {sorted(live)[:5]}")
+    part = rated.filter("place is not null")
+    live = {k for k in total if rest[k] > 0}
+    cut, left = _cuts(part, {k: rest[k] for k in live}, known) if live else ({}, {})
+    rest |= left
+    taken: dict[str, list[tuple[int, int, int, int]]] = {k: [(0, cut[k], 1 << 62, 1)] if k in cut else [] for k in total}
+
+    def free(keys, most: float) -> DataFrame:
+        """(key, level, size, place) of the extra copies left, of documents of up to most times their source's rest."""
+        rows = known(part, taken={k: taken[k] for k in keys}, rest=rest).filter(F.col("size").between(1, most * F.col("rest")))
+        rows = rows.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(int(cap))))).filter(F.col("whole") + F.col("level") <= int(cap))
+        return rows.filter(~F.exists("taken", lambda t: _takes(t, "size") & (t.level == F.col("level")))).select("key", "level", "size", "place")
+
+    for _ in range(FILLS):
+        live = {k for k in live if rest[k] > NEAR * want[k]}
+        if not live:
+            break
+        first = Window.partitionBy("key").orderBy("level", F.desc("size"), "place")
+        found = free(live, 1.0).withColumn("at", F.row_number().over(first)).filter(F.col("at") <= _FIRST).collect()
+        live = {r.key for r in found}
+        for r in sorted(found, key=lambda r: (r.key, r["at"])):
+            if r["size"] <= rest[r.key]:
+                taken[r.key].append((r.place, r.place + 1, r["size"], r.level))
+                rest[r.key] -= r["size"]
+    else:
+        raise RuntimeError(f"no end of documents that fit after {FILLS} rounds for sources {sorted(live)[:5]}")
     # nothing fits any more: the smallest document left is taken where that comes nearer to the target
     short = {k for k in total if rest[k] > NEAR * want[k]}
     if short:
-        last = known(rated.filter("place is not null"), taken={k: taken[k] for k in short}, rest=rest)
-        last = last.filter(F.col("size") < 2 * F.col("rest")).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(int(cap)))))
-        last = last.filter(F.col("whole") + F.col("level") <= int(cap))
-        last = last.filter(~F.exists("taken", lambda t: _takes(t, "size") & (t.level == F.col("level"))))
-        for r in last.groupBy("key").agg(F.min(F.struct("size", "level", "place")).alias("b")).collect():
-            taken[r.key].append((r.b.place, r.b.place + 1, r.b.size, r.b.level))
+        for r in free(short, 2.0).groupBy("key").agg(F.min(F.struct("size", "level", "place")).alias("b")).collect():
+            if r.b["size"] < 2 * rest[r.key]:
+                taken[r.key].append((r.b.place, r.b.place + 1, r.b["size"], r.b.level))
     out = scratch.keep(params(lam=lam, mean=mean, taken=taken, source_size=total, target=want), "params")
     scratch.drop(base, counts, rated)
     return Mix(out, len(total), cap)
