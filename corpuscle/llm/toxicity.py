@@ -240,7 +240,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     w = [x.values.to_numpy() for x in got["w"]]
     head = [x.values.to_numpy() for x in got["h"]]
     m = train(w, head, y)
+    del w, head  # views of what got holds
     fitted = docs.sparkSession.createDataFrame([(k,) for k in got["id"].to_pylist()], f"id {kind}")
+    del got
+    pa.default_memory_pool().release_unused()
     other = marked.join(F.broadcast(fitted), "id", "left_anti")  # fitted: at most `sample` ids
     found = _binned(near_ids(texts, other.select("id")), m, kind).join(other, "id")
     # bins and languages bound what the driver gets
