@@ -162,13 +162,61 @@ def glob_matches(path: Column, pattern: str) -> Column:
     return path.rlike(rx) | file_name(path).rlike(rx)
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM, which will run it, takes the pattern."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        SparkContext.getOrCreate()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (IllegalArgumentException, Py4JJavaError):
+        return False
+    return True
+
+
 def search_regex(pattern: str) -> str:
     """The pattern without regard to case; one that does not compile is taken literally."""
-    try:
-        re.compile(pattern)
-    except re.error:
-        pattern = re.escape(pattern)
-    return f"(?iu){pattern}"
+    return f"(?iu){pattern if _compiles(pattern) else re.escape(pattern)}"
+
+
+def binary_path(path: Column) -> Column:
+    return extension(path).isin(fixed.BINARY_EXTENSIONS)
+
+
+def preview(text: Column, limit: int = 500) -> Column:
+    """The first characters of a result: 500 of a preview, 5,000 of its details, 100 of arguments."""
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("..."))).otherwise(text)
+
+
+def detail_items(text: Column, limit: int = 6) -> Column:
+    """The first lines that are not blank, trimmed."""
+    return F.slice(F.filter(F.transform(line_array(text), lambda t: F.trim(t)), lambda v: v != ""), 1, limit)
+
+
+def distinct_in_order(items: Column) -> Column:
+    """An array's values, each where it stands first, without regard to case."""
+    low = F.transform(items, F.lower)
+    return F.filter(items, lambda v, k: F.array_position(low, F.lower(v)) == k + 1)
+
+
+def line_array(content: Column) -> Column:
+    """A text's lines; a last newline opens none; null for null."""
+    parts = F.split(content, "\r\n|\n|\r")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def xml_attributes(content: Column, element: str, attribute: str) -> Column:
+    """The attribute of every element of the local name, whatever the prefixes; empty where the XML does not parse."""
+    safe = F.regexp_replace(F.regexp_replace(content, r"^\uFEFF", ""), r"(?s)<!DOCTYPE.*?>", "")
+    # xpath() raises on malformed XML, so only what looks whole reaches it
+    whole = safe.rlike(r"(?s)^\s*(?:<\?xml.*?\?>)?\s*(?:<!--.*?-->\s*)*<([\w:.-]+)[\s/>].*(?:</\1\s*>|/>)\s*$") & (F.regexp_count(safe, F.lit("<[^!?/]")) == F.regexp_count(safe, F.lit("</|/>")))
+    return F.when(whole, F.xpath(F.when(whole, safe).otherwise("<x/>"), F.lit(f"//*[local-name()='{element}']/@{attribute}"))).otherwise(F.array().cast("array<string>"))
+
+
+def new_id() -> Column:
+    """A random id of 32 hexadecimal digits."""
+    return F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
 
 
 def mention_count(text: Column, name: str) -> Column:

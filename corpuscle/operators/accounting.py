@@ -9,7 +9,9 @@ MB = 1024 * 1024
 
 
 def folder_totals(files: DataFrame, by: str, size: str) -> DataFrame:
-    """(by, file_count, size_mb rounded half to even)."""
+    """(by, file_count, size_mb rounded half to even); a folder's own metadata file does not count."""
+    if "path" in files.columns:
+        files = files.filter(~F.col("path").rlike(r"(?:^|/)\.project-meta\.json$"))
     return files.groupBy(by).agg(F.count("*").alias("file_count"), F.bround(F.sum(size) / F.lit(float(MB)), 2).alias("size_mb"))
 
 
@@ -50,3 +52,8 @@ def dedupe_hits(hits: DataFrame, order: list) -> DataFrame:
     """The first hit of each (path, line_no) in order."""
     w = Window.partitionBy("path", "line_no").orderBy(*order)
     return hits.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+
+
+def folders_by_age(folders: DataFrame, created: str = "created_at", name: str = "folder_id") -> DataFrame:
+    """Folders, the newest first."""
+    return folders.orderBy(F.col(created).desc_nulls_last(), name)

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .search import explode_lines
 
-# Fixed values: (language group, file-name or path pattern, format, precedence); the lowest wins.
+# Fixed values: (language group, pattern of the path from the root, format, precedence); the lowest wins.
+_RESOURCES = r"(?:src/main/resources/)?"
 DISCOVERY = [
-    ("csharp", r"^appsettings\.development\.json$", "json", 1), ("csharp", r"^appsettings\.[^.]+\.json$", "json", 3), ("csharp", r"^appsettings\.json$", "json", 4), ("csharp", r"^launchsettings\.json$", "json", 5),
-    ("jsts", r"^\.env\.local$", "env", 1), ("jsts", r"^\.env\.(?!local$)[^.]+$", "env", 2), ("jsts", r"^\.env$", "env", 3), ("jsts", r"^(config|package)\.json$", "json", 4),
-    ("python", r"^\.env$", "env", 2), ("python", r"^(settings|config)\.py$", "python", 3), ("python", r"^(pyproject|config)\.toml$", "toml", 4), ("python", r"^(setup\.cfg|config\.ini)$", "ini", 4),
-    ("java", r"^application-[^.]+\.(properties)$", "properties", 2), ("java", r"^application-[^.]+\.ya?ml$", "yaml", 2), ("java", r"^application\.properties$", "properties", 3), ("java", r"^application\.ya?ml$", "yaml", 4),
-    ("go", r"^\.env$", "env", 2), ("go", r"^config\.ya?ml$", "yaml", 3), ("go", r"^config\.toml$", "toml", 3), ("go", r"^config\.json$", "json", 3),
-    ("rust", r"^cargo\.toml$", "toml", 1), ("rust", r"^\.env$", "env", 2), ("rust", r"^config\.toml$", "toml", 3),
-    ("c_cpp", r"^config\.h(\.in)?$", "c-define", 2), ("c_cpp", r"^cmakelists\.txt$", "c-define", 2), ("c_cpp", r"^config\.ini$", "ini", 3),
+    ("csharp", r"appsettings\.json", "json", 4), ("csharp", r"appsettings\.(?!json$)(?![^/]*local)[^/]*\.json", "json", 3), ("csharp", r"appsettings\.(?!json$)(?=[^/]*local)[^/]*\.json", "json", 1), ("csharp", r"properties/launchsettings\.json", "json", 5),
+    ("jsts", r"\.env", "env", 4), ("jsts", r"\.env\.local", "env", 2), ("jsts", r"\.env\.(?:development|production|staging|test)", "env", 3), ("jsts", r"\.env\.(?:development|production|staging|test)\.local", "env", 1),
+    ("python", r"\.env", "env", 3), ("python", r"(?:settings|config)\.py", "python", 2), ("python", r"config\.ya?ml", "yaml", 2), ("python", r"config\.ini", "ini", 2), ("python", r"pyproject\.toml", "toml", 4),
+    ("java", _RESOURCES + r"application\.properties", "properties", 3), ("java", _RESOURCES + r"application\.ya?ml", "yaml", 3),
+    ("java", _RESOURCES + r"application-[^/]*\.properties", "properties", 2), ("java", _RESOURCES + r"application-[^/]*\.ya?ml", "yaml", 2),
+    ("java", _RESOURCES + r"bootstrap\.ya?ml", "yaml", 4), ("java", _RESOURCES + r"bootstrap\.properties", "properties", 4),
+    ("go", r"config\.ya?ml", "yaml", 2), ("go", r"config\.toml", "toml", 2), ("go", r"config\.json", "json", 2), ("go", r"\.env", "env", 3),
+    ("go", r"configs?/[^/]+\.ya?ml", "yaml", 2), ("go", r"configs?/[^/]+\.toml", "toml", 2), ("go", r"configs?/[^/]+\.json", "json", 2), ("go", r"configs?/[^/]*\.env", "env", 2),
+    ("rust", r"\.env", "env", 3), ("rust", r"config/default\.toml", "toml", 3), ("rust", r"config/local\.toml", "toml", 1), ("rust", r"config/(?!default\.toml$|local\.toml$)[^/]+\.toml", "toml", 2), ("rust", r"settings\.toml", "toml", 2),
+    ("c_cpp", r"[^/]*config[^/]*\.h", "c-define", 2), ("c_cpp", r"cmakelists\.txt", "c-define", 3),
+    ("c_cpp", r"config/[^/]+\.ini", "ini", 3), ("c_cpp", r"config/[^/]+\.json", "json", 3), ("c_cpp", r"config/[^/]+\.xml", "xml", 3), ("c_cpp", r"config/[^/]+\.ya?ml", "yaml", 3),
 ]
 _GROUPS = {"javascript": "jsts", "typescript": "jsts", "c": "c_cpp", "cpp": "c_cpp"}
 
@@ -29,11 +38,18 @@ def detected_languages(files: DataFrame) -> DataFrame:
 
 
 def config_files(files: DataFrame) -> DataFrame:
-    """(path, format, precedence, content): each discovered file once, at its lowest precedence."""
+    """(path, format, precedence, content): each discovered file once, at its lowest precedence.
+
+    Files count in the root and in the folders that their rule names. Of a Go
+    corpus's folders configs and config the first that holds a file counts.
+    """
     spark = files.sparkSession
-    rules = spark.createDataFrame([(*r, k) for k, r in enumerate(DISCOVERY)], "language string, pattern string, format string, precedence int, rule int")
+    rules = spark.createDataFrame([(g, f"(?i)^{p}$", f, n, k) for k, (g, p, f, n) in enumerate(DISCOVERY)], "language string, pattern string, format string, precedence int, rule int")
     rules = F.broadcast(rules.join(detected_languages(files), "language"))  # a fixed table
-    x = files.filter(~T.excluded(F.col("path"), "source")).join(rules, F.expr("lower(substring_index(path, '/', -1)) rlike pattern"))
+    at = files.select("path")
+    plural = F.broadcast(at.agg(F.coalesce(F.bool_or(F.col("path").rlike("^configs/")), F.lit(False)).alias("plural")))  # one row
+    x = at.join(rules, F.expr("path rlike pattern")).join(plural)
+    x = x.filter(~((F.col("language") == "go") & F.col("plural") & F.lower("path").startswith("config/")))
     best = x.groupBy("path").agg(F.min(F.struct("precedence", "rule", "format")).alias("b"))
     return files.join(best, "path").select("path", "b.format", "b.precedence", "content")
 
@@ -72,24 +88,60 @@ def _yaml(batch_lines: DataFrame) -> DataFrame:
     return x.select("path", "format", "precedence", F.col("e.line_no").alias("line_no"), F.col("e.key").alias("key"), value.alias("value"))
 
 
-def _json(files: DataFrame, depth: int = 8) -> DataFrame:
-    """Members of nested objects: containers as {...} or [n items]; scalars right inside arrays are no entries."""
-    level = files.select("path", "format", "precedence", "content", F.try_parse_json("content").alias("v"), F.lit("").alias("key"), F.lit("").alias("name")).filter("v is not null")
-    out = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("_cfg")
-        # members of an object have a key, items of an array a place alone
-        level = files.sparkSession.sql(
-            "SELECT o.path, o.format, o.precedence, o.content, e.value AS v, if(e.key IS NULL, concat(o.key, '[', e.pos, ']'), concat(if(o.key = '', '', concat(o.key, ':')), e.key)) AS key, e.key AS name FROM _cfg o, LATERAL variant_explode(o.v) e"
-        )
-        found = level.filter("name is not null")
-        out = found if out is None else out.unionByName(found)
-    kind = F.schema_of_variant("v")
-    n_items = F.size(F.try_variant_get("v", "$", "array<variant>"))
-    value = F.when(kind.startswith("OBJECT"), "{...}").when(kind.startswith("ARRAY"), F.concat(F.lit("["), n_items.cast("string"), F.lit(" items]"))).when(kind == "VOID", "null").otherwise(F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")))
-    before = F.expr("substring(content, 1, greatest(locate(concat('\"', name, '\"'), content) - 1, 0))")
-    line = F.when(F.expr("locate(concat('\"', name, '\"'), content) > 0"), F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).otherwise(-1)
-    return out.select("path", "format", "precedence", line.cast("int").alias("line_no"), "key", value.alias("value"))
+class _Object(list):
+    """An object's members, in order, repeated names included."""
+
+
+def json_members(content: str) -> list[tuple[str, str, str]] | None:
+    """(key, name, value) of all members of nested objects, to any depth; None for what is no JSON.
+
+    Containers are {...} or [n items]; numbers keep their text; scalars right
+    inside arrays are no members.
+    """
+
+    def refuse(x: str):
+        raise ValueError(x)
+
+    try:
+        whole = json.loads(content, object_pairs_hook=_Object, parse_int=_Number, parse_float=_Number, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return None
+    out, left = [], [("", whole)]
+    while left:
+        prefix, v = left.pop()
+        if isinstance(v, _Object):
+            below = []
+            for name, w in v:
+                key = f"{prefix}:{name}" if prefix else name
+                shown = "{...}" if isinstance(w, _Object) else f"[{len(w)} items]" if isinstance(w, list) else w if isinstance(w, str) else "null" if w is None else str(w).lower()
+                out.append((key, name, shown))
+                below.append((key, w))
+        else:
+            below = [(f"{prefix}[{k}]", w) for k, w in enumerate(v)] if isinstance(v, list) else []
+        left += [(k, w) for k, w in reversed(below) if isinstance(w, list)]
+    return out
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def _json(files: DataFrame) -> DataFrame:
+    """(path, format, precedence, line_no, key, value): a member's line is the first with its quoted name."""
+    names = ["path", "format", "precedence", "line_no", "key", "value"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[] for _ in names]
+            for path, form, precedence, content in zip(*(b.column(k).to_pylist() for k in range(4))):
+                lines = (content or "").split("\n")
+                for key, name, value in json_members(content or "") or []:
+                    at = next((k for k, t in enumerate(lines, 1) if f'"{name}"' in t), -1)
+                    for c, v in zip(cols, (path, form, precedence, at, key, value)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()])], names=names)
+
+    return files.select("path", "format", "precedence", "content").mapInArrow(run, "path string, format string, precedence int, line_no int, key string, value string")
 
 
 def config_entries(files: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .keep import settled
 
 ROOT = "(root)"
 
@@ -26,6 +27,9 @@ def modules(files: DataFrame, *, max_depth: int = 3, other_from: int = 1) -> Dat
     A directory without a role of its own counts from other_from files on.
     """
     code = files.select("path").filter(T.language(F.col("path")).isNotNull() & ~T.excluded(F.col("path"), "modules")).distinct()
+    projects = project_modules(files, code)
+    if projects is not None:
+        return projects
     entry = code.filter(~F.col("path").contains("/"))
     root = entry.agg(F.count("*").alias("file_count"), F.bool_or(F.col("path").isin(fixed.ENTRY_POINTS)).alias("e")).filter("file_count > 0")
     root = root.select(F.lit(ROOT).alias("module"), F.when(F.col("e"), "Entry Point").otherwise("Other").alias("role"), "file_count")
@@ -36,6 +40,20 @@ def modules(files: DataFrame, *, max_depth: int = 3, other_from: int = 1) -> Dat
     return root.unionByName(held.filter((F.col("role") != "Other") | (F.col("file_count") >= other_from)).select("module", "role", "file_count"))
 
 
+def project_modules(files: DataFrame, code: DataFrame) -> DataFrame | None:
+    """(module, role, file_count), a row a project, where a solution lies in the root and there are several projects; else None."""
+    p = F.col("path")
+    seen = files.agg(F.count_if(p.rlike(r"(?i)^[^/]+\.sln$")).alias("solutions"), F.count_if(p.rlike(r"(?i)\.csproj$")).alias("projects")).first()
+    if not seen.solutions or seen.projects < 2:
+        return None
+    at = files.filter(p.rlike(r"(?i)\.csproj$")).select(F.array_join(T.directories(p), "/").alias("dir"), F.regexp_replace(T.file_name(p), r"\.[^.]*$", "").alias("stem"))
+    at = at.select("dir", F.when(F.col("dir") == "", F.col("stem")).otherwise(F.col("dir")).alias("module")).distinct()
+    ups = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.greatest(F.size(T.directories(p)), F.lit(1))), lambda k: F.array_join(F.slice(T.directories(p), 1, k), "/")))
+    held = code.select(F.explode(F.array_distinct(ups)).alias("dir")).groupBy("dir").agg(F.count("*").alias("file_count"))
+    x = at.join(held, "dir", "left")
+    return x.select("module", role(F.substring_index("module", "/", -1)).alias("role"), F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count"))
+
+
 def file_module(files: DataFrame, mods: DataFrame) -> DataFrame:
     """(path, module): the longest module that is a directory above the file, else the root."""
     dirs = T.directories(F.col("path"))
@@ -47,7 +65,10 @@ def file_module(files: DataFrame, mods: DataFrame) -> DataFrame:
 
 
 def entry_points(files: DataFrame) -> DataFrame:
-    return files.filter(T.file_name(F.col("path")).isin(fixed.ENTRY_POINTS) & ~T.excluded(F.col("path"), "modules")).select("path").distinct().orderBy("path")
+    """(path, description) of files that programs start in, by path."""
+    told = F.create_map(*[F.lit(v) for kv in fixed.ENTRY_DESCRIPTIONS.items() for v in kv])
+    x = files.filter(T.file_name(F.col("path")).isin(fixed.ENTRY_POINTS) & ~T.excluded(F.col("path"), "modules")).select("path").distinct()
+    return x.select("path", F.coalesce(F.try_element_at(told, F.lower(T.file_name(F.col("path")))), F.lit("")).alias("description")).orderBy("path")
 
 
 _PROBES = ["", ".ts", ".tsx", ".js", "/index.ts", "/index.js"]
@@ -90,10 +111,12 @@ def mermaid(edges: DataFrame) -> DataFrame:
 
 
 def dependents(files: DataFrame, names: DataFrame, path: str, *, limit: int = 20) -> DataFrame:
-    """Files, other than path, whose content contains any of the names: a semi-join over the words' few names."""
-    n = names.filter(F.col("path") == path).agg(F.collect_set("name").alias("_names"))  # one file's exports
-    x = files.filter(F.col("path") != path).join(F.broadcast(n)).filter(F.exists("_names", lambda w: F.contains(F.col("content"), w)))
-    return x.select("path").orderBy("path").limit(limit)
+    """Files, other than path, whose content contains any of the names that path exports: one scan, one file's names in its filter."""
+    exported = sorted(r.name for r in names.filter(F.col("path") == path).select("name").distinct().collect())
+    hit = F.lit(False)
+    for n in exported:
+        hit = hit | F.contains(F.col("content"), F.lit(n))
+    return files.filter((F.col("path") != path) & hit).select("path").orderBy("path").limit(limit)
 
 
 # Manifests by precedence, and the project type they tell.
@@ -122,10 +145,49 @@ def project_type(files: DataFrame, max_dependencies: int = 15) -> DataFrame:
     return best.select("path", "type", F.slice(deps, 1, max_dependencies).alias("dependencies"))
 
 
-def is_test_project(content):
-    return content.rlike(r'(?i)<PackageReference[^>]*Include="[^"]*(xunit|nunit|mstest|fluentassertions)')
+def is_test_project(path: Column, content: Column) -> Column:
+    """Whether a project is named after tests, or refers to a test framework's package; false for broken XML."""
+    stem = F.regexp_replace(T.file_name(path), r"\.[^.]*$", "")
+    return stem.rlike("(?i)test|spec") | F.exists(T.xml_attributes(content, "PackageReference", "Include"), lambda v: v.rlike("(?i)xunit|nunit|mstest|fluentassertions"))
+
+
+def dependency_versions(files: DataFrame, limit: int = 15) -> DataFrame:
+    """(path, seq, name, version) of the dependencies that manifests name, `limit` of each; a version may be null."""
+    name, text = F.lower(T.file_name(F.col("path"))), F.col("content")
+    pairs = lambda rx: F.arrays_zip(F.regexp_extract_all(text, F.lit(rx), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(rx), F.lit(2)).alias("version"))
+    block = F.regexp_extract(text, r'(?s)"dependencies"\s*:\s*(\{.*?\})', 1)
+    members = F.transform(F.map_entries(F.from_json(block, "map<string,string>")), lambda e: F.struct(e.key.alias("name"), e.value.alias("version")))
+    project = F.regexp_extract(text, r"(?s)dependencies\s*=\s*\[(.*?)\]", 1)
+    python = F.transform(F.regexp_extract_all(project, F.lit(r"[\"']([^\"']+)[\"']"), F.lit(1)), lambda v: F.struct(F.regexp_extract(v, r"^([A-Za-z0-9._-]+)", 1).alias("name"), F.nullif(F.trim(F.regexp_replace(v, r"^[A-Za-z0-9._-]+(?:\[[^\]]*\])?", "")), F.lit("")).alias("version")))
+    found = (
+        F.when(name.endswith(".csproj"), pairs(r'(?i)<PackageReference\s+Include="([^"]+)"(?:\s+Version="([^"]*)")?'))
+        .when(name == "package.json", members)
+        .when(name == "pyproject.toml", python)
+        .when(name == "requirements.txt", pairs(r"(?m)^([A-Za-z0-9._-]+)[ \t]*([=<>!~][^\s;#]*)?"))
+        .when(name == "go.mod", pairs(r"(?m)^\s*(?:require\s+)?([\w.-]+\.[\w./-]+)\s+(v\S+)"))
+        .when(name == "cargo.toml", pairs(r'(?m)^([\w-]+)\s*=\s*(?:"|\{[^}]*version\s*=\s*")([^"]*)"'))
+    )
+    x = files.select("path", F.posexplode(F.slice(found, 1, limit)).alias("k", "d"))
+    return x.select("path", (F.col("k") + 1).alias("seq"), F.col("d.name").alias("name"), F.nullif("d.version", F.lit("")).alias("version"))
 
 
 def snapshot_id(files: DataFrame) -> DataFrame:
     """One row: a signature of all paths and times, equal where nothing changed; a key for cached results."""
     return files.agg(F.coalesce(F.sum(F.xxhash64("path", "mtime").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("snapshot"))
+
+
+class Cached:
+    """Results by name and corpus state: made again once the files' signature has changed.
+
+    The files are looked at on every call; what is held is settled in the shared
+    folder, so that a hit reads it and computes nothing.
+    """
+
+    def __init__(self) -> None:
+        self._held: dict[str, tuple[str, DataFrame]] = {}
+
+    def get(self, name: str, files: DataFrame, make) -> DataFrame:
+        state = snapshot_id(files).first().snapshot
+        if self._held.get(name, ("",))[0] != state:
+            self._held[name] = (state, settled(make()))
+        return self._held[name][1]

@@ -10,9 +10,7 @@ from ..functions import text as T
 
 def explode_lines(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("path",), keep: tuple[str, ...] = ()) -> DataFrame:
     """(keys, keep, line_no from 1, text); a last newline opens no line; null content has no lines."""
-    parts = F.split(F.col(content), "\r\n|\n|\r")
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    out = files.select(*keys, *keep, F.posexplode(parts).alias("k", "text"))
+    out = files.select(*keys, *keep, F.posexplode(T.line_array(F.col(content))).alias("k", "text"))
     return out.select(*keys, *keep, (F.col("k") + 1).alias("line_no"), "text")
 
 
@@ -28,13 +26,46 @@ def glob(files: DataFrame, pattern: str, *, order: list[Column], limit: int = 10
     return files.filter(T.glob_matches(F.col("path"), pattern)).orderBy(*order).limit(limit)
 
 
-def read_slice(lines: DataFrame, *, keys: tuple[str, ...] = ("path",), offset: int = 0, max_lines: int = 500, budget: int = 51200) -> DataFrame:
-    """Per file the numbered lines after offset, while their bytes and line ends fit the budget."""
-    w = Window.partitionBy(*keys).orderBy("line_no")
-    out = lines.filter(F.col("line_no") > offset).filter(F.col("line_no") <= offset + max_lines)
-    out = out.withColumn("rendered", T.numbered(F.col("line_no"), T.cap_line(F.col("text"))))
-    out = out.withColumn("used", F.sum(F.octet_length("rendered") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.filter(F.col("used") <= budget)
+def line_counts(files: DataFrame, content: str = "content", keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys, n_lines, longest) of files that have a line; a file's lines lie in one row, so nothing is shuffled."""
+    lines = T.line_array(F.col(content))
+    x = files.select(*keys, lines.alias("_l")).filter(F.size("_l") > 0)
+    return x.select(*keys, F.size("_l").cast("long").alias("n_lines"), F.array_max(F.transform("_l", F.length)).alias("longest"))
+
+
+def read_slice(files: DataFrame, *, content: str = "content", keys: tuple[str, ...] = ("path",), offset: int = 0, max_lines: int = 500, budget: int | None = 51200) -> DataFrame:
+    """Per file the numbered lines after offset, while their bytes and line ends fit the budget.
+
+    The slice and its running sum are array functions over a file's row: no
+    window, no shuffle, and max_lines bounds the sum.
+    """
+    part = F.slice(T.line_array(F.col(content)), offset + 1, max_lines)
+    shown = F.transform(part, lambda t, k: F.struct((k + offset + 1).alias("line_no"), T.numbered(k + offset + 1, T.cap_line(t)).alias("rendered")))
+    kind = "array<struct<line_no:int,rendered:string,used:int>>"
+    step = lambda a, v: F.struct(
+        (a.at + F.octet_length(v.rendered) + 1).alias("at"),
+        F.concat(a.out, F.array(F.struct(v.line_no.alias("line_no"), v.rendered.alias("rendered"), (a.at + F.octet_length(v.rendered) + 1).alias("used")))).alias("out"),
+    )
+    run = F.aggregate("_s", F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a.out)
+    x = files.select(*keys, shown.alias("_s")).select(*keys, F.explode(run).alias("r")).select(*keys, "r.*")
+    return x.filter(F.col("used") <= budget) if budget else x
+
+
+def read_plain(files: DataFrame, path: str, *, max_lines: int = 1000) -> DataFrame:
+    """(path, content): the first lines without numbers, long ones capped; null content for a binary file."""
+    x = files.filter(F.col("path") == path)
+    text = F.array_join(F.transform(F.slice(T.line_array(F.col("content")), 1, max_lines), lambda t: T.cap_line(t)), "\n")
+    binary = T.binary_path(F.col("path")) | F.coalesce(T.binary_content(F.col("content").cast("binary")), F.lit(False))
+    return x.select("path", F.when(~binary, text).alias("content"))
+
+
+def clamped_depth(files: DataFrame, opens: str, closes: str, *, content: str = "content", keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys, line_no, depth): after each line, the opens less the closes so far, never below 0 at a line's end."""
+    lines = explode_lines(files, content, keys)
+    w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda c: F.length("text") - F.length(F.replace(F.col("text"), F.lit(c), F.lit("")))
+    x = lines.withColumn("_s", F.sum(count(opens) - count(closes)).over(w))
+    return x.select(*keys, "line_no", (F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).cast("long").alias("depth"))
 
 
 def tree(files: DataFrame, *, k: int = 30, max_depth: int = 3) -> DataFrame:
@@ -50,6 +81,12 @@ def tree(files: DataFrame, *, k: int = 30, max_depth: int = 3) -> DataFrame:
     return dirs.unionByName(shown)
 
 
+def explorer_grep(lines: DataFrame, text: str, *, name_glob: str = "*", limit: int = 100) -> DataFrame:
+    """Lines that match in files whose name fits the glob, in order of path and line, the first `limit`."""
+    where = T.file_name(F.col("path")).rlike(T.glob_regex(name_glob, names_only=True))
+    return grep(lines, text, order=[F.lower("path"), F.col("path"), F.col("line_no")], limit=limit, where=where)
+
+
 def top_per_group(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with rank, and more: how many the group has beyond them."""
     w = Window.partitionBy(*by)
@@ -57,11 +94,65 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], k: int) -
     return out.filter(F.col("rank") <= k)
 
 
+#: Names that go to all tasks; more are joined by hash.
+NAMES = 100_000
+
+
 def mentions(lines: DataFrame, names: DataFrame, *, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, name, line_no, n): word mentions of each name, by an equi-join on the lines' words."""
+    """(keys, name, line_no, n): word mentions of each name, by an equi-join on the lines' words.
+
+    Names are counted first: up to NAMES of them go to all tasks, and only words
+    that are names are shuffled.
+    """
     words = lines.select(*keys, "line_no", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
-    words = words.groupBy(*keys, "line_no", "name").agg(F.count("*").alias("n"))
-    return words.join(names.select("name").distinct(), "name")
+    names = names.select("name").distinct()
+    near = F.broadcast(names) if len(names.take(NAMES + 1)) <= NAMES else names
+    return words.join(near, "name").groupBy(*keys, "line_no", "name").agg(F.count("*").alias("n"))
+
+
+def containing(docs: DataFrame, needles: DataFrame, *, id_col: str, text_col: str, needle_id: str, needle_col: str, width: int = 3) -> DataFrame:
+    """(needle_id, id_col) of texts that contain a whole needle.
+
+    A text that contains a needle has the needle's inner words in a row, so the
+    pairs to compare come from an equi-join on one run of `width` such words, the
+    needle's rarest-looking (longest) one; needles of fewer inner words are joined
+    by what they have. contains() then decides on whole texts.
+    """
+    inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
+    n = needles.select(F.col(needle_id).alias("_i"), F.col(needle_col).alias("_n"), F.split(needle_col, r"\s+").alias("w")).withColumn("w", inner)
+    n = n.withColumn("k", F.least(F.size("w"), F.lit(width))).filter("_n is not null")
+
+    def runs(c: Column, k: int) -> Column:
+        """The runs of k words, by zipping k shifted copies, so that a text is split once and not once a word."""
+        shifted = [F.slice(c, j + 1, F.greatest(F.size(c), F.lit(1))).alias(f"w{j}") for j in range(k)]
+        whole = F.filter(F.arrays_zip(*shifted), lambda z: z[f"w{k - 1}"].isNotNull())
+        return F.transform(whole, lambda z: F.concat_ws(" ", *[z[f"w{j}"] for j in range(k)]))
+
+    best = F.lit(None).cast("string")
+    for k in range(1, width + 1):
+        longest = F.array_max(F.transform(runs(F.col("w"), k), lambda r: F.struct(F.length(r).alias("l"), r.alias("r"))))["r"]
+        best = F.when(F.col("k") == k, longest).otherwise(best)
+    n = n.withColumn("anchor", best).drop("w")
+    n = F.broadcast(n) if len(n.take(NAMES + 1)) <= NAMES else n
+    d = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
+    sizes = [r.k for r in needles.select(F.least(F.greatest(F.size(F.split(needle_col, r"\s+")) - 2, F.lit(0)), F.lit(width)).alias("k")).distinct().collect() if r.k is not None]  # width + 1 values at most
+    out = None
+    for k in sorted(sizes):
+        part = n.filter(F.col("k") == k)
+        if k == 0:  # of one or two words: no inner word to look up
+            x = d.join(part, F.contains(F.col("_t"), F.col("_n")))
+        else:
+            x = d.withColumn("anchor", F.explode(F.array_distinct(runs(F.split("_t", r"\s+"), k)))).join(part, "anchor").filter(F.contains(F.col("_t"), F.col("_n")))
+        x = x.select(F.col("_i").alias(needle_id), id_col)
+        out = x if out is None else out.unionByName(x)
+    if out is None:
+        return d.join(n, F.lit(False)).select(F.col("_i").alias(needle_id), id_col)
+    return out.distinct()
+
+
+def result_summary(hits: DataFrame) -> DataFrame:
+    """One row: matches and files of search results, and the width of their longest path."""
+    return hits.agg(F.count("*").alias("matches"), F.count_distinct("path").alias("files"), F.coalesce(F.max(F.length("path")), F.lit(0)).alias("path_width"))
 
 
 # What a definition of a name looks like, by language family; {} is the name.

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -19,6 +19,8 @@ from ..functions import text as T
 GLOBAL = "(global)"
 # What a declaration looks like, by language: (kind, pattern, group of the name).
 _MODS = r"(?:(?:public|private|protected|internal|static|abstract|final|sealed|partial|virtual|override|async|readonly|synchronized|native|default)\s+)*"
+_CS_TYPE = r"(?:(?:required|const|volatile|extern|new|unsafe)\s+)*[A-Za-z_][\w.]*(?:<[^()=;]*>)?(?:\[[,\s]*\])*\??"
+_CS_STATEMENTS = ["return", "throw", "await", "yield", "goto", "using", "new", "else", "case", "in", "is", "as", "var", "delegate"]
 DECLARATIONS: dict[str, list[tuple[str, str, int]]] = {
     "python": [
         ("class", r"^\s*class\s+([A-Za-z_]\w*)", 1),
@@ -36,8 +38,12 @@ DECLARATIONS: dict[str, list[tuple[str, str, int]]] = {
         ("method", rf"^\s*{_MODS}[A-Za-z_][\w<>,\[\]?\s.]*\s+([A-Za-z_]\w*)\s*\(", 1),
     ],
     "csharp": [
-        ("type", rf"^\s*{_MODS}(class|interface|struct|enum|record|namespace)\s+([A-Za-z_][\w.]*)", 2),
-        ("method", rf"^\s*{_MODS}[A-Za-z_][\w<>,\[\]?\s.]*\s+([A-Za-z_]\w*)\s*\(", 1),
+        ("type", rf"^\s*{_MODS}(class|interface|struct|enum|record|namespace)\s+(?:(?:class|struct)\s+)?([A-Za-z_][\w.]*)", 2),
+        ("event", rf"^\s*{_MODS}event\s+{_CS_TYPE}\s+([A-Za-z_]\w*)\s*[;={{]", 1),
+        ("constructor", rf"^\s*{_MODS}([A-Za-z_]\w*)\s*\(", 1),
+        ("method", rf"^\s*{_MODS}{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:<[\w,\s]+>)?\s*\(", 1),
+        ("property", rf"^\s*{_MODS}{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:\{{|=>)", 1),
+        ("field", rf"^\s*{_MODS}{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:=[^=>]|;)", 1),
     ],
     "go": [
         ("function", r"^\s*func\s+(?:\([^)]*\)\s+)?([A-Za-z_]\w*)\s*\(", 1),
@@ -61,7 +67,7 @@ _SKIP = {
     "python": re.compile(r"^(?:#|@|import\b|from\b|$)"),
     "java": re.compile(r"^(?://|\*|/\*|@(?!interface)|import\b|package\b|$)"),
     "csharp": re.compile(r"^(?://|\*|/\*|\[|using\b|#|$)"),
-    "javascript": re.compile(r"^(?://|\*|/\*|import\b|@|$)"),
+    "javascript": re.compile(r"^(?://|\*|/\*|import\b|export \{|@|$)"),
     "go": re.compile(r"^(?://|\*|/\*|import\b|package\b|$)"),
     "rust": re.compile(r"^(?://|\*|/\*|use\b|#|$)"),
     "cpp": re.compile(r"^(?://|\*|/\*|#|using\b|$)"),
@@ -87,24 +93,52 @@ def split_lines(content: str | None) -> list[str]:
 
 
 def _code_lines(lines: list[str], lang: str) -> list[bool]:
-    """Whether each line is outside block comments and triple-quoted strings."""
+    """Whether each line is outside block comments and triple-quoted strings.
+
+    A comment opens only where a line begins with it, so that a glob inside a
+    string opens none; a string that opens and ends in one line hides nothing.
+    """
     out, inside = [], False
     for line in lines:
         if lang == "python":
-            quotes = line.count('"""') + line.count("'''")
-            out.append(not inside and quotes == 0)
-            inside ^= quotes % 2 == 1
-            continue
-        start = inside
-        opened, closed = line.rfind("/*"), line.rfind("*/")
-        if inside:
-            inside = not (closed >= 0 and opened < closed)
+            odd = (line.count('"""') + line.count("'''")) % 2 == 1
+            out.append(not inside and not odd)
+            inside ^= odd
+        elif inside:
+            out.append(False)
+            inside = "*/" not in line
         else:
-            inside = opened >= 0 and closed < opened
-        out.append(not start and not line.lstrip().startswith("/*"))
+            text = line.lstrip()
+            inside = text.startswith("/*") and "*/" not in text
+            out.append(not inside)
     return out
 
 
+_ABOVE = ("//", "#", "/*", "*", "@", "[")
+
+
+def _comment_start(lines: list[str], at: int, lang: str) -> int:
+    """The first line (from 0) of the comments and annotations over a declaration; a blank line ends them."""
+    first = at
+    for k in range(at - 1, -1, -1):
+        text = lines[k].strip()
+        if not text:
+            if first == at:
+                continue
+            break
+        if not text.startswith(_ABOVE) and not (lang == "python" and text.startswith(('"""', "'''"))):
+            break
+        first = k
+    return first
+
+
+def _head_end(lines: list[str], at: int, lang: str) -> int:
+    """The last line (from 0) of a declaration's head: the first that has a brace or ends in ';' or ':'."""
+    if lang == "python":
+        return at
+    return next((k for k in range(at, len(lines)) if "{" in lines[k] or lines[k].rstrip().endswith((";", ":"))), at)
+
+
 def _end(lines: list[str], at: int, lang: str) -> int:
     """The last line (from 0) of the declaration at a line."""
     if lang == "python":
@@ -125,8 +159,8 @@ def _end(lines: list[str], at: int, lang: str) -> int:
     return at if not seen else len(lines) - 1
 
 
-def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, int, int, int, str]]:
-    """(name, kind, containing, start line, end line, depth, signature), lines from 1."""
+def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, int, int, int, str, int, int]]:
+    """(name, kind, containing, start line, end line, depth, signature, first comment line, last line of the head), lines from 1."""
     lines, out = split_lines(content), []
     code, stack, depth = _code_lines(lines, lang), [], 0
     for k, line in enumerate(lines):
@@ -156,15 +190,20 @@ def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, in
                 continue
             if kind == "function" and lang in ("cpp", "c") and m[group] in fixed.CONTROL_WORDS:
                 continue
+            # a call inside a body looks like a method: methods stand right inside their type
+            if kind == "method" and lang in ("javascript", "typescript", "java") and start != stack[-1][1] + 1:
+                continue
+            if lang == "csharp" and kind != "type" and not _is_member(kind, m, stack, start, text):
+                continue
             name = m[group].split("::")[-1]
             kind = m[1] if kind == "type" and group == 2 else kind
             if lang == "rust" and kind == "function" and stack:
                 kind = "method"
             end = k if kind == "variable" else _end(lines, k, lang)
-            out.append((name, kind, GLOBAL if lang == "go" else holder, k + 1, max(end, k) + 1, len(stack), re.sub(r"\s*\{$", "", text.rstrip())))
+            out.append((name, kind, GLOBAL if lang == "go" else holder, k + 1, max(end, k) + 1, len(stack), re.sub(r"\s*\{$", "", text.rstrip()), _comment_start(lines, k, lang) + 1, _head_end(lines, k, lang) + 1))
             if lang == "python" and kind != "variable":
                 stack.append((name, level, True))
-            elif kind in ("class", "interface", "struct", "enum", "record", "namespace", "trait", "mod", "union") and lang not in ("go", "python"):
+            elif (kind in _HOLDERS or (kind == "type" and lang in ("javascript", "typescript"))) and lang not in ("go", "python") and not text.rstrip().endswith(";"):
                 stack.append((name, start, "{" in line))
                 if "{" in line and depth <= start:
                     stack.pop()
@@ -172,6 +211,16 @@ def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, in
     return out
 
 
+_HOLDERS = ("class", "interface", "struct", "enum", "record", "namespace", "trait", "mod", "union")
+
+
+def _is_member(kind: str, m: re.Match, stack: list, start: int, text: str) -> bool:
+    """Whether a line that looks like a C# member is one: directly inside a type, and no statement."""
+    if not stack or start != stack[-1][1] + 1 or not stack[-1][2] or text.split()[0].rstrip("(;") in _CS_STATEMENTS or m[1] in fixed.CONTROL_WORDS:
+        return False
+    return m[1] == stack[-1][0] if kind == "constructor" else m[1] != stack[-1][0]
+
+
 def test_cases(content: str | None, lang: str) -> list[tuple[str, int]]:
     lines, out = split_lines(content), []
     mark, named = TESTS[lang]
@@ -204,10 +253,19 @@ def _source(files: DataFrame) -> DataFrame:
     return files.select("path", T.language(F.col("path")).alias("language"), "content").filter("language is not null")
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """(path, language, name, kind, containing, start_line, end_line, depth, signature, is_test) of every declaration."""
-    run = _fold(declarations, ["name", "kind", "containing", "start_line", "end_line", "depth", "signature"], [pa.string()] * 3 + [pa.int32()] * 3 + [pa.string()])
-    out = _source(files).mapInArrow(run, "path string, language string, name string, kind string, containing string, start_line int, end_line int, depth int, signature string")
+#: How declarations are found, by name; a language server's would be another entry.
+EXTRACTORS = {"heuristic": declarations}
+
+
+def extract_symbols(files: DataFrame, extractor: str = "heuristic") -> DataFrame:
+    """(path, language, name, kind, containing, start_line, end_line, depth, signature, comment_line, head_line, is_test) of every declaration.
+
+    comment_line: where the comments over it begin; head_line: where its head ends.
+    """
+    if extractor not in EXTRACTORS:
+        raise ValueError(f"no extractor {extractor}; there are {', '.join(EXTRACTORS)}")
+    run = _fold(EXTRACTORS[extractor], ["name", "kind", "containing", "start_line", "end_line", "depth", "signature", "comment_line", "head_line"], [pa.string()] * 3 + [pa.int32()] * 3 + [pa.string()] + [pa.int32()] * 2)
+    out = _source(files).mapInArrow(run, "path string, language string, name string, kind string, containing string, start_line int, end_line int, depth int, signature string, comment_line int, head_line int")
     return out.withColumn("is_test", T.is_test_path(F.col("path")))
 
 
@@ -217,22 +275,42 @@ def extract_test_cases(files: DataFrame) -> DataFrame:
 
 
 def outline(symbols: DataFrame, path: str, cap: int = 120) -> DataFrame:
-    """(line_no, depth, signature) of a file's outer declarations."""
-    x = symbols.filter((F.col("path") == path) & (F.col("depth") <= 1))
+    """(line_no, depth, signature) of a file's outer declarations; a namespace around them is no depth of its own."""
+    x = symbols.filter((F.col("path") == path) & (F.col("kind") != "variable"))
+    spaced = F.coalesce(F.max(F.when(F.col("kind") == "namespace", F.when(F.col("end_line") > F.col("start_line"), 1).otherwise(0))).over(Window.partitionBy("path")), F.lit(0))
+    x = x.withColumn("depth", F.greatest(F.col("depth") - F.when(F.col("kind") == "namespace", 0).otherwise(spaced), F.lit(0))).filter("depth <= 1")
     return x.select(F.col("start_line").alias("line_no"), "depth", F.left(T.clean_signature(F.col("signature")), F.lit(cap)).alias("signature")).orderBy("line_no")
 
 
-def imports(lines: DataFrame) -> DataFrame:
-    """(path, language, line_no, target) of import lines; lines: path, line_no, text."""
-    x = lines.withColumn("language", T.language(F.col("path")))
-    kind = F.when(F.col("language") == "typescript", "javascript").otherwise(F.col("language"))
-    found = F.array().cast("array<string>")
-    for lang, patterns in fixed.IMPORT_PATTERNS.items():
-        hits = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns])
-        found = F.when(kind == lang, hits).otherwise(found)
-    x = x.filter("language is not null").withColumn("target", F.explode(found))
-    # Go names packages by bare strings: only those of an import line or block count
-    return x.filter((F.col("language") != "go") | F.col("text").rlike(r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"[^"]+"\s*$')).select("path", "language", "line_no", "target")
+_IMPORTS = {k: [re.compile(p) for p in v] for k, v in fixed.IMPORT_PATTERNS.items()}
+_IMPORTS["typescript"] = _IMPORTS["javascript"]
+_GO_PATH = re.compile(r'^\s*(?:[\w.]+\s+)?"([^"]+)"')
+
+
+def import_lines(content: str | None, lang: str) -> list[tuple[int, str]]:
+    """(line, target) of a file's imports: one a line, the first form that matches."""
+    out, block, heads = [], False, fixed.IMPORT_HEADS.get(lang)
+    for k, line in enumerate(split_lines(content), 1):
+        text = line.lstrip()
+        if lang == "go":
+            if text.startswith("import ("):
+                block = True
+            elif block and text.startswith(")"):
+                block = False
+            elif m := _GO_PATH.match(text if block else text[7:] if text.startswith("import ") else ""):
+                out.append((k, m[1]))
+            continue
+        hit = next((m[1] for p in _IMPORTS.get(lang, []) if (m := p.search(line))), None)
+        if hit:
+            out.append((k, hit))
+        if heads and text and not text.startswith(heads):
+            break
+    return out
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(path, language, line_no, target) of the files' imports."""
+    return _source(files).mapInArrow(_fold(import_lines, ["line_no", "target"], [pa.int32(), pa.string()]), "path string, language string, line_no int, target string")
 
 
 def exported_types(symbols: DataFrame) -> DataFrame:

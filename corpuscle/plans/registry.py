@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accounting, config, modules, references, search, symbols
+from ..operators.keep import settled
+from ..sources import files as source
 
 
 @dataclass
@@ -31,13 +33,18 @@ class Corpus:
     def symbols(self) -> DataFrame:
         return self._once("symbols", lambda: symbols.extract_symbols(self.files))
 
+    @property
+    def edges(self) -> DataFrame:
+        """The call edges, settled: every graph of the corpus reads them."""
+        return self._once("edges", lambda: settled(references.call_edges(self.lines, self.symbols)))
+
     @property
     def cases(self) -> DataFrame:
         return self._once("cases", lambda: symbols.extract_test_cases(self.files))
 
     @property
     def imports(self) -> DataFrame:
-        return self._once("imports", lambda: symbols.imports(self.lines))
+        return self._once("imports", lambda: symbols.imports(self.files))
 
     @property
     def modules(self) -> DataFrame:
@@ -73,20 +80,23 @@ def _recent(df: DataFrame) -> list:
 def grep_search(c: Corpus, pattern: str, include: str | None = None) -> DataFrame:
     keep = tuple(x for x in ("mtime",) if x in c.files.columns)
     lines = search.explode_lines(c.files, keep=keep)
+    lines = source.search_files(lines)
     where = search.T.glob_matches(F.col("path"), include) if include else None
     return search.grep(lines, pattern, order=[*_recent(lines), F.lower("path"), F.col("line_no")], where=where)
 
 
 @tool("read_file")
 def read_file(c: Corpus, file_path: str, offset: int = 0, max_lines: int = 500) -> DataFrame:
-    return search.read_slice(c.lines.filter(F.col("path") == file_path), offset=offset, max_lines=max_lines).orderBy("line_no")
+    return search.read_slice(c.files.filter(F.col("path") == file_path), offset=offset, max_lines=max_lines).orderBy("line_no")
 
 
 @tool("read_symbol")
-def read_symbol(c: Corpus, symbol: str, file_path: str | None = None, signature_hint: str | None = None) -> DataFrame:
+def read_symbol(c: Corpus, symbol: str, file_path: str | None = None, include_body: bool = True, include_comments: bool = True, signature_hint: str | None = None) -> DataFrame:
     s = references.find_definitions(c.symbols, symbol, file=file_path, hint=signature_hint, limit=1)
-    x = c.lines.join(F.broadcast(s.select("path", "start_line", "end_line")), "path")  # one row
-    return x.filter(F.col("line_no").between(F.col("start_line"), F.col("end_line"))).select("path", "line_no", search.T.numbered(F.col("line_no"), F.col("text")).alias("text")).orderBy("line_no")
+    first = F.least("comment_line", "start_line") if include_comments else F.col("start_line")
+    last = F.col("end_line") if include_body else F.greatest("head_line", "start_line")
+    x = c.lines.join(F.broadcast(s.select("path", first.alias("_a"), last.alias("_b"))), "path")  # one row
+    return x.filter(F.col("line_no").between(F.col("_a"), F.col("_b"))).select("path", "line_no", search.T.numbered(F.col("line_no"), F.col("text")).alias("text")).orderBy("line_no")
 
 
 @tool("list_directory")
@@ -112,13 +122,13 @@ def find_definition(c: Corpus, symbol: str, include: str | None = None) -> DataF
 
 
 @tool("find_references")
-def find_references(c: Corpus, symbol: str, scope: str = "all") -> DataFrame:
-    return references.find_references(c.lines, c.symbols, symbol, scope=scope)
+def find_references(c: Corpus, symbol: str, file_path: str | None = None, include: str | None = None, scope: str = "all", signature_hint: str | None = None) -> DataFrame:
+    return references.find_references(c.lines, c.symbols, symbol, scope=scope, file=file_path, include=include, hint=signature_hint)
 
 
 @tool("find_tests")
-def find_tests(c: Corpus, symbol: str) -> DataFrame:
-    return references.tests_for(c.lines, c.cases, c.symbols, symbol)
+def find_tests(c: Corpus, symbol: str | None = None, file_path: str | None = None, test_framework: str | None = None) -> DataFrame:
+    return references.tests_for(c.lines, c.cases, c.symbols, symbol, file=file_path, framework=test_framework)
 
 
 @tool("get_related_files")
@@ -129,8 +139,16 @@ def get_related_files(c: Corpus, file_path: str) -> DataFrame:
 
 
 @tool("repo_map")
-def repo_map(c: Corpus, max_depth: int = 3) -> DataFrame:
-    return modules.modules(c.files, max_depth=max_depth).orderBy((F.col("module") != modules.ROOT), "module")
+def repo_map(c: Corpus, scope: str | None = None, max_depth: int = 3, include_dependencies: bool = False) -> DataFrame:
+    """Modules, below a folder where scope names one; with include_dependencies, what each uses and how often, too."""
+    files = c.files.filter(F.col("path").startswith(scope.strip("/") + "/")).withColumn("path", F.substr("path", F.lit(len(scope.strip("/")) + 2))) if scope else c.files
+    found = modules.modules(files, max_depth=max_depth)
+    if include_dependencies:
+        edges = modules.module_edges(symbols.imports(files), files, found)
+        used = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((-F.col("refs")).alias("n"), "dst"))).alias("d"))
+        used = used.select(F.col("src").alias("module"), F.transform("d", lambda e: F.struct(e.dst.alias("module"), (-e.n).alias("refs"))).alias("dependencies"))
+        found = found.join(used, "module", "left")
+    return found.orderBy((F.col("module") != modules.ROOT), "module")
 
 
 @tool("module_dependencies")
@@ -139,8 +157,16 @@ def module_dependencies(c: Corpus) -> DataFrame:
 
 
 @tool("call_graph")
-def call_graph(c: Corpus, symbol: str, depth: int = 2, direction: str = "downstream") -> DataFrame:
-    return references.call_graph(c.lines, c.symbols, symbol, depth=depth, direction=direction)
+def call_graph(c: Corpus, symbol: str, file_path: str | None = None, depth: int = 2, direction: str = "downstream") -> DataFrame:
+    return references.call_graph(c.lines, c.symbols, symbol, depth=depth, direction=direction, file=file_path, edges=c.edges)
+
+
+@tool("ask_user")
+def ask_user(c: Corpus, question: str, options: list[str] | None = None, asked_at: str | None = None) -> DataFrame:
+    """One row (id, question, options, asked_at): what streaming.activity.answers() pairs with an answer, or times out."""
+    at = F.lit(asked_at).cast("timestamp") if asked_at else F.current_timestamp()
+    spark = c.files.sparkSession
+    return spark.range(1).select(search.T.new_id().alias("id"), F.lit(question).alias("question"), F.array(*[F.lit(o) for o in options or []]).cast("array<string>").alias("options"), at.alias("asked_at"))
 
 
 @tool("config_lookup")

@@ -1,7 +1,9 @@
 """Source trees as DataFrames, hidden and underscore files included.
 
-`repo` is a Python data source over a file system all executors mount; each
-top-level entry is a partition, so trees are walked and read in parallel.
+`repo` is a Python data source over a file system all executors mount. The driver
+lists the files, and bundles of about BUNDLE bytes of them are the partitions, so
+that one large folder is read by many tasks. A text of more than LARGEST bytes has
+null content: a row has to fit a task.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import fixed
 from ..functions import text as T
 
+BUNDLE, LARGEST = 32 << 20, 256 << 20
 SCHEMA = "path string, size bigint, mtime timestamp, content string"
 
 
@@ -30,23 +33,29 @@ class RepoReader(DataSourceReader):
         self.skip = {d.lower() for d in fixed.EXCLUDED_DIRS.get(options.get("profile", "source"), [])}
 
     def partitions(self) -> list[InputPartition]:
-        return [_Entry(n) for n in sorted(os.listdir(self.root)) if n.lower() not in self.skip or os.path.isfile(os.path.join(self.root, n))]
+        out, held, size = [], [], 0
+        for at in self._files(self.root):
+            # each file counts a little besides its bytes, for being opened
+            n = min(os.path.getsize(at), LARGEST) + (1 << 16)
+            if held and size + n > BUNDLE:
+                out.append(_Entry(held))
+                held, size = [], 0
+            held.append(at)
+            size += n
+        return out + [_Entry(held)] if held else out or [_Entry([])]
 
     def _files(self, top: str) -> Iterator[str]:
-        if os.path.isfile(top):
-            yield top
-            return
         for folder, dirs, names in os.walk(top):
             dirs[:] = sorted(d for d in dirs if d.lower() not in self.skip)
             for n in sorted(names):
                 yield os.path.join(folder, n)
 
     def read(self, partition: _Entry) -> Iterator[tuple]:
-        for at in self._files(os.path.join(self.root, partition.value)):
+        for at in partition.value:
             info = os.stat(at)
             with open(at, "rb") as f:
                 head = f.read(4096)
-                binary = b"\0" in head
+                binary = b"\0" in head or info.st_size > LARGEST
                 content = None if binary else (head + f.read()).decode("utf-8-sig", errors="replace")
             yield os.path.relpath(at, self.root).replace(os.sep, "/"), info.st_size, datetime.fromtimestamp(info.st_mtime, timezone.utc), content
 
@@ -94,3 +103,37 @@ def project_meta(rows: DataFrame, content: str = "content", folder: str = "folde
     """(folder, display_name, created_at) from metadata JSON; what does not parse leaves the folder's id and null."""
     v = F.try_parse_json(content)
     return rows.select(folder, F.coalesce(F.try_variant_get(v, "$.displayName", "string"), F.col(folder)).alias("display_name"), F.try_variant_get(v, "$.createdAt", "string").cast("timestamp").alias("created_at"))
+
+
+def project_meta_json(rows: DataFrame, folder: str = "folder_id") -> DataFrame:
+    """(folder, content): what project_meta() reads, of rows (folder, display_name, created_at); nulls are left out."""
+    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    return rows.select(folder, F.to_json(F.struct(F.col("display_name").alias("displayName"), at.alias("createdAt"))).alias("content"))
+
+
+def ingest(files: DataFrame, *, max_mb: float = 20.0, used_mb: float = 0.0, quota_mb: float | None = None) -> DataFrame:
+    """One row: files taken and refused, their bytes, and whether the whole upload is within the quota."""
+    x = uploads(files, max_mb=max_mb)
+    total = F.coalesce(F.sum(F.when(F.col("accepted"), F.col("size"))), F.lit(0))
+    fits = F.lit(True) if quota_mb is None else total / F.lit(1024.0 * 1024) + used_mb <= quota_mb
+    return x.agg(F.count_if("accepted").alias("taken"), F.count_if(~F.col("accepted")).alias("refused"), total.alias("bytes"), fits.alias("allowed"))
+
+
+def project_files(files: DataFrame, pattern: str = "*.csproj") -> DataFrame:
+    """Files whose name fits the glob, outside excluded directories."""
+    return files.filter(T.file_name(F.col("path")).rlike(T.glob_regex(pattern, names_only=True)) & ~T.excluded(F.col("path"), "source"))
+
+
+def code_files(files: DataFrame) -> DataFrame:
+    """The wide scan: code, configuration, markup, scripts and logs, outside its own excluded directories."""
+    return files.filter(T.extension(F.col("path")).isin(fixed.CODE_EXTENSIONS) & ~T.excluded(F.col("path"), "code"))
+
+
+def plain_search_files(files: DataFrame) -> DataFrame:
+    """Files of the extensions that the plain line search reads, wherever they lie."""
+    return files.filter(T.extension(F.col("path")).isin(fixed.SEARCH_EXTENSIONS))
+
+
+def search_files(files: DataFrame) -> DataFrame:
+    """What a line search reads: everything but documentation, and but .git, bin and obj; hidden files count."""
+    return files.filter(~T.extension(F.col("path")).isin(fixed.DOCUMENT_EXTENSIONS) & ~T.excluded(F.col("path"), "search"))

@@ -29,6 +29,12 @@ def call_durations(events: DataFrame, *, late: str = "10 minutes") -> DataFrame:
     return start.join(end, on).select("run_id", "call_idx", "tool_name", (F.unix_millis("e") - F.unix_millis("s")).alias("duration_ms"))
 
 
+def running_totals(events: DataFrame, *, late: str = "10 minutes") -> DataFrame:
+    """(run_id, tool_calls, duration_ms) so far, of end events: for a sink in update mode."""
+    x = events.filter("kind = 'end'").withWatermark("ts", late)
+    return x.groupBy("run_id").agg(F.count("*").alias("tool_calls"), F.sum("duration_ms").alias("duration_ms"))
+
+
 def expired_folders(activity: DataFrame, *, folder: str, ts: str, ttl: str = "120 minutes", late: str = "0 seconds") -> DataFrame:
     """(folder, ended) of folders without activity for the ttl: a session window that closes is an expiry."""
     w = F.session_window(ts, ttl)
