@@ -10,26 +10,7 @@ MINI = {
     "core/util.py": "VERSION = 1\n",
     "tests/test_app.py": "from app import load\ndef test_load():\n    load(None)\n",
 }
-CONFIG = {
-    "app.js": "require('./x')\n",
-    ".env": 'API_URL="http://a"\n',
-    ".env.local": "API_URL=http://b\n",
-    ".env.production": "api_url=http://c\n",
-}
-FORMATS = [
-    ("a.json", "json", '{"Logging":{"LogLevel":{"Default":"Warning"}},"Hosts":["a","b"],"N":1}'),
-    ("a.ini", "ini", "[db]\nhost = x ; y\n"),
-    ("a.toml", "toml", '[a.b]\nk = "v" # c\n'),
-    ("a.yaml", "yaml", 'a:\n  b: "v" # c\n'),
-    ("a.py", "python", "  X = 'y'\n"),
-    ("a.h", "c-define", "#define N 3 // c\n"),
-    ("CMakeLists.txt", "c-define", "set(A b)\n"),
-]
 
 
 def files(spark: SparkSession, content: dict[str, str] = MINI) -> DataFrame:
     return spark.createDataFrame(sorted(content.items()), "path string, content string")
-
-
-def formats(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, f, 1, c) for p, f, c in FORMATS], "path string, format string, precedence int, content string")

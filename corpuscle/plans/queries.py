@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import accounting, config, references, search, sessions, symbols
-from . import fixtures
+from ..operators import accounting, config, modules, references, search, sessions, symbols
+from ..sources import files as source
+from . import synthetic
 from .registry import Corpus, call
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,7 +50,7 @@ def grep_lines(spark, sf_dir):
 
 @query(f"""WITH {_LINES} SELECT doc_id, count(*) AS n_lines, CAST(max(length(text)) AS INT) AS longest FROM lines GROUP BY doc_id""")
 def line_counts(spark, sf_dir):
-    return doc_lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.length("text")).alias("longest"))
+    return search.line_counts(table(spark, sf_dir, "documents"), "text", ("doc_id",))
 
 
 @query(f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, lpad(CAST(line_no AS VARCHAR), CAST(greatest(length(CAST(line_no AS VARCHAR)), 5) AS INT), ' ') || '| ' || CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END AS rendered
@@ -57,7 +58,7 @@ def line_counts(spark, sf_dir):
     b AS (SELECT *, CAST(sum(strlen(rendered) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS used FROM s)
     SELECT doc_id, line_no, rendered, used FROM b WHERE used <= 2048""")
 def read_slice(spark, sf_dir):
-    out = search.read_slice(doc_lines(spark, sf_dir), keys=("doc_id",), offset=2, max_lines=40, budget=2048)
+    out = search.read_slice(table(spark, sf_dir, "documents"), content="text", keys=("doc_id",), offset=2, max_lines=40, budget=2048)
     return out.select("doc_id", "line_no", "rendered", F.col("used").cast("long").alias("used"))
 
 
@@ -155,37 +156,40 @@ def site_edges(spark, sf_dir):
         CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS p, user_id FROM events)
     SELECT user_id, arg_min(v, (p, event_id)) AS value, min(p) AS precedence FROM e GROUP BY user_id""")
 def config_props(spark, sf_dir):
-    v = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     p = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "view", 3).otherwise(4)
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", v.alias("v"), p.alias("p"))
-    return e.groupBy("user_id").agg(F.min_by("v", F.struct("p", "event_id")).alias("value"), F.min("p").alias("precedence"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "props", p.alias("precedence"))
+    found = config.config_entries(e.select(F.col("event_id").cast("string").alias("path"), F.lit("json").alias("format"), "precedence", F.col("props").alias("content")))
+    found = found.filter("key = 'k'").join(e.select(F.col("event_id").cast("string").alias("path"), "user_id", "event_id"), "path")
+    return found.groupBy("user_id").agg(F.min_by(F.col("value").cast("bigint"), F.struct("precedence", "event_id")).alias("value"), F.min("precedence").alias("precedence"))
 
 
-@query(f"""WITH {_LINES}, n AS (SELECT DISTINCT unnest(string_split(r_name, ' ')) AS name FROM region UNION SELECT DISTINCT n_name FROM nation UNION SELECT unnest(['the', 'und', 'la'])),
+@query(f"""WITH {_LINES}, n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM benchmark),
     w AS (SELECT d.lang, unnest(regexp_extract_all(l.text, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM lines l JOIN documents d USING (doc_id))
     SELECT lang, name, count(*) AS n FROM w JOIN n USING (name) GROUP BY ALL""")
 def mentions_by_lang(spark, sf_dir):
+    """How often each word of the benchmark is mentioned in each language."""
     docs = table(spark, sf_dir, "documents")
-    names = table(spark, sf_dir, "region").select(F.explode(F.split("r_name", " ")).alias("name")).union(table(spark, sf_dir, "nation").select("n_name"))
-    names = names.union(spark.createDataFrame([("the",), ("und",), ("la",)], "name string"))
+    names = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
     lines = search.explode_lines(docs, "text", keys=("doc_id", "lang"))
     return search.mentions(lines, names, keys=("doc_id", "lang")).groupBy("lang", "name").agg(F.sum("n").alias("n"))
 
 
-@query("""SELECT doc_id, CAST(least(30, 8 * len(regexp_extract_all(text, '\\bthe\\b'))) AS INT) AS score FROM documents WHERE regexp_matches(text, '\\bthe\\b')""")
+@query(f"""WITH {_LINES}, n AS (SELECT DISTINCT lower(unnest(string_split(name, ' '))) AS name FROM (SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT 'the und la')),
+    w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM lines)
+    SELECT doc_id, name, CAST(least(30, 8 * count(*)) AS INT) AS score FROM w JOIN n USING (name) GROUP BY ALL""")
 def mention_score(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", T.mention_count(F.col("text"), "the").alias("n")).filter("n > 0")
-    return d.select("doc_id", F.least(F.lit(30), 8 * F.col("n")).cast("int").alias("score"))
+    """Eight a mention up to 30, of the words of regions and nations, and three that occur."""
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).union(table(spark, sf_dir, "nation").select("n_name")).union(spark.createDataFrame([("the und la",)], "name string"))
+    names = names.select(F.explode(F.split(F.lower("name"), " ")).alias("name"))
+    found = search.mentions(doc_lines(spark, sf_dir), names, keys=("doc_id",)).groupBy("doc_id", "name").agg(F.sum("n").alias("n"))
+    return found.select("doc_id", "name", F.least(F.lit(30), 8 * F.col("n")).cast("int").alias("score"))
 
 
-@query("""SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60))""")
+@query("""SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def dependents_semi(spark, sf_dir):
-    """Documents that contain a test item's first 60 characters: the items, of a stated few, meet each document once."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("needle"))
-    b = b.agg(F.collect_list(F.struct("item_id", "needle")).alias("items"))
-    d = table(spark, sf_dir, "documents").join(F.broadcast(b))  # one row, the benchmark's size
-    hits = F.filter("items", lambda i: F.contains(F.col("text"), i.needle))
-    return d.select("doc_id", F.explode(hits).alias("i")).select("i.item_id", "doc_id").distinct()
+    """Documents that contain a whole test item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return search.containing(docs, items, id_col="doc_id", text_col="text", needle_id="item_id", needle_col="text")
 
 
 @query("""SELECT conv_id, CAST(floor(sum(length(text)) / 3) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id""")
@@ -240,20 +244,20 @@ def event_rollup(spark, sf_dir):
     return e.agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("""WITH d AS (SELECT lower(regexp_extract(path, '^[^/]*/([^/]*)', 1)) AS folder FROM (SELECT regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g') AS path FROM pages)),
-    r AS (SELECT * FROM (VALUES ('en', 'UI Layer'), ('de', 'Data Layer'), ('fr', 'Tests')) AS t(folder, role))
-    SELECT d.folder, coalesce(r.role, 'Other') AS role, count(*) AS n FROM d LEFT JOIN r USING (folder) GROUP BY ALL""")
+_ROLES = " ".join(f"WHEN folder IN ({', '.join(repr(n.lower()) for n in names)}) THEN '{label}'" for names, label in T.fixed.ROLE_RULES)
+
+
+@query(f"""WITH {_PATHS}, d AS (SELECT lower(unnest(string_split(path, '/'))) AS folder FROM paths UNION ALL SELECT lower(unnest(['Services', 'api', 'DAL', 'Specs', 'x'])))
+    SELECT folder, CASE {_ROLES} ELSE 'Other' END AS role, count(*) AS n FROM d GROUP BY ALL""")
 def role_of_path(spark, sf_dir):
-    d = _paths(spark, sf_dir).select(F.lower(F.regexp_extract("path", "^[^/]*/([^/]*)", 1)).alias("folder"))
-    r = spark.createDataFrame([("en", "UI Layer"), ("de", "Data Layer"), ("fr", "Tests")], "folder string, role string")
-    return d.join(r, "folder", "left").groupBy("folder", F.coalesce("role", F.lit("Other")).alias("role")).agg(F.count("*").alias("n"))
+    """The role of every segment of the pages' addresses, and of five that have one."""
+    d = _paths(spark, sf_dir).select(F.explode(F.split("path", "/")).alias("folder")).union(spark.createDataFrame([(x,) for x in ("Services", "api", "DAL", "Specs", "x")], "folder string"))
+    return d.groupBy(F.lower("folder").alias("folder")).agg(F.first(modules.role(F.col("folder"))).alias("role"), F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, turn, text, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n <= 20 OR back <= 10""")
+@query("""SELECT conv_id, turn, text, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n <= 4 OR back <= 2""")
 def session_ring(spark, sf_dir):
-    w = Window.partitionBy("conv_id")
-    c = table(spark, sf_dir, "conversations").withColumn("n", F.count("*").over(w)).withColumn("back", F.row_number().over(w.orderBy(F.col("turn").desc())))
-    return c.filter("n <= 20 or back <= 10").select("conv_id", "turn", "text", "role")
+    return sessions.session_ring(table(spark, sf_dir, "conversations"), "conv_id", "turn", over=4, keep=2).select("conv_id", "turn", "text", "role")
 
 
 @query(f"""WITH {_LINES}, b AS (SELECT doc_id, line_no, length(regexp_replace(text, '[^e]', '', 'g')) - length(regexp_replace(text, '[^a]', '', 'g')) AS net FROM lines),
@@ -261,113 +265,322 @@ def session_ring(spark, sf_dir):
     SELECT doc_id, line_no, CAST(s - least(0, min(s) OVER (PARTITION BY doc_id ORDER BY line_no)) AS BIGINT) AS depth FROM s""")
 def clamped_depth(spark, sf_dir):
     """A running balance that never falls below 0, here of two letters."""
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    net = F.length(F.regexp_replace("text", "[^e]", "")) - F.length(F.regexp_replace("text", "[^a]", ""))
-    x = doc_lines(spark, sf_dir).withColumn("s", F.sum(net).over(w))
-    return x.select("doc_id", "line_no", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).cast("long").alias("depth"))
+    return search.clamped_depth(table(spark, sf_dir, "documents"), "e", "a", content="text", keys=("doc_id",))
+
 
+def _corpus(spark, sf_dir) -> Corpus:
+    """A package for each document."""
+    return Corpus(synthetic.python_files(synthetic.ids(table(spark, sf_dir, "documents"), "doc_id")))
 
-def _values(rows: list[tuple], columns: str) -> str:
-    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
 
+def _first(spark, sf_dir) -> int:
+    return table(spark, sf_dir, "documents").agg(F.min("doc_id")).first()[0]
 
-def _mini(spark) -> Corpus:
-    return Corpus(fixtures.files(spark))
 
+#: The IDs d, their extra functions n, and the first ID m.
+_IDS = "d AS (SELECT doc_id AS d, CAST(doc_id % 3 AS INT) AS n, CAST(doc_id AS VARCHAR) AS t FROM documents), m AS (SELECT d AS m, t, n FROM d ORDER BY d LIMIT 1), x AS (SELECT d, t, n, unnest(range(1, n + 1)) AS k FROM d)"
+#: The declarations of the packages: path, name, kind, containing, start_line, end_line.
+_SYMBOLS = """sy AS (SELECT 'pkg' || t || v.p AS path, v.f || CASE WHEN v.f = 'get' THEN '' ELSE t END AS name, v.k AS kind, CASE WHEN v.f = 'get' THEN 'Store' || t ELSE '(global)' END AS containing, v.a AS start_line,
+        CASE WHEN v.f = 'parse' AND n > 0 THEN 18 ELSE v.e END AS end_line
+    FROM d, (VALUES ('/app.py', 'main', 'function', 3, 7), ('/app.py', 'load', 'function', 8, 12), ('/app.py', 'save', 'function', 13, 15), ('/app.py', 'parse', 'function', 16, 17), ('/store.py', 'Store', 'class', 1, 3), ('/store.py', 'get', 'function', 3, 3), ('/tests/test_app.py', 'test_load', 'function', 2, 3)) AS v(p, f, k, a, e)
+    UNION ALL SELECT 'pkg' || t || '/app.py', 'extra' || t || '_' || k, 'function', '(global)', 16 + 3 * k, 17 + 3 * k + CASE WHEN k < n THEN 1 ELSE 0 END FROM x)"""
+#: Their calls: path, src, seq, dst, line, dst_path, label.
+_CALLS = """ca AS (SELECT 'pkg' || t || v.p AS path, v.s || t AS src, v.q AS seq, v.c || t AS dst, v.l AS line, CASE WHEN v.o IS NOT NULL THEN 'pkg' || t || v.o END AS dst_path, CASE WHEN v.o IS NULL THEN 'unresolved' ELSE '' END AS label
+    FROM d, (VALUES ('/app.py', 'main', 1, 'Store', 4, '/store.py'), ('/app.py', 'main', 2, 'load', 5, '/app.py'), ('/app.py', 'main', 3, 'save', 6, '/app.py'), ('/app.py', 'load', 1, 'parse', 9, '/app.py'), ('/app.py', 'load', 2, 'save', 10, '/app.py'), ('/app.py', 'save', 1, 'flush', 14, NULL), ('/app.py', 'parse', 1, 'parse', 17, '/app.py'), ('/tests/test_app.py', 'test_load', 1, 'load', 3, '/app.py')) AS v(p, s, q, c, l, o)
+    UNION ALL SELECT 'pkg' || t || '/app.py', 'extra' || t || '_' || k, 1, 'save' || t, 17 + 3 * k, 'pkg' || t || '/app.py', '' FROM x)"""
 
-@query(_values([("app.py", "main", "function", "(global)", 4, 8), ("app.py", "load", "function", "(global)", 9, 12), ("app.py", "save", "function", "(global)", 13, 15), ("app.py", "parse", "function", "(global)", 16, 17), ("core/store.py", "Store", "class", "(global)", 1, 3), ("core/store.py", "get", "function", "Store", 2, 3), ("core/util.py", "VERSION", "variable", "(global)", 1, 1), ("tests/test_app.py", "test_load", "function", "(global)", 2, 3)], "path, name, kind, containing, start_line, end_line"))
+
+@query(f"WITH {_IDS}, {_SYMBOLS} SELECT path, name, kind, containing, start_line, end_line FROM sy")
 def symbols_py(spark, sf_dir):
-    return _mini(spark).symbols.select("path", "name", "kind", "containing", "start_line", "end_line")
+    return _corpus(spark, sf_dir).symbols.select("path", "name", "kind", "containing", "start_line", "end_line")
+
 
+@query(f"WITH {_IDS}, {_CALLS} SELECT path, src, seq, dst, line, dst_path, label FROM ca")
+def call_edges(spark, sf_dir):
+    """Every call of every package; print and len are the language's own."""
+    c = _corpus(spark, sf_dir)
+    return references.call_edges(c.lines, c.symbols).select("path", "src", "seq", "dst", "line", "dst_path", "label")
 
-_DOWN = [("main", "Store", 5, "", False), ("main", "load", 6, "", False), ("main", "save", 7, "", False), ("load", "parse", 10, "", False), ("load", "save", 11, "cycle", False), ("save", "flush", 14, "unresolved", False)]
 
+_DOWN = """SELECT v.s || t AS src, v.c || t AS dst, v.l AS line, v.b AS label, v.r AS is_true_cycle FROM m, (VALUES ('main', 'Store', 4, '', false), ('main', 'load', 5, '', false), ('main', 'save', 6, '', false),
+    ('load', 'parse', 9, '', false), ('load', 'save', 10, 'cycle', false), ('save', 'flush', 14, 'unresolved', false){}) AS v(s, c, l, b, r)"""
 
-@query(_values(_DOWN, "src, dst, line, label, is_true_cycle"))
+
+@query(f"WITH {_IDS} {_DOWN.format('')}")
 def call_graph_down(spark, sf_dir):
-    return call("call_graph", _mini(spark), symbol="main").select("src", "dst", "line", "label", "is_true_cycle")
+    return call("call_graph", _corpus(spark, sf_dir), symbol=f"main{_first(spark, sf_dir)}").select("src", "dst", "line", "label", "is_true_cycle")
+
+
+_DEEP = _DOWN.format(", ('parse', 'parse', 17, 'recursive', true)")
 
 
-@query(_values([*_DOWN, ("parse", "parse", 17, "recursive", True)], "src, dst, line, label, is_true_cycle"))
+@query(f"WITH {_IDS} {_DEEP}")
 def call_graph_deep(spark, sf_dir):
-    return call("call_graph", _mini(spark), symbol="main", depth=3).select("src", "dst", "line", "label", "is_true_cycle")
+    return call("call_graph", _corpus(spark, sf_dir), symbol=f"main{_first(spark, sf_dir)}", depth=3).select("src", "dst", "line", "label", "is_true_cycle")
 
 
-@query(_values([("main", "save", 7), ("load", "save", 11)], "src, dst, line"))
+@query(f"WITH {_IDS}, {_CALLS} SELECT src, dst, line FROM ca, m WHERE dst = 'save' || m.t")
 def call_graph_up(spark, sf_dir):
-    return call("call_graph", _mini(spark), symbol="save", depth=1, direction="upstream").select("src", "dst", "line")
+    return call("call_graph", _corpus(spark, sf_dir), symbol=f"save{_first(spark, sf_dir)}", depth=1, direction="upstream").select("src", "dst", "line")
 
 
-@query(_values([("app.py", 6, "call", "main", False), ("tests/test_app.py", 1, "import", "(global)", True), ("tests/test_app.py", 3, "call", "test_load", True)], "path, line_no, kind, containing, is_test"))
+@query(f"WITH {_IDS} SELECT count(*) AS edges, 1 AS unresolved, 1 AS cycle, 0 AS recursive FROM ({_DOWN.format('')})")
+def graph_summary(spark, sf_dir):
+    graph = call("call_graph", _corpus(spark, sf_dir), symbol=f"main{_first(spark, sf_dir)}")
+    return references.edge_summary(graph).select("edges", F.col("unresolved").cast("int").alias("unresolved"), F.col("cycle").cast("int").alias("cycle"), F.col("recursive").cast("int").alias("recursive"))
+
+
+_REFS = "SELECT 'pkg' || t || v.p AS path, v.l AS line_no, v.k AS kind, CASE WHEN v.c = '' THEN '(global)' ELSE v.c || t END AS containing, v.e AS is_test FROM m, (VALUES ('/app.py', 5, 'call', 'main', false), ('/tests/test_app.py', 1, 'import', '', true), ('/tests/test_app.py', 3, 'call', 'test_load', true)) AS v(p, l, k, c, e)"
+
+
+@query(f"WITH {_IDS} {_REFS}")
 def refs(spark, sf_dir):
-    return call("find_references", _mini(spark), symbol="load").drop("text")
+    return call("find_references", _corpus(spark, sf_dir), symbol=f"load{_first(spark, sf_dir)}").drop("text")
 
 
-@query(_values([("tests/test_app.py", 51, "medium", "test_load", 2, 55)], "path, score, confidence, case_name, line, case_score"))
+@query(f"WITH {_IDS}, r AS ({_REFS}) SELECT path, count(*) AS n, 0 AS more FROM r GROUP BY path")
+def refs_by_file(spark, sf_dir):
+    found = call("find_references", _corpus(spark, sf_dir), symbol=f"load{_first(spark, sf_dir)}")
+    return references.references_by_file(found).select("path", "n", F.col("more").cast("int").alias("more"))
+
+
+@query(f"""WITH {_IDS}, s AS (SELECT 'pkg' || d.t || '/tests/test_app.py' AS path, 'test_load' || d.t AS name, CASE WHEN d.d = m.m THEN 55 ELSE 20 END AS c, CASE WHEN d.d = m.m THEN 16 + 35 ELSE 20 END AS score
+        FROM d, m WHERE contains('test_load' || d.t, 'load' || m.t))
+    SELECT path, 'pytest' AS framework, score, CASE WHEN score >= 40 THEN 'medium' ELSE 'low' END AS confidence, name AS case_name, 2 AS line, c AS case_score FROM s ORDER BY score DESC, path LIMIT 20""")
 def tests_scored(spark, sf_dir):
-    t = call("find_tests", _mini(spark), symbol="load").select("path", "score", "confidence", F.explode("cases").alias("c"))
-    return t.select("path", "score", "confidence", F.col("c.name").alias("case_name"), F.col("c.line").alias("line"), F.col("c.score").cast("int").alias("case_score"))
+    t = call("find_tests", _corpus(spark, sf_dir), symbol=f"load{_first(spark, sf_dir)}").select("path", "framework", "score", "confidence", F.explode("cases").alias("c"))
+    return t.select("path", "framework", "score", "confidence", F.col("c.name").alias("case_name"), F.col("c.line").alias("line"), F.col("c.score").cast("int").alias("case_score"))
 
 
-@query(_values([("(root)", "Entry Point", 1), ("core", "Other", 2), ("tests", "Tests", 1)], "module, role, file_count"))
+@query(f"WITH {_IDS} SELECT 'pkg' || t || p AS module, r AS role, CAST(c AS BIGINT) AS file_count FROM d, (VALUES ('', 'Other', 3), ('/tests', 'Tests', 1)) AS v(p, r, c)")
 def module_map(spark, sf_dir):
-    return call("repo_map", _mini(spark))
+    return call("repo_map", _corpus(spark, sf_dir))
 
 
-@query(_values([("(root)", "core", 2), ("tests", "(root)", 1)], "src, dst, refs"))
+@query(f"WITH {_IDS} SELECT 'pkg' || t || '/tests' AS src, 'pkg' || t AS dst, CAST(1 AS BIGINT) AS refs FROM d")
 def module_dependencies(spark, sf_dir):
-    return call("module_dependencies", _mini(spark))
+    return call("module_dependencies", _corpus(spark, sf_dir))
 
 
-@query(_values([("imports", "core/store.py"), ("imports", "core/util.py")], "relation, path"))
+@query(f"""WITH {_IDS}, f AS (SELECT 'pkg' || d.t || p AS path FROM d, m, (VALUES ('/app.py'), ('/store.py')) AS v(p) WHERE contains('Store' || d.t, 'Store' || m.t) AND NOT (d.d = m.m AND p = '/store.py'))
+    SELECT 'dependent' AS relation, path FROM (SELECT path FROM f ORDER BY path LIMIT 20)""")
 def related_files(spark, sf_dir):
-    return call("get_related_files", _mini(spark), file_path="app.py").filter("relation = 'imports'")
-
+    """The store imports nothing; the files that name its class depend on it."""
+    return call("get_related_files", _corpus(spark, sf_dir), file_path=f"pkg{_first(spark, sf_dir)}/store.py")
 
-@query(_values([(".env.local", 1, 2, "API_URL", "http://b", True), (".env.production", 1, 3, "api_url", "http://c", False), (".env", 1, 4, "API_URL", "http://a", False)], "path, line_no, rank, key, value, is_effective"))
-def config_effective(spark, sf_dir):
-    x = config.config_lookup(fixtures.files(spark, fixtures.CONFIG), "API_URL")
-    return x.select("path", "line_no", (F.col("precedence") + 1).alias("rank"), "key", "value", "is_effective")
 
-
-@query(_values([("a.json", "Logging", "{...}"), ("a.json", "Logging:LogLevel", "{...}"), ("a.json", "Logging:LogLevel:Default", "Warning"), ("a.json", "Hosts", "[2 items]"), ("a.json", "N", "1"), ("a.ini", "db:host", "x ; y"), ("a.toml", "a.b.k", '"v" # c'), ("a.yaml", "a", "(section)"), ("a.yaml", "a.b", "v"), ("a.py", "X", "y"), ("a.h", "N", "3"), ("CMakeLists.txt", "A", "b")], "path, key, value"))
-def section_carry(spark, sf_dir):
-    return config.config_entries(fixtures.formats(spark)).select("path", "key", "value")
+@query(f"WITH {_IDS} SELECT 'pkg' || t || v.p AS path, 'python' AS language, 1 AS line_no, 'pkg' || t || v.i AS target FROM d, (VALUES ('/app.py', '.store'), ('/tests/test_app.py', '.app')) AS v(p, i)")
+def import_lines(spark, sf_dir):
+    return _corpus(spark, sf_dir).imports
 
 
-@query(_values([("found", "app.py", 9)], "status, path, start_line"))
+@query(f"WITH {_IDS} SELECT 'found' AS status, 'pkg' || t || '/app.py' AS path, 8 AS start_line FROM m")
 def resolve_symbol(spark, sf_dir):
-    return references.resolve(_mini(spark).symbols, "load").select("status", "path", "start_line")
+    return references.resolve(_corpus(spark, sf_dir).symbols, f"load{_first(spark, sf_dir)}").select("status", "path", "start_line")
 
 
-@query(_values([(4, 0, "def main():"), (9, 0, "def load(s):"), (13, 0, "def save(s):"), (16, 0, "def parse(s):")], "line_no, depth, signature"))
+@query(f"""WITH {_IDS} SELECT v.l AS line_no, 0 AS depth, 'def ' || v.f || t || v.a || ':' AS signature FROM m, (VALUES (3, 'main', '()'), (8, 'load', '(s)'), (13, 'save', '(s)'), (16, 'parse', '(s)')) AS v(l, f, a)
+    UNION ALL SELECT 16 + 3 * k, 0, 'def extra' || x.t || '_' || k || '():' FROM x, m WHERE x.d = m.m""")
 def file_outline(spark, sf_dir):
-    return symbols.outline(_mini(spark).symbols, "app.py")
+    return call("get_file_outline", _corpus(spark, sf_dir), file_path=f"pkg{_first(spark, sf_dir)}/app.py")
+
+
+@query(f"WITH {_IDS} SELECT 'pkg' || t || '/app.py' AS path, 8 AS line_no, 'def load' || t || '(s):' AS text FROM m")
+def definition_lines(spark, sf_dir):
+    return call("definition_search", _corpus(spark, sf_dir), symbol=f"load{_first(spark, sf_dir)}", include="*.py")
+
+
+@query(f"""WITH {_IDS}, {_CALLS} SELECT 'save' || m.t AS name, v.r AS relation, 'pkg' || m.t || '/app.py' AS path, v.l AS line FROM m, (VALUES ('definition', 13), ('callee', 14)) AS v(r, l)
+    UNION ALL SELECT dst, r, path, line FROM ca, m, (VALUES ('caller'), ('reference')) AS w(r) WHERE dst = 'save' || m.t""")
+def symbol_context(spark, sf_dir):
+    return call("expand_context", _corpus(spark, sf_dir), symbols=["nothing", f"save{_first(spark, sf_dir)}"]).drop("text")
+
+
+@query(f"""WITH {_IDS} SELECT 'pkg' || t || '/app.py' AS path, v.l AS line_no, lpad(CAST(v.l AS VARCHAR), 5, ' ') || '| ' || replace(v.x, '#', t) AS text FROM m, (VALUES (8, 'def load#(s):'), (9, '    parse#(s)'), (10, '    save#(s)'), (11, '    print(len(s))'), (12, '')) AS v(l, x)""")
+def read_symbol(spark, sf_dir):
+    return call("read_symbol", _corpus(spark, sf_dir), symbol=f"load{_first(spark, sf_dir)}")
+
+
+@query(f"WITH {_IDS}, {_SYMBOLS} SELECT path, name FROM sy WHERE kind = 'class'")
+def exported_types(spark, sf_dir):
+    return symbols.exported_types(_corpus(spark, sf_dir).symbols)
+
+
+@query(f"""WITH {_IDS} SELECT 'pkg' || t || '/app.py' AS path, l AS line_no, CASE WHEN l < 3 THEN '(global)' WHEN l < 8 THEN 'main' || t WHEN l < 13 THEN 'load' || t WHEN l < 16 THEN 'save' || t ELSE 'parse' || t END AS containing
+    FROM d, (SELECT unnest(range(1, 18)) AS l)""")
+def containing_declaration(spark, sf_dir):
+    """What holds each of the first 17 lines of the applications; a line above all declarations is global."""
+    c = _corpus(spark, sf_dir)
+    hits = c.lines.filter("path like '%/app.py' and line_no <= 17").select("path", "line_no")
+    return references.enclosing(hits, c.symbols)
+
+
+def _languages(language: str) -> None:
+    """Registers the declarations of a language's template, one file a document."""
+    name, _ = synthetic.LANGUAGES[language]
+    fill = lambda c: f"replace({c}, '{{d}}', CAST(doc_id AS VARCHAR))"
+    rows = ", ".join(f"('{n}', '{k}', '{c}', {a}, {e})" for n, k, c, a, e in synthetic.DECLARED[language])
+    path = fill(f"'{name}'")
+
+    def declared(spark, sf_dir):
+        files = synthetic.language_files(synthetic.ids(table(spark, sf_dir, "documents"), "doc_id"), language)
+        return symbols.extract_symbols(files).select("path", "name", "kind", "containing", "start_line", "end_line")
+
+    declared.__name__ = f"declared_{language}"
+    query(f"SELECT {path} AS path, {fill('v.n')} AS name, v.k AS kind, {fill('v.c')} AS containing, v.a AS start_line, v.e AS end_line FROM documents, (VALUES {rows}) AS v(n, k, c, a, e)")(declared)
+
+
+for _language in synthetic.LANGUAGES:
+    _languages(_language)
 
 
-@query(_values([(0, "read_file", '{"path":"a"}'), (2, "grep", "{}")], "call_idx, tool_name, arguments"))
+def _configs(language: str) -> None:
+    """Registers the lookup of a key in a language's configuration files, whose values are counts of documents."""
+    _, files = synthetic.CONFIGS[language]
+    value = lambda k, text: f"CAST((SELECT count(*) FROM documents) + {k} AS VARCHAR)" + (" || '.0'" if "{v}.0" in text else "")
+    rows = " UNION ALL ".join(f"SELECT '{path}' AS path, {n} AS precedence, '{key}' AS key, {value(k, text)} AS value, {line} AS line_no" for k, (path, n, text, key, line) in enumerate(files))
+
+    def effective(spark, sf_dir):
+        counted = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+        found = config.config_lookup(synthetic.config_corpus(counted, language), "KEY")
+        return found.select("path", "precedence", "key", "value", "line_no", "is_effective")
+
+    effective.__name__ = f"config_{language}"
+    query(f"WITH f AS ({rows}) SELECT path, precedence, key, value, line_no, row_number() OVER (ORDER BY precedence, path, line_no) = 1 AS is_effective FROM f")(effective)
+
+
+for _language in synthetic.CONFIGS:
+    _configs(_language)
+
+
+_FORMATS = [
+    ("json", '{"Logging":{"Level":{"Default":"W{d}"}},"Hosts":["a","b"],"N":{d},"F":1.0,"E":1e3,"Z":null}', [("Logging", "{...}"), ("Logging:Level", "{...}"), ("Logging:Level:Default", "W{d}"), ("Hosts", "[2 items]"), ("N", "{d}"), ("F", "1.0"), ("E", "1e3"), ("Z", "null")]),
+    ("ini", "[db]\nhost = x{d} ; y\n", [("db:host", "x{d} ; y")]),
+    ("toml", '[a.b]\nk = "v{d}" # c\n', [("a.b.k", '"v{d}" # c')]),
+    ("yaml", 'a:\n  b: "v{d}" # c\n', [("a", "(section)"), ("a.b", "v{d}")]),
+    ("python", "  X = 'y{d}'\n", [("X", "y{d}")]),
+    ("env", "# no\nA_{d}='b=c'\n", [("A_{d}", "b=c")]),
+    ("properties", "! no\nk{d}: v\n", [("k{d}", "v")]),
+    ("c-define", "#define N {d} // c\nset(A b{d})\n", [("N", "{d}"), ("A", "b{d}")]),
+    ("xml", "<a>{d}</a>", []),
+]
+_quoted = lambda t: t.replace("'", "''")
+
+
+@query("SELECT 'f' || doc_id || '.' || v.f AS path, replace(v.k, '{d}', CAST(doc_id AS VARCHAR)) AS key, replace(v.v, '{d}', CAST(doc_id AS VARCHAR)) AS value FROM documents, (VALUES " + ", ".join(f"('{f}', '{_quoted(k)}', '{_quoted(v)}')" for f, _, rows in _FORMATS for k, v in rows) + ") AS v(f, k, v)")
+def section_carry(spark, sf_dir):
+    """What the readers make of a file of every format for each document."""
+    d = synthetic.ids(table(spark, sf_dir, "documents"), "doc_id")
+    row = F.array(*[F.struct(F.concat(F.lit("f"), F.col("d").cast("string"), F.lit(f".{f}")).alias("path"), F.lit(f).alias("format"), F.lit(1).alias("precedence"), synthetic.filled(text).alias("content")) for f, text, _ in _FORMATS])
+    return config.config_entries(d.select(F.explode(row).alias("f")).select("f.*")).select("path", "key", "value")
+
+
+_CALL_TEXT = ('x <tool_call>{"name": "read_file", "arguments": {"path": "p{t}"}}</tool_call> <tool_call>{bad</tool_call> <tool_call>{"name":"grep"}</tool_call>', 'y <|channel|>commentary to=repo.search code<|message|>{"query":"p{t}","max_results":3}<|call|>')
+
+
+@query("""SELECT conv_id, turn, v.i AS call_idx, v.n AS tool_name, replace(v.a, '{t}', CAST(turn AS VARCHAR)) AS arguments FROM conversations, (VALUES (0, 0, 'read_file', '{"path":"p{t}"}'), (0, 2, 'grep', '{}'), (1, 0, 'grep_search', '{"pattern":"p{t}"}')) AS v(p, i, n, a) WHERE turn % 2 = v.p""")
 def parse_tool_calls(spark, sf_dir):
-    text = 'x <tool_call>{"name": "read_file", "arguments": {"path": "a"}}</tool_call> <tool_call>{bad</tool_call> <tool_call>{"name":"grep"}</tool_call>'
-    turns = spark.createDataFrame([("s", 1, text)], "session_id string, seq int, content string")
-    return sessions.tool_calls(turns).select("call_idx", "tool_name", "arguments")
+    """Calls written in either form, one text a turn."""
+    text = F.when(F.col("turn") % 2 == 0, F.lit(_CALL_TEXT[0])).otherwise(F.lit(_CALL_TEXT[1]))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.replace(text, F.lit("{t}"), F.col("turn").cast("string")).alias("content"))
+    return sessions.tool_calls(turns, keys=("conv_id", "turn"))
 
 
-@query(_values([("app.py", 1, 0), ("tests/test_app.py", 2, 0)], "path, n, more"))
-def refs_by_file(spark, sf_dir):
-    return references.references_by_file(call("find_references", _mini(spark), symbol="load")).select("path", "n", F.col("more").cast("int").alias("more"))
+@query("""WITH s AS (SELECT conv_id, turn, '<think>a ' || turn || '</think> b <reasoning>c</reasoning>' || text AS x FROM conversations) SELECT conv_id, turn, 'a ' || turn AS thought, trim('b ' || text, chr(32)) AS said FROM s JOIN conversations USING (conv_id, turn)""")
+def thinking_tags(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    x = F.concat(F.lit("<think>a "), F.col("turn").cast("string"), F.lit("</think> b <reasoning>c</reasoning>"), F.col("text"))
+    return t.select("conv_id", "turn", sessions.thinking(x).alias("thought"), sessions.without_thinking(x).alias("said"))
 
 
-@query(_values([(6, 1, 0, 0, 1)], "edges, unresolved, ambiguous, recursive, cycle"))
-def graph_summary(spark, sf_dir):
-    return references.edge_summary(call("call_graph", _mini(spark), symbol="main"))
+@query("""SELECT user_id AS run_id, count(*) AS tool_calls, count(DISTINCT event_type) AS iterations, CAST(sum(event_id) AS BIGINT) AS duration_ms, list_sort(list(DISTINCT event_type)) AS tools, CAST(sum(CASE WHEN event_type = 'view' THEN event_id ELSE 0 END) AS BIGINT) AS main_input_tokens,
+    CAST(sum(CASE WHEN event_type <> 'view' THEN event_id ELSE 0 END) AS BIGINT) AS sub_input_tokens FROM events GROUP BY user_id""")
+def run_totals(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id").cast("long")
+    calls = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("iteration"), F.col("event_type").alias("tool_name"), n.alias("duration_ms"), n.alias("input_tokens"), F.when(F.col("event_type") == "view", "main").otherwise("sub").alias("agent"))
+    return sessions.run_totals(calls).drop("input_tokens")
 
 
-@query(_values([("app.py", 9, "def load(s):")], "path, line_no, text"))
-def definition_lines(spark, sf_dir):
-    return call("definition_search", _mini(spark), symbol="load", include="*.py")
+@query("""SELECT user_id AS run_id, list_sort(list(DISTINCT event_type || '.py')) AS files FROM events GROUP BY user_id""")
+def files_touched(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    args = F.to_json(F.struct(F.concat("event_type", F.lit(".py")).alias("file_path")))
+    return sessions.files_touched(e.select(F.col("user_id").alias("run_id"), args.alias("arguments")))
 
 
-@query(_values([("save", "definition", "app.py", 13), ("save", "callee", "app.py", 14), ("save", "caller", "app.py", 7), ("save", "caller", "app.py", 11), ("save", "reference", "app.py", 7), ("save", "reference", "app.py", 11)], "name, relation, path, line"))
-def symbol_context(spark, sf_dir):
-    return call("expand_context", _mini(spark), symbols=["nothing", "save"]).drop("text")
+@query("""WITH p AS (SELECT source AS folder_id, min(doc_id) AS n FROM documents GROUP BY source) SELECT folder_id, CASE WHEN n % 2 = 0 THEN 'Name ' || n ELSE folder_id END AS display_name, CASE WHEN n % 2 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' END AS created_at FROM p""")
+def project_meta(spark, sf_dir):
+    """Names and times from metadata; what does not parse leaves the folder's own name."""
+    p = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("folder_id")).agg(F.min("doc_id").alias("n"))
+    at = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    meta = source.project_meta_json(p.select("folder_id", F.concat(F.lit("Name "), F.col("n").cast("string")).alias("display_name"), at.alias("created_at")))
+    x = p.join(meta, "folder_id").select("folder_id", F.when(F.col("n") % 2 == 0, F.col("content")).otherwise("{broken").alias("content"))
+    return source.project_meta(x).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {_LINES}, h AS (SELECT doc_id, line_no, CASE WHEN contains(lower(text), 'heit') THEN 1 ELSE 2 END AS w FROM lines WHERE contains(lower(text), 'heit') OR contains(lower(text), 'tion')),
+    f AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word FROM lines, (VALUES ('heit'), ('tion')) AS v(word) WHERE contains(lower(text), word)) QUALIFY row_number() OVER (PARTITION BY word ORDER BY lower('d' || doc_id), 'd' || doc_id) <= 30)
+    SELECT DISTINCT 'd' || doc_id AS path, line_no FROM lines JOIN f USING (doc_id) WHERE contains(lower(text), word) ORDER BY lower('d' || doc_id), 'd' || doc_id, line_no LIMIT 50""")
+def explore_words(spark, sf_dir):
+    """Hits of two words, thirty files each, merged, a line once."""
+    lines = doc_lines(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), "line_no", "text")
+    return search.explore(lines, ["heit", "tion"]).select("path", "line_no")
+
+
+@query("""WITH t AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, last + 1, 'user', 'more' FROM t""")
+def session_append(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    new = turns.select("conv_id").distinct().select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("more").alias("text"))
+    return sessions.appended(turns, new, "conv_id", "turn")
+
+
+_EXTENSIONS = [".py", ".exe", ".cs", ".md", ".TOML"]
+
+
+@query("""WITH f AS (SELECT doc_id, ['.py', '.exe', '.cs', '.md', '.TOML'][1 + doc_id % 5] AS e, CASE WHEN doc_id % 7 = 0 THEN 'bin/' WHEN doc_id % 11 = 0 THEN '../' ELSE 'a/' END AS dir, strlen(coalesce(text, '')) AS size FROM documents)
+    SELECT doc_id, CASE WHEN dir = '../' THEN 'path' WHEN e = '.exe' OR dir = 'bin/' THEN 'type' WHEN size > 1048.576 THEN 'size' END AS reason FROM f""")
+def upload_gate(spark, sf_dir):
+    """Paths, types and sizes that an upload refuses."""
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    folder = F.when(F.col("doc_id") % 7 == 0, "bin/").when(F.col("doc_id") % 11 == 0, "../").otherwise("a/")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(folder, F.lit("f"), ext).alias("path"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
+    return source.uploads(d, max_mb=0.001).select("doc_id", "reason")
+
+
+@query("""WITH f AS (SELECT doc_id, ['.py', '.exe', '.cs', '.md', '.TOML'][1 + doc_id % 5] AS e FROM documents)
+    SELECT doc_id, CASE e WHEN '.py' THEN 'python' WHEN '.cs' THEN 'csharp' END AS language, e = '.exe' AS is_binary, e IN ('.py', '.cs', '.TOML') AS is_code, e IN ('.py', '.cs', '.exe', '.TOML') AS is_searched, e IN ('.py', '.cs') AS is_plain FROM f""")
+def file_kinds(spark, sf_dir):
+    """The language of a path, and which scans take it."""
+    ext = F.element_at(F.array(*map(F.lit, _EXTENSIONS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a/f"), F.col("doc_id").cast("string"), ext).alias("path"))
+    out = d.select("doc_id", T.language(F.col("path")).alias("language"), T.binary_path(F.col("path")).alias("is_binary"))
+    for name, scan in (("is_code", source.code_files), ("is_searched", source.search_files), ("is_plain", source.plain_search_files)):
+        out = out.join(scan(d).select("doc_id", F.lit(True).alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out
+
+
+@query("""WITH h AS (SELECT source AS path, doc_id % 9 AS line_no, doc_id FROM documents) SELECT path, CAST(line_no AS BIGINT) AS line_no, min(doc_id) AS doc_id FROM h GROUP BY ALL""")
+def first_hits(spark, sf_dir):
+    """One hit a place, the first."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), (F.col("doc_id") % 9).cast("long").alias("line_no"), "doc_id")
+    return accounting.dedupe_hits(d, [F.col("doc_id")])
+
+
+@query(f"""WITH {_IDS} SELECT count(*) * 3 AS matches, count(*) * 3 AS files, max(length('pkg' || t || '/tests/test_app.py')) AS path_width FROM d""")
+def search_summary(spark, sf_dir):
+    """Matches, files and the widest path of a search for the lines that define what has the ID in its name first."""
+    c = _corpus(spark, sf_dir)
+    hits = c.symbols.filter("(path like '%/app.py' and name like 'main%') or kind = 'class' or name like 'test_load%'")
+    return search.result_summary(hits.select("path")).select("matches", "files", F.col("path_width").cast("long").alias("path_width"))
+
+
+@query(f"""WITH {_IDS} SELECT 'pkg' || t || '/tests/test_app.py' AS path FROM d""")
+def candidate_tests(spark, sf_dir):
+    c = _corpus(spark, sf_dir)
+    return references.candidate_test_files(c.files, c.cases)
+
+
+@query(f"""WITH {_IDS} SELECT path, CASE regexp_extract(path, '([^/]*)$', 1) WHEN 'app.py' THEN 'Python application entry' END AS description FROM (SELECT 'pkg' || t || '/app.py' AS path FROM d)""")
+def entry_points(spark, sf_dir):
+    return modules.entry_points(_corpus(spark, sf_dir).files)
