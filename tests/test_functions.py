@@ -24,14 +24,14 @@ def test_globs(spark, path, pattern, want):
     assert one(spark, T.glob_matches(F.col("p"), pattern), p=path) is want
 
 
-@pytest.mark.parametrize("q, want", [("Where is AgentService defined?", "Simple"), ("How does login work end-to-end?", "Complex"), ("List users", "Standard"), ("", "Standard"), (None, "Standard")])
+@pytest.mark.parametrize("q, want", [("Where is OrderService defined?", "Simple"), ("How does login work end-to-end?", "Complex"), ("List users", "Standard"), ("", "Standard"), (None, "Standard")])
 def test_complexity(spark, q, want):
     assert one(spark, T.complexity(F.col("q")), q=q) == want
 
 
 def test_keywords_and_candidates(spark):
     assert one(spark, T.keywords(F.col("q")), q="Please show the token parser and the Token cache") == ["token", "parser", "cache"]
-    assert one(spark, T.symbol_candidates(F.col("q")), q="Does `run` call AgentService or fooBar via HTTP?") == ["run", "AgentService", "fooBar"]
+    assert one(spark, T.symbol_candidates(F.col("q")), q="Does `run` call OrderService or fooBar via HTTP?") == ["run", "OrderService", "fooBar"]
 
 
 def test_paths(spark):
