@@ -144,8 +144,8 @@ def _json(files: DataFrame) -> DataFrame:
     return files.select("path", "format", "precedence", "content").mapInArrow(run, "path string, format string, precedence int, line_no int, key string, value string")
 
 
-def config_entries(files: DataFrame) -> DataFrame:
-    """(path, format, precedence, line_no, key, value) of files (path, format, precedence, content)."""
+def config_entries(files: DataFrame, formats: tuple[str, ...] = ("json", "env", "properties", "yaml", "toml", "ini", "python", "c-define")) -> DataFrame:
+    """(path, format, precedence, line_no, key, value) of files (path, format, precedence, content); formats: those to read, a scan each."""
     lines = explode_lines(files, keys=("path", "format", "precedence"))
     of = lambda f: lines.filter(F.col("format") == f)
     keep = ["path", "format", "precedence", "line_no"]
@@ -158,8 +158,10 @@ def config_entries(files: DataFrame) -> DataFrame:
     py = _pairs(of("python"), r"^\s*([A-Za-z_]\w*)\s*=(?!=)(.*)$").select(*keep, F.col("k").alias("key"), _unquoted(F.col("v")).alias("value"))
     define = _pairs(of("c-define"), r"^\s*#\s*define\s+(\w+)\s+(.*)$").select(*keep, F.col("k").alias("key"), F.trim(F.regexp_replace(F.regexp_replace("v", r"//.*$", ""), r"/\*.*$", "")).alias("value"))
     cmake = _pairs(of("c-define"), r"(?i)^\s*(?:set|option)\s*\(\s*(\w+)\s+(?:\"[^\"]*\"\s+)?([^)]*)\)").select(*keep, F.col("k").alias("key"), F.trim("v").alias("value"))
-    out = _json(files.filter("format = 'json'")).select(*keep, "key", "value")
-    for part in (env, props, _yaml(of("yaml")).select(*keep, "key", "value"), toml, ini, py, define, cmake):
+    readers = {"json": [_json(files.filter("format = 'json'"))], "env": [env], "properties": [props], "yaml": [_yaml(of("yaml"))], "toml": [toml], "ini": [ini], "python": [py], "c-define": [define, cmake]}
+    parts = [part.select(*keep, "key", "value") for f in formats for part in readers[f]]
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 

@@ -158,7 +158,7 @@ def site_edges(spark, sf_dir):
 def config_props(spark, sf_dir):
     p = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "view", 3).otherwise(4)
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "props", p.alias("precedence"))
-    found = config.config_entries(e.select(F.col("event_id").cast("string").alias("path"), F.lit("json").alias("format"), "precedence", F.col("props").alias("content")))
+    found = config.config_entries(e.select(F.col("event_id").cast("string").alias("path"), F.lit("json").alias("format"), "precedence", F.col("props").alias("content")), formats=("json",))
     found = found.filter("key = 'k'").join(e.select(F.col("event_id").cast("string").alias("path"), "user_id", "event_id"), "path")
     return found.groupBy("user_id").agg(F.min_by(F.col("value").cast("bigint"), F.struct("precedence", "event_id")).alias("value"), F.min("precedence").alias("precedence"))
 
