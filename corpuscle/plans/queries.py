@@ -493,20 +493,20 @@ def thinking_tags(spark, sf_dir):
     return t.select("conv_id", "turn", sessions.thinking(x).alias("thought"), sessions.without_thinking(x).alias("said"))
 
 
-@query("""SELECT user_id AS run_id, count(*) AS tool_calls, count(DISTINCT event_type) AS iterations, CAST(sum(event_id) AS BIGINT) AS duration_ms, list_sort(list(DISTINCT event_type)) AS tools, CAST(sum(CASE WHEN event_type = 'view' THEN event_id ELSE 0 END) AS BIGINT) AS main_input_tokens,
+@query("""SELECT user_id AS run_id, count(*) AS tool_calls, count(DISTINCT event_type) AS iterations, CAST(sum(event_id) AS BIGINT) AS duration_ms, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS tools, CAST(sum(CASE WHEN event_type = 'view' THEN event_id ELSE 0 END) AS BIGINT) AS main_input_tokens,
     CAST(sum(CASE WHEN event_type <> 'view' THEN event_id ELSE 0 END) AS BIGINT) AS sub_input_tokens FROM events GROUP BY user_id""")
 def run_totals(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     n = F.col("event_id").cast("long")
     calls = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("iteration"), F.col("event_type").alias("tool_name"), n.alias("duration_ms"), n.alias("input_tokens"), F.when(F.col("event_type") == "view", "main").otherwise("sub").alias("agent"))
-    return sessions.run_totals(calls).drop("input_tokens")
+    return sessions.run_totals(calls).drop("input_tokens").withColumn("tools", F.array_join("tools", ","))
 
 
-@query("""SELECT user_id AS run_id, list_sort(list(DISTINCT event_type || '.py')) AS files FROM events GROUP BY user_id""")
+@query("""SELECT user_id AS run_id, array_to_string(list_sort(list(DISTINCT event_type || '.py')), ',') AS files FROM events GROUP BY user_id""")
 def files_touched(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     args = F.to_json(F.struct(F.concat("event_type", F.lit(".py")).alias("file_path")))
-    return sessions.files_touched(e.select(F.col("user_id").alias("run_id"), args.alias("arguments")))
+    return sessions.files_touched(e.select(F.col("user_id").alias("run_id"), args.alias("arguments"))).withColumn("files", F.array_join("files", ","))
 
 
 @query("""WITH p AS (SELECT source AS folder_id, min(doc_id) AS n FROM documents GROUP BY source) SELECT folder_id, CASE WHEN n % 2 = 0 THEN 'Name ' || n ELSE folder_id END AS display_name, CASE WHEN n % 2 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' END AS created_at FROM p""")
