@@ -16,7 +16,7 @@ def settled(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         place = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place and not sc.master.startswith("local"):
+        if not place and not (sc.master == "local" or sc.master.startswith("local[")):  # "local-cluster[" has executors of its own
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="corpuscle-"))
     return df.checkpoint()
