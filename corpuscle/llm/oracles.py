@@ -14,7 +14,53 @@ def _shingle_sets(table: str, key: str) -> str:
               FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"""
 
 
+def _trie_sql() -> str:
+    """The trie from whole prefixes, compared as lists of turns."""
+    crc = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(CAST(conv_id AS VARCHAR), '.'),
+        lambda c: list_prepend(CAST(ascii(c) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"""
+    return f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+             c AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS own FROM t GROUP BY conv_id),
+             h AS (SELECT conv_id, own, xor({crc}, 4294967295) % 6 AS h FROM c),
+             r AS (SELECT h.conv_id, coalesce(b.own, [])[:h.h] || h.own[h.h + 1:] AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+             p AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+             m AS (SELECT depth, turns[:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+                          string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth) AS ends FROM p GROUP BY ALL),
+             k AS (SELECT prefix[:depth - 1] AS prefix, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY ALL),
+             n AS (SELECT m.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(m.prefix[depth].t) ELSE 0 END AS saved FROM m LEFT JOIN k USING (prefix)),
+             u AS (SELECT prefix[:up] AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+                   FROM (SELECT *, unnest(range(depth + 1)) AS up FROM n) GROUP BY ALL)
+        SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+        FROM n JOIN u USING (prefix) LEFT JOIN m a ON n.depth > 0 AND a.prefix = n.prefix[:n.depth - 1]"""
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3, width: int = 64) -> str:
+    """The rounds one after the other, every vector against every centroid."""
+    nearest = lambda c: f"""SELECT i, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+            SELECT i, cluster, CAST(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM e CROSS JOIN {c}) GROUP BY i"""
+    parts = [
+        f"""e AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})""",
+        f"""c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY s NULLS LAST, v) - 1 AS INTEGER) AS cluster, v AS w
+            FROM (SELECT v, sha256('1:' || CAST(vec_id AS VARCHAR)) AS s FROM e ORDER BY s NULLS LAST, v LIMIT {k}))""",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"a{r} AS MATERIALIZED ({nearest(f'c{r}')})",
+            f"""s{r} AS (SELECT cluster, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT cluster, unnest(v) AS x, unnest(range({width})) AS p FROM a{r} JOIN e USING (i)) GROUP BY ALL)""",
+            f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m.w, c{r}.w) AS w FROM c{r} LEFT JOIN (SELECT cluster, list(x ORDER BY p) AS w FROM s{r} GROUP BY cluster) m USING (cluster))""",
+        ]
+    return f"""
+        WITH {", ".join(parts)}, f AS ({nearest(f"c{rounds}")})
+        SELECT vec_id, f.cluster, f.distance, CAST(sum(f.distance) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(f.distance) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(w, ',')) AS centroid_sha256
+        FROM f JOIN e USING (i) JOIN c{rounds} c ON c.cluster = f.cluster"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_prefix_trie": _trie_sql(),
+    "op13_kd_clusters": _clusters_sql(),
     "op10_contained_items": f"""
         WITH d AS ({_shingle_sets("documents", "doc_id")}),
              b AS ({_shingle_sets("benchmark", "item_id")}),

@@ -93,3 +93,26 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
     return find_pii(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import shared_start_trie
+
+    return shared_start_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_clusters import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, width=64)
