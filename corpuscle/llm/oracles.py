@@ -37,7 +37,7 @@ def _trie_sql() -> str:
 
 def _clusters_sql(k: int = 16, rounds: int = 3, width: int = 64) -> str:
     """The rounds one after the other, every vector against every centroid."""
-    nearest = lambda c: f"""SELECT i, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    nearest = lambda c: f"""SELECT i, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
             SELECT i, cluster, CAST(list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM e CROSS JOIN {c}) GROUP BY i"""
     parts = [
         f"""e AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
