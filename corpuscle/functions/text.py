@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from xml.parsers import expat
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -207,11 +209,33 @@ def line_array(content: Column) -> Column:
 
 
 def xml_attributes(content: Column, element: str, attribute: str) -> Column:
-    """The attribute of every element of the local name, whatever the prefixes; empty where the XML does not parse."""
-    safe = F.regexp_replace(F.regexp_replace(content, r"^\uFEFF", ""), r"(?s)<!DOCTYPE.*?>", "")
-    # xpath() raises on malformed XML, so only what looks whole reaches it
-    whole = safe.rlike(r"(?s)^\s*(?:<\?xml.*?\?>)?\s*(?:<!--.*?-->\s*)*<([\w:.-]+)[\s/>].*(?:</\1\s*>|/>)\s*$") & (F.regexp_count(safe, F.lit("<[^!?/]")) == F.regexp_count(safe, F.lit("</|/>")))
-    return F.when(whole, F.xpath(F.when(whole, safe).otherwise("<x/>"), F.lit(f"//*[local-name()='{element}']/@{attribute}"))).otherwise(F.array().cast("array<string>"))
+    """The attribute of every element of the local name, in order, whatever the prefixes; empty where the XML does not parse.
+
+    xpath() and from_xml() fail a job or skip text on some malformed input, so a
+    parser of the Python library decides. Null for null.
+    """
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _attributes(t, element, attribute))
+
+    return found(content)
+
+
+def _attributes(text: str, element: str, attribute: str) -> list[str]:
+    out: list[str] = []
+
+    def start(name: str, attrs: dict[str, str]) -> None:
+        if name.rpartition(":")[2] == element and attribute in attrs:
+            out.append(attrs[attribute])
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler = start
+    try:
+        parser.Parse(text.removeprefix("\ufeff"), True)
+    except (expat.ExpatError, ValueError):
+        return []
+    return out
 
 
 def new_id() -> Column:
