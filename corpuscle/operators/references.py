@@ -103,19 +103,42 @@ def find_references(lines: DataFrame, symbols: DataFrame, name: str, *, scope: s
     return hits.select("path", "line_no", T.truncate_single_line(F.col("text")).alias("text"), "kind", "containing", "is_test").orderBy(F.lower("path"), "path", "line_no").limit(limit)
 
 
-_QUALIFIED = r"(?:([A-Za-z_$][\w$]*)(?:\?\.|\.|::|->))?([A-Za-z_$][\w$]*)\s*(?:<[\w\s,.]*>)?\("
+# A call by language: what it is called on, if anything, then its name, type arguments and the bracket.
+_NAME = r"([A-Za-z_]\w*)"
+CALLS = {
+    "python": rf"(?:{_NAME}\s*\.\s*)?{_NAME}\s*\(",
+    "javascript": r"(?:([A-Za-z_$][\w$]*)\s*(?:\?\.|!?\.)\s*)?#?([A-Za-z_$][\w$]*)\s*(?:<[\w\s,.$|&\[\]]*(?:<[\w\s,.$|&\[\]]*>[\w\s,.$|&\[\]]*)*>)?\s*(?:\?\.)?\(",
+    "java": rf"(?:{_NAME}\s*(?:\.|::)\s*(?:<[\w\s,.?]*>\s*)?)?{_NAME}\s*(?:<[\w\s,.?\[\]]*(?:<[\w\s,.?\[\]]*>[\w\s,.?\[\]]*)*>)?\s*\(",
+    "csharp": rf"(?:{_NAME}\s*(?:\?\.|!?\.|::|->)\s*)?@?{_NAME}\s*(?:<[\w\s,.?\[\]]*(?:<[\w\s,.?\[\]]*>[\w\s,.?\[\]]*)*>)?\s*\(",
+    "go": rf"(?:{_NAME}\s*\.\s*)?{_NAME}(?:\[[\w\s,.*]*\])?\(",
+    "rust": rf"(?:{_NAME}\s*(?:::|\.)\s*)?{_NAME}\s*(?:::\s*<[^()]*?>)?\s*\(",
+    "cpp": rf"(?:{_NAME}\s*(?:::|\.|->)\s*)?{_NAME}\s*(?:<[\w\s,:*&]*(?:<[\w\s,:*&]*>[\w\s,:*&]*)*>)?\s*\(",
+}
+CALLS["typescript"], CALLS["c"] = CALLS["javascript"], CALLS["cpp"]
+
+
+def _calls(text: Column, language: Column) -> Column:
+    """(q, d) of each call in a line, by the form of its language; lines of other files have none."""
+    found = None
+    for form in dict.fromkeys(CALLS.values()):
+        test = language.isin([k for k, v in CALLS.items() if v == form])
+        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(form), F.lit(1)).alias("q"), F.regexp_extract_all(text, F.lit(form), F.lit(2)).alias("d"))
+        found = F.when(test, pairs) if found is None else found.when(test, pairs)
+    return found
 
 
 def call_sites(lines: DataFrame, symbols: DataFrame, callees: int = fixed.CALLEES_PER_SYMBOL) -> DataFrame:
     """(path, src, src_line, seq, dst, qualifier, line): names called within each declaration, at their first line.
 
-    Declaration lines, comments and quoted lines hold no calls; words of the
-    languages themselves are none, nor what is called on a built-in module or
-    object of the file's language. Of each declaration the first `callees` names count.
+    lines are best mask_lines(), in which strings and comments are blank; of others,
+    comment lines and quoted ones hold no calls. Declaration lines hold none either;
+    words of the languages themselves are none, nor what is called on a built-in
+    module or object of the file's language. Of each declaration the first
+    `callees` names count.
     """
     own = symbols.select("path", F.col("start_line").alias("line_no")).distinct()
     code = lines.filter(~F.col("text").rlike(r"^\s*(//|#|/\*|\*|[\"'`])") & F.contains(F.col("text"), F.lit("("))).join(own, ["path", "line_no"], "left_anti")
-    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(_QUALIFIED), F.lit(1)).alias("q"), F.regexp_extract_all("text", F.lit(_QUALIFIED), F.lit(2)).alias("d"))
+    found = _calls(F.col("text"), T.language(F.col("path")))
     skip = F.try_element_at(F.create_map(*[x for k, v in fixed.SKIP_CALLS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))]), T.language(F.col("path")))
     code = code.select("path", "line_no", skip.alias("skip"), F.posexplode(found).alias("pos", "c")).filter(~F.lower("c.d").isin(fixed.GLOBAL_SKIP_CALLS))
     code = code.filter(~F.coalesce(F.array_contains("skip", F.col("c.d")) | F.array_contains("skip", F.col("c.q")), F.lit(False)))
@@ -127,25 +150,34 @@ def call_sites(lines: DataFrame, symbols: DataFrame, callees: int = fixed.CALLEE
     return out.filter(F.col("seq") <= callees)
 
 
+def _best(d: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """One row for each of keys: `name` holds the number of declarations, the best one, and the best of each spelling."""
+    by = d.groupBy(*keys, "d_name").agg(F.count("*").alias("n"), F.min(F.struct(F.lower("dst_path").alias("o"), "dst_line", "dst_path", "dispatch")).alias("b"))
+    return by.groupBy(*keys).agg(F.struct(F.sum("n").alias("n"), F.min("b").alias("any"), F.collect_list(F.struct("d_name", "b")).alias("spelt")).alias(name))
+
+
 def call_edges(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """call_sites with the best declaration of each name: the same file, then the same language, then path and line.
 
-    label: unresolved (external for a C# member of a type the corpus lacks),
-    ambiguous, interface dispatch for members of an interface and abstract ones,
-    virtual dispatch for virtual and overriding ones, or empty.
+    In each of these the name as it is written goes first. Declarations are ranked
+    before they meet calls, to one row a name and file, a name and language, and a
+    name, so a common name makes no pairs. label: unresolved (external for a C#
+    member of a type the corpus lacks), ambiguous, interface dispatch for members of
+    an interface and abstract ones, virtual dispatch for virtual and overriding
+    ones, or empty.
     """
-    sites = call_sites(lines, symbols).withColumn("language", T.language(F.col("path")))
+    sites = call_sites(lines, symbols).withColumns({"language": T.language(F.col("path")), "_n": F.lower("dst")})
     holders = symbols.filter("kind = 'interface'").select(F.col("path").alias("_hp"), F.col("name").alias("_hn")).distinct()
     d = symbols.join(holders, (F.col("path") == F.col("_hp")) & (F.col("containing") == F.col("_hn")), "left")
     kind = F.when((F.col("kind").isin("interface", "abstract")) | F.col("_hn").isNotNull() | F.col("signature").rlike(r"\babstract\b"), "interface dispatch").when(F.col("signature").rlike(r"\b(?:virtual|override)\b"), "virtual dispatch").otherwise("")
-    d = d.select(F.lower("name").alias("_n"), F.col("name").alias("d_name"), F.col("path").alias("dst_path"), F.col("start_line").alias("dst_line"), F.col("language").alias("d_lang"), kind.alias("_dispatch"))
-    x = sites.join(d, F.lower("dst") == F.col("_n"), "left")
-    w = Window.partitionBy("path", "src", "src_line", "dst")
-    order = [(F.col("dst_path") == F.col("path")).desc(), (F.col("d_lang") == F.col("language")).desc(), (F.col("d_name") == F.col("dst")).desc(), F.lower("dst_path"), F.col("dst_line")]
-    x = x.withColumn("n", F.count("dst_path").over(w)).withColumn("k", F.row_number().over(w.orderBy(*order))).filter("k = 1")
+    d = d.select(F.lower("name").alias("_n"), F.col("name").alias("d_name"), F.col("path").alias("dst_path"), F.col("start_line").alias("dst_line"), "language", kind.alias("dispatch"))
+    x = sites.join(_best(d.withColumn("path", F.col("dst_path")), ["_n", "path"], "here"), ["_n", "path"], "left")
+    x = x.join(_best(d, ["_n", "language"], "near"), ["_n", "language"], "left").join(_best(d, ["_n"], "all"), "_n", "left")
+    pick = lambda s: F.coalesce(F.get(F.filter(F.col(f"{s}.spelt"), lambda v: v.d_name == F.col("dst")), 0)["b"], F.col(f"{s}.any"))
+    x = x.withColumn("b", F.coalesce(pick("here"), pick("near"), pick("all")))
     missing = F.when((F.col("language") == "csharp") & F.col("qualifier").rlike("^[A-Z]"), "external").otherwise("unresolved")
-    label = F.when(F.col("dst_path").isNull(), missing).when(F.col("_dispatch") != "", F.col("_dispatch")).when(F.col("n") > 1, "ambiguous").otherwise("")
-    return x.select("path", "src", "src_line", "seq", "dst", "line", "dst_path", "dst_line", label.alias("label"))
+    label = F.when(F.col("b").isNull(), missing).when(F.col("b.dispatch") != "", F.col("b.dispatch")).when(F.col("all.n") > 1, "ambiguous").otherwise("")
+    return x.select("path", "src", "src_line", "seq", "dst", "line", F.col("b.dst_path").alias("dst_path"), F.col("b.dst_line").alias("dst_line"), label.alias("label"))
 
 
 def call_graph(lines: DataFrame, symbols: DataFrame, name: str, *, depth: int = 2, direction: str = "downstream", limit: int = 200, file: str | None = None, edges: DataFrame | None = None) -> DataFrame:

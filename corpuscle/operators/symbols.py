@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import fixed, lexer
 from ..functions import text as T
 
 GLOBAL = "(global)"
@@ -31,7 +31,8 @@ DECLARATIONS: dict[str, list[tuple[str, str, int]]] = {
         ("type", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(class|interface|type|enum)\s+([A-Za-z_$][\w$]*)", 2),
         ("function", r"^\s*(?:export\s+)?(?:async\s+)?(?:default\s+)?function\s+([A-Za-z_$][\w$]*)\s*\(", 1),
         ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)", 1),
-        ("method", r"^\s*(?:(?:public|private|protected|static|async|abstract|readonly|get|set|override)\s+)*(?:#)?([A-Za-z_$][\w$]*)\s*\(", 1),
+        # a member: modifiers, an accessor or a generator's star, a plain or private name, type parameters, parameters
+        ("method", r"^\s*(?:(?:declare|override|abstract|accessor|protected|private|public|readonly|static|async|get|set)\s+)*\*?\s*#?([A-Za-z_$][\w$]*)\??\s*(?:<[^(]*>)?\s*\(", 1),
     ],
     "java": [
         ("type", rf"^\s*{_MODS}(class|interface|enum|record|@interface)\s+([A-Za-z_]\w*)", 2),
@@ -46,23 +47,46 @@ DECLARATIONS: dict[str, list[tuple[str, str, int]]] = {
         ("field", rf"^\s*{_MODS}{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:=[^=>]|;)", 1),
     ],
     "go": [
-        ("function", r"^\s*func\s+(?:\([^)]*\)\s+)?([A-Za-z_]\w*)\s*\(", 1),
+        ("function", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*(?:\[[^()]*\])?\s*\(", 1),
         ("type", r"^\s*type\s+([A-Za-z_]\w*)\b", 1),
         ("variable", r"^\s*(?:var|const)\s+([A-Za-z_]\w*)\b", 1),
     ],
     "rust": [
-        ("type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(struct|enum|trait|type|mod|const|static)\s+([A-Za-z_]\w*)", 2),
-        ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)\s*\(", 1),
+        # visibility, then the qualifiers in any number (an ABI is a string, blanked), the name, type parameters and lifetimes, parameters
+        ("function", r"^\s*(?:pub\b\s*(?:\([^)]*\)\s*)?)?(?:(?:default|const|async|unsafe|safe|extern)\b[\s\"]*)*\bfn\s+(?:r#)?([A-Za-z_]\w*)\s*[<(]", 1),
+        ("type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(struct|enum|trait|type|mod|const|static)\s+(?!mut\b)([A-Za-z_]\w*)", 2),
     ],
     "cpp": [
         ("type", r"^\s*(?:template\s*<[^>]+>\s*)?(?:typedef\s+)?(class|struct|enum|union|namespace)\s+([A-Za-z_]\w*)", 2),
-        ("function", r"^\s*(?:[A-Za-z_][\w:*<>\[\]\s,&]+)?\s+([A-Za-z_][\w:]*)\s*\([^;]*\)\s*(?:\{|;)$", 1),
+        # specifiers and a return type, a declarator (name, operator or destructor), parameters, then what may follow them up to the body or the ';'
+        ("function", r"^\s*(?!(?:return|else|throw|delete|new|case|goto|using|typedef)\b)(?:[A-Za-z_][\w:<>,\s]*?[\s*&]+)?[*&]*((?:[A-Za-z_]\w*(?:<[^<>()]*>)?::)*(?:~?[A-Za-z_]\w*|operator\s*(?:\(\)|[^\s\w(]+|\w+)))\s*\([^;{}]*\)(?:\s*(?:const|volatile|noexcept(?:\([^)]*\))?|override|final|&&?|->\s*[\w:<>*&\s]+|=\s*(?:0|default|delete)|:\s*[^;{]*|try))*\s*(?:\{.*|;)$", 1),
     ],
 }
 DECLARATIONS["typescript"] = DECLARATIONS["javascript"]
 DECLARATIONS["c"] = DECLARATIONS["cpp"]
 _COMPILED = {k: [(kind, re.compile(p), g) for kind, p, g in v] for k, v in DECLARATIONS.items()}
-_IMPL = re.compile(r"^\s*impl(?:<[^>]+>)?\s+(?:[A-Za-z_]\w*\s+for\s+)?([A-Za-z_]\w*)")
+# the type that an impl block is for: what stands after `for`, if anything does, else the first type; paths by their last segment
+_IMPL = re.compile(r"^\s*(?:unsafe\s+)?impl\b\s*(?P<rest>.*)$")
+
+
+def _implemented(line: str) -> str | None:
+    m = _IMPL.match(line)
+    if not m:
+        return None
+    rest = m["rest"]
+    if rest.startswith("<"):  # type parameters, which may nest
+        depth = 0
+        for k, c in enumerate(rest):
+            depth += (c == "<") - (c == ">" and rest[k - 1] != "-")
+            if depth == 0:
+                rest = rest[k + 1 :]
+                break
+    rest = re.split(r"\bwhere\b|\{", rest)[0]
+    target = re.split(r"\bfor\b(?!\s*<)", rest)[-1]
+    name = re.match(r"[\s&]*(?:'\w+\s+)?(?:mut\s+|dyn\s+)*((?:[A-Za-z_]\w*::)*)([A-Za-z_]\w*)", target)
+    return name[2] if name else None
+
+
 _SKIP = {
     "python": re.compile(r"^(?:#|@|import\b|from\b|$)"),
     "java": re.compile(r"^(?://|\*|/\*|@(?!interface)|import\b|package\b|$)"),
@@ -92,28 +116,6 @@ def split_lines(content: str | None) -> list[str]:
     return parts[:-1] if parts[-1] == "" else parts
 
 
-def _code_lines(lines: list[str], lang: str) -> list[bool]:
-    """Whether each line is outside block comments and triple-quoted strings.
-
-    A comment opens only where a line begins with it, so that a glob inside a
-    string opens none; a string that opens and ends in one line hides nothing.
-    """
-    out, inside = [], False
-    for line in lines:
-        if lang == "python":
-            odd = (line.count('"""') + line.count("'''")) % 2 == 1
-            out.append(not inside and not odd)
-            inside ^= odd
-        elif inside:
-            out.append(False)
-            inside = "*/" not in line
-        else:
-            text = line.lstrip()
-            inside = text.startswith("/*") and "*/" not in text
-            out.append(not inside)
-    return out
-
-
 _ABOVE = ("//", "#", "/*", "*", "@", "[")
 
 
@@ -132,20 +134,30 @@ def _comment_start(lines: list[str], at: int, lang: str) -> int:
     return first
 
 
-def _head_end(lines: list[str], at: int, lang: str) -> int:
+def _signature_end(code: list[str], at: int) -> int:
+    """The line (from 0) where the brackets that a Python statement opens are closed again."""
+    depth = 0
+    for k in range(at, len(code)):
+        depth += sum(code[k].count(c) for c in "([{") - sum(code[k].count(c) for c in ")]}")
+        if depth <= 0 and not code[k].rstrip().endswith("\\"):
+            return k
+    return at
+
+
+def _head_end(code: list[str], at: int, lang: str) -> int:
     """The last line (from 0) of a declaration's head: the first that has a brace or ends in ';' or ':'."""
     if lang == "python":
-        return at
-    return next((k for k in range(at, len(lines)) if "{" in lines[k] or lines[k].rstrip().endswith((";", ":"))), at)
+        return _signature_end(code, at)
+    return next((k for k in range(at, len(code)) if "{" in code[k] or code[k].rstrip().endswith((";", ":"))), at)
 
 
 def _end(lines: list[str], at: int, lang: str) -> int:
     """The last line (from 0) of the declaration at a line."""
     if lang == "python":
         own = len(lines[at]) - len(lines[at].lstrip())
-        for k in range(at + 1, len(lines)):
+        for k in range(_signature_end(lines, at) + 1, len(lines)):
             text = lines[k].lstrip()
-            if text and not text.startswith("#") and len(lines[k]) - len(text) <= own:
+            if text and len(lines[k]) - len(text) <= own:
                 return k - 1
         return len(lines) - 1
     depth, seen = 0, False
@@ -162,11 +174,14 @@ def _end(lines: list[str], at: int, lang: str) -> int:
 def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, int, int, int, str, int, int]]:
     """(name, kind, containing, start line, end line, depth, signature, first comment line, last line of the head), lines from 1."""
     lines, out = split_lines(content), []
-    code, stack, depth = _code_lines(lines, lang), [], 0
-    for k, line in enumerate(lines):
-        if not code[k]:
-            continue
+    code, stack, depth = lexer.code_lines(content, lang), [], 0
+    inside = 0  # brackets open before a Python line
+    for k, line in enumerate(code):
         text = line.lstrip()
+        if lang == "python":
+            held, inside = inside, max(0, inside + sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}"))
+            if held or not text.strip() or text[0] in "\"'":
+                continue
         level = len(line) - len(text) if lang == "python" else depth
         start = depth
         if lang != "python":
@@ -181,8 +196,8 @@ def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, in
             while stack and level <= stack[-1][1]:
                 stack.pop()
         holder = stack[-1][0] if stack else GLOBAL
-        if lang == "rust" and (m := _IMPL.match(line)):
-            stack.append((m[1], start, "{" in line))
+        if lang == "rust" and (target := _implemented(line)):
+            stack.append((target, start, "{" in line))
             continue
         for kind, pattern, group in _COMPILED[lang]:
             m = pattern.match(line)
@@ -195,12 +210,12 @@ def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, in
                 continue
             if lang == "csharp" and kind != "type" and not _is_member(kind, m, stack, start, text):
                 continue
-            name = m[group].split("::")[-1]
+            name = re.sub(r"<[^<>]*>", "", m[group]).split("::")[-1]
             kind = m[1] if kind == "type" and group == 2 else kind
             if lang == "rust" and kind == "function" and stack:
                 kind = "method"
-            end = k if kind == "variable" else _end(lines, k, lang)
-            out.append((name, kind, GLOBAL if lang == "go" else holder, k + 1, max(end, k) + 1, len(stack), re.sub(r"\s*\{$", "", text.rstrip()), _comment_start(lines, k, lang) + 1, _head_end(lines, k, lang) + 1))
+            end = k if kind == "variable" else _end(code, k, lang)
+            out.append((name, kind, GLOBAL if lang == "go" else holder, k + 1, max(end, k) + 1, len(stack), re.sub(r"\s*\{$", "", lines[k].strip()), _comment_start(lines, k, lang) + 1, _head_end(code, k, lang) + 1))
             if lang == "python" and kind != "variable":
                 stack.append((name, level, True))
             elif (kind in _HOLDERS or (kind == "type" and lang in ("javascript", "typescript"))) and lang not in ("go", "python") and not text.rstrip().endswith(";"):
@@ -269,6 +284,12 @@ def extract_symbols(files: DataFrame, extractor: str = "heuristic") -> DataFrame
     return out.withColumn("is_test", T.is_test_path(F.col("path")))
 
 
+def mask_lines(files: DataFrame) -> DataFrame:
+    """(path, line_no, text) of source files, strings and comments blanked: what calls are sought in."""
+    x = _source(files).mapInArrow(_fold(lambda content, lang: list(enumerate(lexer.code_lines(content, lang), 1)), ["line_no", "text"], [pa.int32(), pa.string()]), "path string, language string, line_no int, text string")
+    return x.drop("language")
+
+
 def extract_test_cases(files: DataFrame) -> DataFrame:
     """(path, language, name, line) of test cases."""
     return _source(files).mapInArrow(_fold(test_cases, ["name", "line"], [pa.string(), pa.int32()]), "path string, language string, name string, line int")

@@ -29,6 +29,11 @@ class Corpus:
     def lines(self) -> DataFrame:
         return self._once("lines", lambda: search.explode_lines(self.files))
 
+    @property
+    def code(self) -> DataFrame:
+        """The lines with strings and comments blanked."""
+        return self._once("code", lambda: symbols.mask_lines(self.files))
+
     @property
     def symbols(self) -> DataFrame:
         return self._once("symbols", lambda: symbols.extract_symbols(self.files))
@@ -36,7 +41,7 @@ class Corpus:
     @property
     def edges(self) -> DataFrame:
         """The call edges, settled: every graph of the corpus reads them."""
-        return self._once("edges", lambda: settled(references.call_edges(self.lines, self.symbols)))
+        return self._once("edges", lambda: settled(references.call_edges(self.code, self.symbols)))
 
     @property
     def cases(self) -> DataFrame:
