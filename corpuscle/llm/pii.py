@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,6 +149,30 @@ def _vector(kind: str, m: Column, before: Column, after: Column) -> Column:
     return out
 
 
+_FEW = 256
+
+
+def _blocks(values: Column) -> Column:
+    """The array in pieces of _FEW elements."""
+    return _with(values, lambda vs: F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / _FEW).cast("int")), lambda k: F.slice(vs, k * _FEW + 1, F.lit(_FEW))))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The running sums (or maxima) of an array of integers that is not empty.
+
+    A fold that grows an array copies it for each element, so only pieces of _FEW
+    elements are folded so, and then their totals: a million matches are 4,000 pieces.
+    """
+    scan = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda out, x: F.concat(out, F.array(F.when(F.size(out) > 0, join(F.element_at(out, -1), x)).otherwise(x))))
+    joined = lambda pieces: _with(scan(F.transform(pieces, lambda x: F.element_at(x, -1))), lambda upto: F.flatten(F.transform(pieces, lambda x, k: F.when(k == 0, x).otherwise(F.transform(x, lambda v: join(F.get(upto, k - 1), v))))))
+    return _with(F.transform(_blocks(values), scan), joined)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _spans(df: DataFrame, kind: str, base: bool) -> DataFrame:
     """df with one more column: the proposals (start, kind, end, status, vector) of one pattern.
 
@@ -161,12 +186,8 @@ def _spans(df: DataFrame, kind: str, base: bool) -> DataFrame:
     none = F.array().cast("array<string>")
     df = df.withColumn("m", F.when(hit, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn("p", F.when(F.size("m") > 0, F.split("text", pattern, -1)).otherwise(none))
-    ends = F.aggregate(
-        F.arrays_zip(F.transform("m", lambda x: F.length(x)).alias("n"), F.transform(F.slice("p", 1, F.size("m")), lambda x: F.length(x)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, v: F.struct((a.at + v.n + v.g).alias("at"), F.concat(a.out, F.array(a.at + v.n + v.g)).alias("out")),
-        lambda a: a.out,
-    )
+    step = F.arrays_zip(F.transform("m", lambda x: F.length(x)).alias("n"), F.transform(F.slice("p", 1, F.size("m")), lambda x: F.length(x)).alias("g"))
+    ends = _running(F.transform(step, lambda v: v.n + v.g), lambda a, x: a + x)
     df = df.withColumn("e", F.when(F.size("m") > 0, ends).otherwise(F.array().cast("array<int>")))
     after = F.slice("p", 2, F.size("m"))
     zipped = F.arrays_zip(F.col("m"), F.slice("p", 1, F.size("m")).alias("g"), after.alias("h"), F.col("e"))
@@ -297,7 +318,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     or spans.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    found = scratch.keep(proposals(docs, id_col=id_col, text_col=text_col), "proposals")
+    found = scratch.keep(proposals(docs, id_col=id_col, text_col=text_col, scratch=scratch), "proposals")
     picks = fitted(found, precision)
     v = lambda c: c["v"]
 
@@ -311,7 +332,10 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     more = F.array_sort(F.transform(F.filter("loose", lambda c: (c.t == 3) & redact(c)), lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e"))))
     found = found.withColumn("more", F.when(F.exists("loose", lambda c: c.t == 3), more).otherwise(F.array().cast(spans)))
     # of proposals that overlap each other the leftmost stays
-    apart = F.aggregate("more", F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), lambda a, c: F.when(c.s >= a.at, F.struct(c.e.alias("at"), F.concat(a.out, F.array(c)).alias("out"))).otherwise(a), lambda a: a.out)
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    keep = lambda a, c: F.when(c.s >= a.at, state(c.e, F.concat(a.out, F.array(c)))).otherwise(a)
+    piece = lambda a, cs: _with(F.aggregate(cs, state(a.at, F.array().cast(spans)), keep), lambda r: state(r.at, F.concat(a.out, F.array(r.out))))
+    apart = F.flatten(F.aggregate(_blocks(F.col("more")), state(F.lit(0), F.array().cast(f"array<{spans}>")), piece)["out"])
     found = found.withColumn("more", F.when(F.size("more") > 0, apart).otherwise(F.col("more")))
     name = F.array(*[F.lit(k) for k in KINDS])
     text = lambda spans: F.array_join(F.transform(spans, lambda c: F.concat_ws(":", F.element_at(name, c.k + 1), c.s.cast("string"), c.e.cast("string"))), ",")
@@ -320,7 +344,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("id").alias(id_col), *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.array_sort(F.concat("base", "more"))).alias("spans"), F.size("more").cast("long").alias("n_added"))
 
 
-def proposals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def proposals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id, half, base, failed, loose): the base spans, the base matches that fail, and the loose proposals clear of base spans.
 
     half: by the text, so that copies of one fall together.
@@ -331,9 +355,18 @@ def proposals(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             x = _spans(x, kind, base)
     of = lambda base: F.concat(*[f"x{k}{base}" for k in range(len(KINDS))])
     x = x.select("id", F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(2)).alias("half"), of(1).alias("strict"), of(0).alias("loose"))
+    # written here, so that the plan of the patterns is not carried into that of the spans
+    x = (scratch or Scratch(docs.sparkSession, "pii")).keep(x, "spans")
     x = x.withColumn("base", F.array_sort(F.filter("strict", lambda c: c.t == 2))).withColumn("failed", F.filter("strict", lambda c: c.t == 0)).drop("strict")
-    clear = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b.s < c.e) & (c.s < b.e)))
-    x = x.withColumn("loose", F.when(F.size("base") > 0, clear).otherwise(F.col("loose")))
+    # a base span before a proposal's end overlaps it if it ends after its start: base spans by start and proposals
+    # by end in one order, and the running maximum of the base spans' ends
+    event = lambda key, base, end, c: F.struct(key.alias("key"), base.alias("b"), end.alias("e"), c.alias("c"))
+    none = F.lit(None).cast(_PROPOSALS[6:-1])
+    events = F.array_sort(F.concat(F.transform("base", lambda c: event(c.s, F.lit(1), c.e, none)), F.transform("loose", lambda c: event(c.e, F.lit(0), F.lit(-1), c))))
+    x = x.withColumn("events", F.when((F.size("base") > 0) & (F.size("loose") > 0), events))
+    x = x.withColumn("upto", F.when(F.col("events").isNotNull(), _running(F.transform("events", lambda v: v.e), lambda a, v: F.greatest(a, v))))
+    clear = F.transform(F.filter(F.arrays_zip("events", "upto"), lambda z: (z.events.b == 0) & (z.upto <= z.events.c.s)), lambda z: z.events.c)
+    x = x.withColumn("loose", F.when(F.col("events").isNotNull(), clear).otherwise(F.col("loose"))).drop("events", "upto")
     known = F.transform("base", lambda c: F.struct(c.k.alias("k"), c.t.alias("t"), c.v.alias("v")))
     return x.withColumn("known", F.concat(known, *[F.transform(c, lambda c: F.struct(c.k.alias("k"), c.t.alias("t"), c.v.alias("v"))) for c in ("failed", "loose")])).select(
         "id", "half", F.transform("base", lambda c: F.struct(c.s.alias("s"), c.k.alias("k"), c.e.alias("e"))).alias("base"), "loose", "known"

@@ -211,3 +211,24 @@ def test_numbers_that_pass_by_chance_stay(spark):
     r = random.Random(3)
     rows = [(k, f"order {'.'.join(str(r.randrange(1000, 9999)) for _ in range(4))} shipped") for k in range(2000)]
     assert sum(x.n_added for x in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 0
+
+
+def test_positions_in_long_texts(spark):
+    """Many matches in one text: passing, failing and loose ones, with base spans over loose ones."""
+    import time
+
+    from corpuscle.llm.pii import find_pii
+
+    part = "12, a@b.com 1.2.3.4 x "
+    rows = [(1, "x"), (2, part * 20_000), (3, "9, " * 300_000)]
+    small = [(1, "x"), (2, part * 3)]
+    took = []
+    for batch in (small, rows):
+        began = time.time()
+        got = {r.doc_id: r for r in find_pii(spark.createDataFrame(batch, "doc_id long, text string").repartition(2)).collect()}
+        took.append(time.time() - began)
+        n = len(batch[1][1]) // len(part)
+        assert (got[2].n_email, got[2].n_ip) == (n, n)
+        at = (n - 1) * len(part)
+        assert got[2].spans.endswith(f"email:{at + 4}:{at + 11},ip:{at + 12}:{at + 19}") and got[2].spans.count(",") == 2 * n - 1
+    assert got[3].spans == "" and took[1] < took[0] + 60
