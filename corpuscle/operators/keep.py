@@ -3,20 +3,56 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_kept: list[tuple[SparkSession, str]] = []
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and checkpointed in the folder of spark.checkpoint.dir.
-
-    Where nothing names one, a folder of our own serves a local master, and any
-    other is told to name one.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        place = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place and not (sc.master == "local" or sc.master.startswith("local[")):  # "local-cluster[" has executors of its own
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where nothing names one, one of our own serves a local master, and any other is told to name one."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    place = held.get() if held.isDefined() else sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not (sc.master == "local" or sc.master.startswith("local[")):  # "local-cluster[" has executors of its own
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="corpuscle-"))
-    return df.checkpoint()
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corpuscle-"))
+        place = sc._jsc.sc().getCheckpointDir().get()
+    return place.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and read back from a Parquet table, columns pruned; dropped() or release() deletes it."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    _kept.append((spark, at))
+    out = spark.read.schema(df.schema).parquet(at)
+    out._settled_at = at
+    return out
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(df: DataFrame) -> bool:
+    """Delete the table of a settled DataFrame, which cannot be read after this; whether there was one."""
+    at = getattr(df, "_settled_at", None)
+    mine = [k for k in _kept if k[1] == at]
+    for k in mine:
+        _delete(*k)
+        _kept.remove(k)
+    return bool(mine)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all settled tables of the session's cluster; how many there were."""
+    mine = [k for k in _kept if k[0].sparkContext is spark.sparkContext]
+    for k in mine:
+        _delete(*k)
+        _kept.remove(k)
+    return len(mine)

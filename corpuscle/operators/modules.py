@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from .keep import settled
+from .keep import dropped, settled
 
 ROOT = "(root)"
 
@@ -78,10 +82,17 @@ def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(path, target, to): the file that an import names, by the first candidate that exists.
 
     Dotted names try themselves as paths, then their longest dotted prefix;
-    relative ones the usual endings. Prefixes end at a separator.
+    relative ones the usual endings. Prefixes end at a separator. Of a relative
+    Python import each dot after the first goes a package up; one that leaves the
+    corpus names nothing.
     """
     here = F.array_join(T.directories(F.col("path")), "/")
     relative = T.normalize_path(F.concat(here, F.lit("/"), F.col("target")))
+    dots = F.length(F.regexp_extract("target", r"^(\.+)", 1))
+    held = T.directories(F.col("path"))
+    package = F.concat(F.slice(held, 1, F.size(held) - dots + 1), F.filter(F.split(F.substr("target", dots + 1), r"\."), lambda p: p != ""))
+    inside = F.array_join(package, "/")
+    python = F.when(dots - 1 > F.size(held), F.array().cast("array<string>")).otherwise(F.transform(F.array(F.lit(".py"), F.lit("/__init__.py"), F.lit("")), lambda e: F.ltrim(F.concat(inside, e), F.lit("/"))))
     probes = F.transform(F.array(*[F.lit(p) for p in _PROBES]), lambda p: F.concat(relative, p))
     parts = F.split(F.translate("target", ".", "/"), "/")
     ups = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
@@ -89,17 +100,50 @@ def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     # a directory above stands for the modules below it: the first file of it by path
     dirs = files.select("path", F.array_join(T.directories(F.col("path")), "/").alias("d")).filter("d <> ''").groupBy("d").agg(F.min("path").alias("to"))
     known = files.select(F.col("path").alias("c"), F.col("path").alias("to")).unionByName(dirs.select(F.col("d").alias("c"), "to"))
-    tried = F.when(F.col("target").startswith("."), probes).otherwise(F.concat(ends, ups))
+    tried = F.when(F.col("target").startswith(".") & (F.col("language") == "python"), python).when(F.col("target").startswith("."), probes).otherwise(F.concat(ends, ups))
     x = imports.select("path", "language", "target", "line_no", F.posexplode(tried).alias("k", "c"))
     x = x.join(known, "c").groupBy("path", "language", "target", "line_no").agg(F.min_by("to", "k").alias("to"))
     return x.filter("to <> path")
 
 
-def module_edges(imports: DataFrame, files: DataFrame, mods: DataFrame) -> DataFrame:
-    """(src, dst, refs) between different modules, by source and falling count."""
+def namespaces(files: DataFrame) -> DataFrame:
+    """(path, language, namespace) that C# and Java-like files declare: namespace and package lines outside of comments' first columns."""
+    lang = T.language(F.col("path"))
+    form = F.when(lang == "csharp", F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*namespace\s+([A-Za-z_][\w.]*)"), F.lit(1))).when(lang == "java", F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*package\s+([A-Za-z_][\w.]*)"), F.lit(1)))
+    return files.select("path", lang.alias("language"), F.explode(F.array_distinct(form)).alias("namespace"))
+
+
+def namespace_modules(files: DataFrame, owner: DataFrame) -> DataFrame:
+    """(language, namespace, module): where most of a namespace's files lie, of equal ones the first by name. owner: file_module()."""
+    x = namespaces(files).join(owner, "path").groupBy("language", "namespace", "module").agg(F.count("*").alias("n"))
+    return x.groupBy("language", "namespace").agg(F.min(F.struct((-F.col("n")).alias("n"), "module"))["module"].alias("module"))
+
+
+def import_modules(imports: DataFrame, files: DataFrame, mods: DataFrame) -> DataFrame:
+    """(path, src, target, dst): the module that an import names.
+
+    C# and Java imports by the namespaces that the files declare: the target itself,
+    else its longest prefix of whole segments. Others, and those without a declared
+    namespace, by the file that the import names.
+    """
     owner = file_module(files, mods)
-    x = import_files(imports, files).join(owner.withColumnRenamed("module", "src"), "path")
-    x = x.join(owner.select(F.col("path").alias("to"), F.col("module").alias("dst")), "to")
+    named = imports.filter(F.col("language").isin("csharp", "java")).select("path", "language", "line_no", "target").withColumn("parts", F.split("target", r"\."))
+    ups = F.transform(F.sequence(F.size("parts"), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice("parts", 1, k), "."))
+    tried = named.select("path", "language", "line_no", "target", F.posexplode(ups).alias("k", "namespace"))
+    known = tried.join(namespace_modules(files, owner), ["language", "namespace"]).groupBy("path", "line_no", "target").agg(F.min_by("module", "k").alias("dst"))
+    by_file = import_files(imports, files).join(owner.select(F.col("path").alias("to"), F.col("module").alias("dst")), "to").select("path", "line_no", "target", "dst")
+    by_file = by_file.join(known.select("path", "line_no", "target"), ["path", "line_no", "target"], "left_anti")
+    return known.unionByName(by_file).join(owner.withColumnRenamed("module", "src"), "path").select("path", "src", "target", "dst")
+
+
+def module_edges(imports: DataFrame, files: DataFrame, mods: DataFrame) -> DataFrame:
+    """(src, dst, refs) between different modules, by source and falling count; files need their content for namespaces."""
+    if "content" in files.columns:
+        x = import_modules(imports, files, mods)
+    else:
+        owner = file_module(files, mods)
+        x = import_files(imports, files).join(owner.withColumnRenamed("module", "src"), "path")
+        x = x.join(owner.select(F.col("path").alias("to"), F.col("module").alias("dst")), "to")
     return x.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("refs")).orderBy("src", F.col("refs").desc(), "dst")
 
 
@@ -177,17 +221,46 @@ def snapshot_id(files: DataFrame) -> DataFrame:
 
 
 class Cached:
-    """Results by name and corpus state: made again once the files' signature has changed.
+    """Results by name and corpus state, for a time: made again once the files' signature has changed or the time is up.
 
-    The files are looked at on every call; what is held is settled in the shared
-    folder, so that a hit reads it and computes nothing.
+    absolute: seconds from the making on; sliding: seconds from the last use on. The
+    files are looked at on every call; what is held is a table in the shared folder, so
+    that a hit reads it and computes nothing. A table is deleted when its result goes,
+    which every call looks after for all names, so DataFrames of an evicted result
+    can no longer be read.
     """
 
-    def __init__(self) -> None:
-        self._held: dict[str, tuple[str, DataFrame]] = {}
+    def __init__(self, absolute: float | None = 300, sliding: float | None = 600, clock: Callable[[], float] = time.monotonic) -> None:
+        self.absolute, self.sliding, self.clock = absolute, sliding, clock
+        self._held: dict[str, _Held] = {}
 
-    def get(self, name: str, files: DataFrame, make) -> DataFrame:
+    def get(self, name: str, files: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
         state = snapshot_id(files).first().snapshot
-        if self._held.get(name, ("",))[0] != state:
-            self._held[name] = (state, settled(make()))
-        return self._held[name][1]
+        self.sweep()
+        if name in self._held and self._held[name].state != state:
+            self.evict(name)
+        now = self.clock()
+        if name not in self._held:
+            self._held[name] = _Held(state, settled(make()), now, now)
+        self._held[name].used = now
+        return self._held[name].result
+
+    def sweep(self) -> list[str]:
+        """Evict what is out of time; the names."""
+        now = self.clock()
+        over = lambda since, limit: limit is not None and now - since >= limit
+        gone = [n for n, h in self._held.items() if over(h.made, self.absolute) or over(h.used, self.sliding)]
+        for n in gone:
+            self.evict(n)
+        return gone
+
+    def evict(self, name: str) -> None:
+        dropped(self._held.pop(name).result)
+
+
+@dataclass
+class _Held:
+    state: str
+    result: DataFrame
+    made: float
+    used: float

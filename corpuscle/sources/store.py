@@ -116,14 +116,17 @@ class Table:
         """Add rows; the number of the version."""
         return self._commit(self._shaped(rows), None)
 
-    def overwrite(self, rows: DataFrame) -> int:
-        """Replace all rows of the keys that occur in rows by these."""
+    def _keyed(self, keys: DataFrame) -> DataFrame:
+        return keys.select(*[F.col(c).cast(self.schema[c].dataType) for c in self.keys]).distinct()
+
+    def overwrite(self, rows: DataFrame, keys: DataFrame | None = None) -> int:
+        """Replace all rows of the keys that occur in rows, or of those in keys, by these."""
         rows = self._shaped(rows)
-        return self._commit(rows, rows.select(*self.keys).distinct())
+        return self._commit(rows, self._keyed(rows if keys is None else keys))
 
     def delete(self, keys: DataFrame) -> int:
         """Drop all rows of the keys."""
-        return self._commit(None, keys.select(*[F.col(c).cast(self.schema[c].dataType) for c in self.keys]).distinct())
+        return self._commit(None, self._keyed(keys))
 
     def compact(self) -> int:
         """One version with the rows that count; older folders are deleted, and queries on them have to be made again."""
@@ -204,3 +207,38 @@ class Sessions:
 
     def clear(self, session_id: str) -> int:
         return self.table.delete(self.table.spark.createDataFrame([(session_id,)], "session_id string"))
+
+
+class SymbolIndex:
+    """Declarations and masked lines of a corpus, kept by file: only changed files are read and folded again."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.seen = Table(spark, f"{root}/files", ["path"], "path string, mtime timestamp, size bigint")
+        self.symbols = Table(spark, f"{root}/symbols", ["path"], "path string, language string, name string, kind string, containing string, start_line int, end_line int, depth int, signature string, comment_line int, head_line int, is_test boolean")
+        self.code = Table(spark, f"{root}/code", ["path"], "path string, line_no int, text string")
+
+    def changed(self, files: DataFrame) -> DataFrame:
+        """(path) of files (path, mtime, size) that are new, changed, or gone."""
+        old = self.seen.read().select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"), F.lit(True).alias("_old"))
+        x = files.select("path", "mtime", "size", F.lit(True).alias("_new")).join(old, "path", "full")
+        return x.where("_old is null or _new is null or not (mtime <=> _m and size <=> _s)").select("path")
+
+    def refresh(self, files: DataFrame) -> int:
+        """Bring the index up to files (path, mtime, size, content); how many files were new, changed or gone.
+
+        What changed is settled first, so that all tables take the same files. They
+        count before the list of files does: a refresh that fails halfway is done again.
+        """
+        from ..operators import symbols
+        from ..operators.keep import dropped, settled
+
+        todo = settled(self.changed(files))
+        n = todo.count()
+        if n:
+            fresh = settled(files.select("path", "mtime", "size", "content").join(todo, "path", "left_semi"))
+            self.symbols.overwrite(symbols.extract_symbols(fresh), todo)
+            self.code.overwrite(symbols.mask_lines(fresh), todo)
+            self.seen.overwrite(fresh, todo)
+            dropped(fresh)
+        dropped(todo)
+        return n
