@@ -584,3 +584,64 @@ def candidate_tests(spark, sf_dir):
 @query(f"""WITH {_IDS} SELECT path, CASE regexp_extract(path, '([^/]*)$', 1) WHEN 'app.py' THEN 'Python application entry' END AS description FROM (SELECT 'pkg' || t || '/app.py' AS path FROM d)""")
 def entry_points(spark, sf_dir):
     return modules.entry_points(_corpus(spark, sf_dir).files)
+
+
+@query("""SELECT page_id, url AS package FROM pages WHERE length(html) % 2 = 0 AND NOT contains(url, '&')""")
+def page_packages(spark, sf_dir):
+    """Package references of a project file made of each page: its address is not escaped, and some close no element, so many are malformed."""
+    x = table(spark, sf_dir, "pages")
+    end = F.when(F.length("html") % 2 == 0, "</p:Project>").otherwise("<open></p:Project>")
+    content = F.concat(F.lit('<?xml version="1.0"?><p:Project xmlns:p="urn:p"><PackageReference Version="1" Include="'), F.col("url"), F.lit('"/><Package Include="no"/>'), end)
+    return x.select("page_id", F.explode(T.xml_attributes(content, "PackageReference", "Include")).alias("package"))
+
+
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[a-z]{4,}')"
+
+
+@query(f"""
+    WITH w AS (SELECT CAST(doc_id AS VARCHAR) AS d, {_WORDS} AS w FROM documents),
+         c AS (SELECT d, w, unnest(range(1, len(w) // 3 + 1)) AS k FROM w),
+         e AS (SELECT 'd' || d || '.py' AS path, 'f' || d AS src, w[3 * k - 1] || '_' || d AS dst, k FROM c)
+    SELECT path, src, dst, CAST(2 + 3 * (min(k) - 1) AS INT) AS line FROM e GROUP BY path, src, dst
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY min(k)) <= 50""")
+def calls_beside_strings(spark, sf_dir):
+    """Calls in a function made of each document's words: of three words one is called, one stands in a string and one in a comment."""
+    d = F.col("doc_id").cast("string")
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{4,}"), F.lit(0))
+    x = table(spark, sf_dir, "documents").select(d.alias("d"), words.alias("w"))
+    name = lambda k: F.concat(F.get("w", k), F.lit("_"), F.col("d"))
+    part = lambda k: F.concat(F.lit("    "), name(3 * k - 2), F.lit('(1)\n    s = "'), name(3 * k - 3), F.lit('(2)"  # '), name(3 * k - 1), F.lit('(3)\n    """'), name(3 * k - 3), F.lit('(4)"""\n'))
+    body = F.when(F.size("w") >= 3, F.array_join(F.transform(F.sequence(F.lit(1), F.floor(F.size("w") / 3).cast("int")), part), "")).otherwise("    pass\n")
+    c = Corpus(x.select(F.concat(F.lit("d"), F.col("d"), F.lit(".py")).alias("path"), F.concat(F.lit("def f"), F.col("d"), F.lit("():\n"), body).alias("content")))
+    return references.call_sites(c.code, c.symbols).select("path", "src", "dst", "line")
+
+
+@query("""
+    WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS l, coalesce(source, 'none') AS s, l || '/' || s AS module FROM documents),
+         held AS (SELECT DISTINCT module FROM d)
+    SELECT d.module AS src, held.module AS dst, count(*) AS refs FROM d JOIN held ON held.module = 'en/' || d.s WHERE d.module <> held.module GROUP BY ALL""")
+def namespace_edges(spark, sf_dir):
+    """Edges between the folders of a C# file a document, by the namespaces that the files declare and use."""
+    x = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("l"), F.coalesce("source", F.lit("none")).alias("s"))
+    content = F.concat(F.lit("using System;\nusing Corp.en."), F.col("s"), F.lit(".Deep.Down;\nusing Corp.en."), F.col("s"), F.lit("x;\n\nnamespace Corp."), F.col("l"), F.lit("."), F.col("s"), F.lit(";\n\nclass C"), F.col("doc_id").cast("string"), F.lit("\n{\n}\n"))
+    files = x.select(F.concat_ws("/", "l", "s", F.concat(F.lit("F"), F.col("doc_id").cast("string"), F.lit(".cs"))).alias("path"), content.alias("content"))
+    return modules.module_edges(symbols.imports(files), files, modules.modules(files))
+
+
+@query("""
+    WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, text, coalesce(role = 'system', false) AS system, bool_or(coalesce(role = 'system', false)) OVER (PARTITION BY conv_id) AS replaced FROM conversations)
+    SELECT session_id, count(*) AS turns, CASE WHEN any_value(replaced) THEN max(turn) ELSE count(*) END AS last_seq, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars
+    FROM t WHERE system OR NOT replaced GROUP BY session_id""")
+def session_store(spark, sf_dir):
+    """Conversations in a versioned store: appended in two parts, then those with a system turn replaced by it alone."""
+    import uuid
+
+    from ..operators.keep import shared_folder
+    from ..sources.store import Sessions
+
+    store = Sessions(spark, f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}")
+    x = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.col("text").alias("content"), (F.col("role") == "system").alias("is_summary"))
+    store.append(x.where("seq < 2"))
+    store.append(x.where("seq >= 2"))
+    store.replace(x.where("is_summary"))
+    return store.turns().groupBy("session_id").agg(F.count("*").alias("turns"), F.max("seq").alias("last_seq"), F.sum(F.char_length(F.coalesce("content", F.lit("")))).alias("chars"))
