@@ -354,6 +354,19 @@ def render_tree(graph: DataFrame, root: str) -> str:
     return "\n".join(out)
 
 
+def render_callers(graph: DataFrame, root: str) -> str:
+    """An indented text of an upstream call graph: the callers of the root with their places, and under each its own callers; a few hundred edges at most."""
+    rows = graph.collect()
+    by: dict[str, list] = {}
+    for r in rows:
+        by.setdefault(r.dst.lower(), []).append(r)
+    line = lambda r, depth: "  " * depth + f"{r.src} ({r.path}:{r.line})" + (f" [{r.label}]" if r.label else "")
+    out = [f"{root} is called by:"]
+    for r in by.get(root.lower(), []):
+        out += [line(r, 1), *(line(q, 2) for q in by.get(r.src.lower(), []))]
+    return "\n".join(out)
+
+
 def expand_context(lines: DataFrame, symbols: DataFrame, names: list[str], *, most: int = 2, edges: int = 10, refs: int = 8) -> DataFrame:
     """(name, relation, path, line, text) around up to `most` names that resolve: definition, callees, callers, references."""
     out, used, edges_of = None, 0, None

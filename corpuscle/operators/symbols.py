@@ -40,11 +40,14 @@ DECLARATIONS: dict[str, list[tuple[str, str, int]]] = {
     ],
     "csharp": [
         ("type", rf"^\s*{_MODS}(class|interface|struct|enum|record|namespace)\s+(?:(?:class|struct)\s+)?([A-Za-z_][\w.]*)", 2),
-        ("event", rf"^\s*{_MODS}event\s+{_CS_TYPE}\s+([A-Za-z_]\w*)\s*[;={{]", 1),
+        ("delegate", rf"^\s*{_MODS}(?:unsafe\s+)?delegate\s+{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:<[\w,\s]+>)?\s*\(", 1),
+        ("operator", rf"^\s*{_MODS}(?:extern\s+)?(?:(?:implicit|explicit)\s+operator\s+(?:checked\s+)?|{_CS_TYPE}\s+operator\s*(?:checked\s+)?)([^\s(]+(?:\(\))?)\s*\(", 1),
+        ("indexer", rf"^\s*{_MODS}{_CS_TYPE}\s+(?:[A-Za-z_][\w.<>,]*\.)?(this)\s*\[", 1),
+        ("event", rf"^\s*{_MODS}event\s+{_CS_TYPE}\s+([A-Za-z_]\w*)\s*[;={{,]", 1),
         ("constructor", rf"^\s*{_MODS}([A-Za-z_]\w*)\s*\(", 1),
         ("method", rf"^\s*{_MODS}{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:<[\w,\s]+>)?\s*\(", 1),
         ("property", rf"^\s*{_MODS}{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:\{{|=>)", 1),
-        ("field", rf"^\s*{_MODS}{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:=[^=>]|;)", 1),
+        ("field", rf"^\s*{_MODS}{_CS_TYPE}\s+([A-Za-z_]\w*)\s*(?:=[^=>]|;|,)", 1),
     ],
     "go": [
         ("function", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*(?:\[[^()]*\])?\s*\(", 1),
@@ -215,7 +218,8 @@ def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, in
             if lang == "rust" and kind == "function" and stack:
                 kind = "method"
             end = k if kind == "variable" else _end(code, k, lang)
-            out.append((name, kind, GLOBAL if lang == "go" else holder, k + 1, max(end, k) + 1, len(stack), re.sub(r"\s*\{$", "", lines[k].strip()), _comment_start(lines, k, lang) + 1, _head_end(code, k, lang) + 1))
+            names = [name, *_more_names(text)] if lang == "csharp" and kind in ("field", "event") else [name]
+            out.extend((name, kind, GLOBAL if lang == "go" else holder, k + 1, max(end, k) + 1, len(stack), re.sub(r"\s*\{$", "", lines[k].strip()), _comment_start(lines, k, lang) + 1, _head_end(code, k, lang) + 1) for name in names)
             if lang == "python" and kind != "variable":
                 stack.append((name, level, True))
             elif (kind in _HOLDERS or (kind == "type" and lang in ("javascript", "typescript"))) and lang not in ("go", "python") and not text.rstrip().endswith(";"):
@@ -229,8 +233,19 @@ def declarations(content: str | None, lang: str) -> list[tuple[str, str, str, in
 _HOLDERS = ("class", "interface", "struct", "enum", "record", "namespace", "trait", "mod", "union")
 
 
+def _more_names(text: str) -> list[str]:
+    """The second and further names that a field's line declares; commas within brackets and type arguments part none."""
+    flat, depth = [], 0
+    for k, c in enumerate(text):
+        depth += (c in "([{<") - (c in ")]}" or (c == ">" and text[k - 1] != "="))
+        flat.append(c if depth <= 0 else " ")
+    return re.findall(r",\s*([A-Za-z_]\w*)\s*(?=[=,;]|$)", "".join(flat))
+
+
 def _is_member(kind: str, m: re.Match, stack: list, start: int, text: str) -> bool:
-    """Whether a line that looks like a C# member is one: directly inside a type, and no statement."""
+    """Whether a line that looks like a C# member is one: directly inside a type, and no statement. Delegates may also stand outside."""
+    if kind == "delegate":
+        return not stack or start <= stack[-1][1] + 1
     if not stack or start != stack[-1][1] + 1 or not stack[-1][2] or text.split()[0].rstrip("(;") in _CS_STATEMENTS or m[1] in fixed.CONTROL_WORDS:
         return False
     return m[1] == stack[-1][0] if kind == "constructor" else m[1] != stack[-1][0]

@@ -354,7 +354,7 @@ def tests_scored(spark, sf_dir):
 
 @query(f"WITH {_IDS} SELECT 'pkg' || t || p AS module, r AS role, CAST(c AS BIGINT) AS file_count FROM d, (VALUES ('', 'Other', 3), ('/tests', 'Tests', 1)) AS v(p, r, c)")
 def module_map(spark, sf_dir):
-    return call("repo_map", _corpus(spark, sf_dir))
+    return call("repo_map", _corpus(spark, sf_dir), include_dependencies=False)
 
 
 @query(f"WITH {_IDS} SELECT 'pkg' || t || '/tests' AS src, 'pkg' || t AS dst, CAST(1 AS BIGINT) AS refs FROM d")

@@ -144,8 +144,8 @@ def get_related_files(c: Corpus, file_path: str) -> DataFrame:
 
 
 @tool("repo_map")
-def repo_map(c: Corpus, scope: str | None = None, max_depth: int = 3, include_dependencies: bool = False) -> DataFrame:
-    """Modules, below a folder where scope names one; with include_dependencies, what each uses and how often, too."""
+def repo_map(c: Corpus, scope: str | None = None, max_depth: int = 3, include_dependencies: bool = True) -> DataFrame:
+    """Modules, below a folder where scope names one, and, unless include_dependencies is off, what each uses and how often."""
     files = c.files.filter(F.col("path").startswith(scope.strip("/") + "/")).withColumn("path", F.substr("path", F.lit(len(scope.strip("/")) + 2))) if scope else c.files
     found = modules.modules(files, max_depth=max_depth)
     if include_dependencies:

@@ -49,6 +49,19 @@ def test_declarations_of_the_grammars():
     assert [(n, k) for n, k, *_ in _named(js, "typescript")] == [("A", "class"), ("walk", "method"), ("own", "method")]
 
 
+def test_csharp_members():
+    text = "namespace N;\npublic delegate int Op<T>(T a);\nclass A\n{\n    int a = 1, b = F(2, 3), c;\n    Dictionary<int, string> d;\n    public int this[int i] => a;\n    public static A operator +(A x, A y) => x;\n    public static implicit operator int(A x) => 1;\n    event Action On, Off;\n    delegate void Inner();\n    void M()\n    {\n        int local = 1, other = 2;\n        Action f = delegate { };\n    }\n}\n"
+    got = [(n, k) for n, k, *_ in _named(text, "csharp")]
+    assert got == [("N", "namespace"), ("Op", "delegate"), ("A", "class"), ("a", "field"), ("b", "field"), ("c", "field"), ("d", "field"), ("this", "indexer"), ("+", "operator"), ("int", "operator"), ("On", "event"), ("Off", "event"), ("Inner", "delegate"), ("M", "method")]
+
+
+def test_callers_are_rendered_in_two_levels(spark):
+    text = "def a():\n    b()\n\ndef b():\n    c()\n\ndef c():\n    d()\n\ndef d():\n    pass\n\ndef e():\n    d()\n"
+    c = Corpus(spark.createDataFrame([("m.py", text)], "path string, content string"))
+    graph = references.call_graph(c.code, c.symbols, "d", depth=3, direction="upstream", edges=c.edges)
+    assert references.render_callers(graph, "d").split("\n") == ["d is called by:", "  c (m.py:8)", "    b (m.py:5)", "  e (m.py:14)"]
+
+
 def test_python_signatures_over_lines_and_strings():
     text = 'def f(\n    a="def x(",\n    b=2,\n):\n    s = """\ndef no():\n"""\n    return g(a)\n\nclass C:\n    def h(self):\n        """Doc\n  out of line\n"""\n        return 1\n'
     assert _named(text, "python") == [("f", "function", "(global)", 1, 9), ("C", "class", "(global)", 10, 15), ("h", "function", "C", 11, 15)]
