@@ -10,7 +10,8 @@ A run counts from `min_words` words on. The shortest runs of that size, those
 that start at each line and those that end at each line, name LCP intervals: a
 run of m lines the suffixes whose ranks at the two powers of two that cover m
 agree. An interval's first member, by id and line, stays; the lines of all later
-members go. A maximal repeated run goes as a whole: with first line i and last
+members go, but for those that also lie in the first one (a line said over and over
+is a run that overlaps itself: its first min_words words stay). A maximal repeated run goes as a whole: with first line i and last
 line j, the shortest runs from its lines cover it from i on, up to the last that
 ends by j, and any line after that ends a shortest run that begins at i or
 later. As a line has a word at least, m is min_words at most, and so are the
@@ -138,7 +139,11 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
         runs = scratch.keep(runs, f"runs-{k}")
         first = runs.groupBy("m", "r", "r2").agg(F.min(F.struct("id", "th", "seq")).alias("first"), F.count("*").alias("n"), F.max(F.crc32(F.col("r").cast("string").cast("binary"))).alias("k2")).filter("n > 1")
         later = runs.withColumn("k2", F.crc32(F.col("r").cast("string").cast("binary"))).join(first, ["m", "r", "r2", "k2"])
-        later = later.filter(~F.struct("id", "th", "seq").eqNullSafe(F.col("first"))).select("id", "th", "seq", "m")
+        later = later.filter(~F.struct("id", "th", "seq").eqNullSafe(F.col("first")))
+        # a run that repeats within its own length: what lies in the first member stays
+        same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+        start = F.when(same, F.greatest("seq", F.col("first.seq") + F.col("m"))).otherwise(F.col("seq"))
+        later = later.select("id", "th", start.alias("seq"), (F.col("seq") + F.col("m") - start).cast("int").alias("m"))
         hit = later if hit is None else hit.unionByName(later)
         if 2 * step > most:
             break
@@ -158,7 +163,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Per row: id_col, text without the later copies of repeated runs, n_lines, n_deleted.
 
     A run is consecutive lines (lines without a word aside) of min_words words or
-    more; of equal runs the first by id and line stays. n_lines counts the lines
+    more; of equal runs the first by id and line stays, with all its lines, also
+    where later ones overlap it. n_lines counts the lines
     with a word. Null texts stay null, empty ones empty, with no lines. Rows of
     equal id and text are one document and share a result. An empty table gives
     an empty one; other columns are not read.

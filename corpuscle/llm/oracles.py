@@ -87,8 +87,9 @@ ORACLES: dict[str, str] = {
              -- every run of 50 words or more is covered by the shortest ones from its lines on and the shortest ones up to them
              f AS (SELECT *, len(list_filter(us, lambda u: u <= us[p] - 50)) + 1 AS s, p AS e FROM p WHERE us[p] >= 50),
              x AS (SELECT DISTINCT doc_id, s, ls[s:e] AS run, lns[s:e] AS gone FROM (SELECT doc_id, s, e, ls, lns FROM e WHERE e <= len(ls) UNION ALL SELECT doc_id, s, e, ls, lns FROM f)),
-             r AS (SELECT doc_id, gone, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS k FROM x),
-             g AS (SELECT DISTINCT doc_id, unnest(gone) AS ln FROM r WHERE k > 1)
+             r AS (SELECT doc_id, gone, row_number() OVER same AS k, first_value(doc_id) OVER same AS d, first_value(gone) OVER same AS f FROM x WINDOW same AS (PARTITION BY run ORDER BY doc_id, s)),
+             -- of a member that overlaps the first one, what lies in that stays
+             g AS (SELECT DISTINCT doc_id, ln FROM (SELECT doc_id, d, f, unnest(gone) AS ln FROM r WHERE k > 1) WHERE doc_id <> d OR ln > f[-1])
         SELECT l.doc_id, CAST(count(*) FILTER (w > 0) AS BIGINT) AS n_lines, count(g.ln) AS n_deleted,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY l.ln) FILTER (g.ln IS NULL), '')) AS text_sha256
         FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.ln = l.ln GROUP BY l.doc_id""",
