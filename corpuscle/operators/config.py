@@ -126,6 +126,15 @@ class _Number(str):
     """A number as it is written."""
 
 
+def quoted_lines(content: str) -> dict[str, int]:
+    """The first line (from 1) of everything that stands between two neighbouring quotes of a line."""
+    out: dict[str, int] = {}
+    for k, line in enumerate(content.split("\n"), 1):
+        for token in line.split('"')[1:-1]:
+            out.setdefault(token, k)
+    return out
+
+
 def _json(files: DataFrame) -> DataFrame:
     """(path, format, precedence, line_no, key, value): a member's line is the first with its quoted name."""
     names = ["path", "format", "precedence", "line_no", "key", "value"]
@@ -134,9 +143,10 @@ def _json(files: DataFrame) -> DataFrame:
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for path, form, precedence, content in zip(*(b.column(k).to_pylist() for k in range(4))):
-                lines = (content or "").split("\n")
-                for key, name, value in json_members(content or "") or []:
-                    at = next((k for k, t in enumerate(lines, 1) if f'"{name}"' in t), -1)
+                members = json_members(content or "") or []
+                lines = quoted_lines(content or "") if members else {}
+                for key, name, value in members:
+                    at = lines.get(name, -1)
                     for c, v in zip(cols, (path, form, precedence, at, key, value)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()])], names=names)

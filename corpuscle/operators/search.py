@@ -94,20 +94,25 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], k: int) -
     return out.filter(F.col("rank") <= k)
 
 
-#: Names that go to all tasks; more are joined by hash.
-NAMES = 100_000
+#: Names or needles, and bytes of them, that go to all tasks; more are joined by hash.
+NAMES, NAMES_SIZE = 100_000, 16 << 20
+
+
+def _nearby(df: DataFrame, text: str) -> DataFrame:
+    """df, to be sent to all tasks if it is counted and measured to be small; only the two numbers reach the driver."""
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return F.broadcast(df) if n <= NAMES and size <= NAMES_SIZE else df
 
 
 def mentions(lines: DataFrame, names: DataFrame, *, keys: tuple[str, ...]) -> DataFrame:
     """(keys, name, line_no, n): word mentions of each name, by an equi-join on the lines' words.
 
-    Names are counted first: up to NAMES of them go to all tasks, and only words
-    that are names are shuffled.
+    Names are counted and measured first: up to NAMES of them go to all tasks, and
+    only words that are names are shuffled.
     """
     words = lines.select(*keys, "line_no", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name"))
     names = names.select("name").distinct()
-    near = F.broadcast(names) if len(names.take(NAMES + 1)) <= NAMES else names
-    return words.join(near, "name").groupBy(*keys, "line_no", "name").agg(F.count("*").alias("n"))
+    return words.join(_nearby(names, "name"), "name").groupBy(*keys, "line_no", "name").agg(F.count("*").alias("n"))
 
 
 def containing(docs: DataFrame, needles: DataFrame, *, id_col: str, text_col: str, needle_id: str, needle_col: str, width: int = 3) -> DataFrame:
@@ -133,7 +138,7 @@ def containing(docs: DataFrame, needles: DataFrame, *, id_col: str, text_col: st
         longest = F.array_max(F.transform(runs(F.col("w"), k), lambda r: F.struct(F.length(r).alias("l"), r.alias("r"))))["r"]
         best = F.when(F.col("k") == k, longest).otherwise(best)
     n = n.withColumn("anchor", best).drop("w")
-    n = F.broadcast(n) if len(n.take(NAMES + 1)) <= NAMES else n
+    n = _nearby(n, "_n")
     d = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
     sizes = [r.k for r in needles.select(F.least(F.greatest(F.size(F.split(needle_col, r"\s+")) - 2, F.lit(0)), F.lit(width)).alias("k")).distinct().collect() if r.k is not None]  # width + 1 values at most
     out = None
