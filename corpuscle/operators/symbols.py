@@ -264,17 +264,30 @@ def test_cases(content: str | None, lang: str) -> list[tuple[str, int]]:
     return out
 
 
+#: Rows that a task holds before it hands them on.
+HELD = 20_000
+
+
 def _fold(one, names: list[str], types: list[pa.DataType]):
+    """A function for mapInArrow: the rows of one(content, language) of each file, a file at a time and HELD rows or one file's at most together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), *types])], names=["path", "language", *names])
+
         for b in batches:
             cols: list[list] = [[] for _ in range(2 + len(names))]
-            for path, lang, content in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for k in range(b.num_rows):
+                path, lang, content = (b.column(c)[k].as_py() for c in range(3))
                 if lang not in DECLARATIONS:
                     continue
                 for row in one(content, lang):
                     for c, v in zip(cols, (path, lang, *row)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), *types])], names=["path", "language", *names])
+                if len(cols[0]) >= HELD:
+                    yield handed()
+                    cols = [[] for _ in cols]
+            yield handed()
 
     return run
 
