@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from corpuscle.llm.storage import Scratch
+from corpuscle.llm.storage import Scratch, opened, release
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of sf_dir."""
+    """Apply the stages to the documents of sf_dir.
+
+    Once a stage's result is written, the tables of its operators and the result of
+    the stage before go; those of the last stage stay until storage.release().
+    """
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    others = opened()
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        kept = scratch.keep(stage(spark, docs, sf_dir), name)
+        release(spark, but=others)
+        scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -83,12 +83,17 @@ class Scratch:
             _open.remove(self)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the scratch tables of all operator calls of this process on the session; how many calls that were.
+def opened() -> list[Scratch]:
+    """The operator calls of this process whose tables are still there."""
+    return list(_open)
+
+
+def release(spark: SparkSession, but: list[Scratch] = ()) -> int:
+    """Delete the scratch tables of the operator calls of this process on the session, those in `but` excepted; how many calls that were.
 
     To be called when the returned DataFrames have been written or are not needed.
     """
-    mine = [s for s in _open if s.spark is spark or s.spark.sparkContext is spark.sparkContext]
+    mine = [s for s in _open if s not in but and s.spark.sparkContext is spark.sparkContext]
     for s in mine:
         s.close()
     return len(mine)
