@@ -128,3 +128,18 @@ def test_sharding_stage(tables):
 def test_run_applies_the_stages(spark, corpus, tables):
     got = corpus_pipeline.run(spark, corpus[0]).agg(F.count("*"), F.sum("size")).first()
     assert tuple(got) == (len(tables[5]), tables[5]["size"].sum())
+
+
+def test_run_leaves_the_last_stages_tables_alone(spark, corpus):
+    from corpuscle.llm.storage import opened, release
+
+    before = opened()
+    rows = corpus_pipeline.run(spark, corpus[0])
+    assert rows.count() > 0
+    left = [s for s in opened() if s not in before]
+    assert {s.root.rsplit("/", 1)[1].split("-")[0] for s in left} == {"pipeline", "shard"}
+    stages = next(s for s in left if "pipeline" in s.root.rsplit("/", 1)[1])
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stages.root)
+    held = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs)
+    assert [p.getPath().getName().split("-")[-1] for p in held] == ["mixing"]
+    release(spark, but=before)
