@@ -38,10 +38,18 @@ class Corpus:
     def symbols(self) -> DataFrame:
         return self._once("symbols", lambda: symbols.extract_symbols(self.files))
 
+    @property
+    def declared(self) -> DataFrame:
+        """The symbols with the calls in their bodies, settled: one fold of the files for all that edges and graphs read."""
+        return self._once("declared", lambda: settled(symbols.extract_calls(self.files)))
+
     @property
     def edges(self) -> DataFrame:
         """The call edges, settled: every graph of the corpus reads them."""
-        return self._once("edges", lambda: settled(references.call_edges(self.code, self.symbols)))
+        return self._once("edges", lambda: settled(self.call_edges()))
+
+    def call_edges(self) -> DataFrame:
+        return references.call_edges(self.lines, self.declared.drop("calls"), references.scanned_sites(self.declared))
 
     @property
     def cases(self) -> DataFrame:

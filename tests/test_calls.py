@@ -77,3 +77,8 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test
 def test_calls_beside_strings_joins_no_lines(spark):
     plan = _plan(QUERIES["calls_beside_strings"](spark, SF))
     assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+@needs_tables
+def test_edges_fold_the_files_once(spark):
+    assert "MapInArrow" not in _plan(QUERIES["call_edges"](spark, SF))
