@@ -171,7 +171,7 @@ def module_dependencies(c: Corpus) -> DataFrame:
 
 @tool("call_graph")
 def call_graph(c: Corpus, symbol: str, file_path: str | None = None, depth: int = 2, direction: str = "downstream") -> DataFrame:
-    return references.call_graph(c.lines, c.symbols, symbol, depth=depth, direction=direction, file=file_path, edges=c.edges)
+    return references.call_graph(c.lines, c.declared.drop("calls"), symbol, depth=depth, direction=direction, file=file_path, edges=c.edges)
 
 
 @tool("ask_user")

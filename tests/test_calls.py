@@ -9,6 +9,7 @@ from corpuscle.functions.lexer import FORMS, masked
 from corpuscle.operators import references, symbols
 from corpuscle.plans import synthetic
 from corpuscle.plans.queries import QUERIES
+from corpuscle.plans.registry import Corpus, call
 
 SF = "/root/testdata/sf0.001"
 MORE = [
@@ -82,3 +83,12 @@ def test_calls_beside_strings_joins_no_lines(spark):
 @needs_tables
 def test_edges_fold_the_files_once(spark):
     assert "MapInArrow" not in _plan(QUERIES["call_edges"](spark, SF))
+
+
+def test_graphs_of_a_corpus_read_one_fold(spark, monkeypatch):
+    folds = []
+    monkeypatch.setattr(symbols, "_fold", lambda *a, _f=symbols._fold, **b: folds.append(a[0]) or _f(*a, **b))
+    c = Corpus(synthetic.python_files(synthetic.ids(spark.range(3).toDF("doc_id"), "doc_id")))
+    assert call("call_graph", c, symbol="main1").count() == 6
+    assert call("call_graph", c, symbol="save1", depth=1, direction="upstream").count() == 3
+    assert folds == [symbols.declared_calls]
