@@ -199,4 +199,4 @@ def definition_search(c: Corpus, symbol: str, include: str | None = None) -> Dat
 
 @tool("expand_context")
 def expand_context(c: Corpus, symbols: list[str]) -> DataFrame:
-    return references.expand_context(c.lines, c.symbols, symbols)
+    return references.expand_context(c.lines, c.declared.drop("calls"), symbols, made=lambda: c.edges)

@@ -91,4 +91,5 @@ def test_graphs_of_a_corpus_read_one_fold(spark, monkeypatch):
     c = Corpus(synthetic.python_files(synthetic.ids(spark.range(3).toDF("doc_id"), "doc_id")))
     assert call("call_graph", c, symbol="main1").count() == 6
     assert call("call_graph", c, symbol="save1", depth=1, direction="upstream").count() == 3
+    assert call("expand_context", c, symbols=["nothing", "save1"]).count() == 8
     assert folds == [symbols.declared_calls]
