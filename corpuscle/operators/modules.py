@@ -78,18 +78,22 @@ def entry_points(files: DataFrame) -> DataFrame:
 _PROBES = ["", ".ts", ".tsx", ".js", "/index.ts", "/index.js"]
 
 
-def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, target, to): the file that an import names, by the first candidate that exists.
+#: What decides which file an import names: its target and, of a relative one, the folders it stands in and whether it is Python's.
+_ASKED = ["target", "base", "dotted"]
 
-    Dotted names try themselves as paths, then their longest dotted prefix;
-    relative ones the usual endings. Prefixes end at a separator. Of a relative
-    Python import each dot after the first goes a package up; one that leaves the
-    corpus names nothing.
-    """
-    here = F.array_join(T.directories(F.col("path")), "/")
-    relative = T.normalize_path(F.concat(here, F.lit("/"), F.col("target")))
+
+def _asked(imports: DataFrame) -> DataFrame:
+    """imports with base and dotted, which are empty and false but for relative targets."""
+    relative = F.col("target").startswith(".")
+    base = F.when(relative, T.directories(F.col("path"))).otherwise(F.array().cast("array<string>"))
+    return imports.select("path", "language", "target", "line_no", base.alias("base"), (relative & F.coalesce(F.col("language") == "python", F.lit(False))).alias("dotted"))
+
+
+def _named_files(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(target, base, dotted, to): the file that each different import names, as import_files() says; a target that many files import is tried once."""
+    held = F.col("base")
+    relative = T.normalize_path(F.concat(F.array_join(held, "/"), F.lit("/"), F.col("target")))
     dots = F.length(F.regexp_extract("target", r"^(\.+)", 1))
-    held = T.directories(F.col("path"))
     package = F.concat(F.slice(held, 1, F.size(held) - dots + 1), F.filter(F.split(F.substr("target", dots + 1), r"\."), lambda p: p != ""))
     inside = F.array_join(package, "/")
     python = F.when(dots - 1 > F.size(held), F.array().cast("array<string>")).otherwise(F.transform(F.array(F.lit(".py"), F.lit("/__init__.py"), F.lit("")), lambda e: F.ltrim(F.concat(inside, e), F.lit("/"))))
@@ -100,10 +104,22 @@ def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     # a directory above stands for the modules below it: the first file of it by path
     dirs = files.select("path", F.array_join(T.directories(F.col("path")), "/").alias("d")).filter("d <> ''").groupBy("d").agg(F.min("path").alias("to"))
     known = files.select(F.col("path").alias("c"), F.col("path").alias("to")).unionByName(dirs.select(F.col("d").alias("c"), "to"))
-    tried = F.when(F.col("target").startswith(".") & (F.col("language") == "python"), python).when(F.col("target").startswith("."), probes).otherwise(F.concat(ends, ups))
-    x = imports.select("path", "language", "target", "line_no", F.posexplode(tried).alias("k", "c"))
-    x = x.join(known, "c").groupBy("path", "language", "target", "line_no").agg(F.min_by("to", "k").alias("to"))
-    return x.filter("to <> path")
+    tried = F.when(F.col("dotted"), python).when(F.col("target").startswith("."), probes).otherwise(F.concat(ends, ups))
+    x = asked.select(*_ASKED).distinct().select(*_ASKED, F.posexplode(tried).alias("k", "c"))
+    return x.join(known, "c").groupBy(*_ASKED).agg(F.min_by("to", "k").alias("to"))
+
+
+def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, target, to): the file that an import names, by the first candidate that exists.
+
+    Dotted names try themselves as paths, then their longest dotted prefix;
+    relative ones the usual endings. Prefixes end at a separator. Of a relative
+    Python import each dot after the first goes a package up; one that leaves the
+    corpus names nothing.
+    """
+    x = _asked(imports)
+    x = x.join(_named_files(x, files), _ASKED).filter("to <> path")
+    return x.select("path", "language", "target", "line_no", "to").distinct()
 
 
 def namespaces(files: DataFrame) -> DataFrame:
@@ -127,13 +143,17 @@ def import_modules(imports: DataFrame, files: DataFrame, mods: DataFrame) -> Dat
     namespace, by the file that the import names.
     """
     owner = file_module(files, mods)
-    named = imports.filter(F.col("language").isin("csharp", "java")).select("path", "language", "line_no", "target").withColumn("parts", F.split("target", r"\."))
-    ups = F.transform(F.sequence(F.size("parts"), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice("parts", 1, k), "."))
-    tried = named.select("path", "language", "line_no", "target", F.posexplode(ups).alias("k", "namespace"))
-    known = tried.join(namespace_modules(files, owner), ["language", "namespace"]).groupBy("path", "line_no", "target").agg(F.min_by("module", "k").alias("dst"))
-    by_file = import_files(imports, files).join(owner.select(F.col("path").alias("to"), F.col("module").alias("dst")), "to").select("path", "line_no", "target", "dst")
-    by_file = by_file.join(known.select("path", "line_no", "target"), ["path", "line_no", "target"], "left_anti")
-    return known.unionByName(by_file).join(owner.withColumnRenamed("module", "src"), "path").select("path", "src", "target", "dst")
+    # what many files import is looked up once: no hot key meets the namespaces or the files
+    sharp = imports.filter(F.col("language").isin("csharp", "java")).select("language", "target").distinct()
+    parts = F.split("target", r"\.")
+    ups = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    tried = sharp.select("language", "target", F.posexplode(ups).alias("k", "namespace"))
+    known = tried.join(namespace_modules(files, owner), ["language", "namespace"]).groupBy("language", "target").agg(F.min_by("module", "k").alias("dst"))
+    by_name = imports.join(known, ["language", "target"]).select("path", "line_no", "target", "dst").distinct()
+    rest = _asked(imports.join(known, ["language", "target"], "left_anti"))
+    named = _named_files(rest, files).join(owner.select(F.col("path").alias("to"), F.col("module").alias("dst")), "to")
+    by_file = rest.join(named, _ASKED).filter("to <> path").select("path", "line_no", "target", "dst").distinct()
+    return by_name.unionByName(by_file).join(owner.withColumnRenamed("module", "src"), "path").select("path", "src", "target", "dst")
 
 
 def module_edges(imports: DataFrame, files: DataFrame, mods: DataFrame) -> DataFrame:
