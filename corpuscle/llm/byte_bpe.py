@@ -16,7 +16,9 @@ import base64
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -90,6 +92,8 @@ class ByteBpe:
         ordered = sorted(ranks.items(), key=lambda x: x[1])
         self.rank_of = [r for _, r in ordered]
         self.token_of = {r: t for t, r in ordered}
+        tokens = pa.array([self.token_of.get(r) for r in range(max(self.rank_of) + 1)], pa.large_binary())
+        self.tokens = tokens
         self.whole = {t: struct.pack("=i", r) for t, r in ordered}
 
     def _of(self, cut: list[list[str]]) -> list[bytes]:
@@ -135,6 +139,20 @@ class ByteBpe:
         """The bytes of identifiers; an unknown one raises."""
         return b"".join(map(self.token_of.__getitem__, ids or ()))
 
+    def decode_rows(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each row of identifiers, a column at a time: tokens are taken one after another, and a row is where its own begin and end."""
+        counts = pc.fill_null(pc.list_value_length(ids), 0)
+        flat = ids.flatten()  # without the values of null rows
+        if flat.null_count or (len(flat) and (pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(self.tokens))):
+            raise KeyError("an identifier that the vocabulary lacks")
+        taken = self.tokens.take(flat)
+        if taken.null_count:
+            raise KeyError("an identifier that the vocabulary lacks")
+        starts = np.frombuffer(taken.buffers()[1], np.int64, len(flat) + 1, 8 * taken.offset) if len(flat) else np.zeros(1, np.int64)
+        ends = np.concatenate(([0], np.cumsum(counts.to_numpy(zero_copy_only=False), dtype=np.int64)))
+        data = taken.buffers()[2] if len(flat) else pa.py_buffer(b"")
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(starts[ends]), data])
+
 
 _made: dict[str, ByteBpe] = {}
 
@@ -191,7 +209,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids", out_col
         coder = _coder(vocabulary)
         for b in batches:
             at = b.schema.get_field_index(ids_col)
-            out = pa.array([coder.decode(x.as_py()) for x in b.column(at)], pa.binary())
+            out = coder.decode_rows(b.column(at)).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, out_col])
 
     if out_col in encoded.columns:
